@@ -225,8 +225,7 @@ def _(spark, sf):
 
 def pair_drafts(spark, sf, hours=48):
     scenes, runs = view(spark, sf, "fx_scenes"), view(spark, sf, "fx_runs")
-    d = facts_of_runs(runs, scenes, view(spark, sf, "fx_drafts"), "ts_s", hours * 3600, hours * 3600, bucket_s=86400)
-    return d.join(view(spark, sf, "fx_vessels").select("mmsi", "vessel_type"), "mmsi", "left")
+    return facts_of_runs(runs, scenes, view(spark, sf, "fx_drafts"), "ts_s", hours * 3600, hours * 3600, bucket_s=86400)
 
 
 DRAFT_SQL = f"""dr AS (SELECT r.scene_id, r.mmsi, s.captured_s, f.ts_s, f.seq, f.draft_m FROM {of_runs('fx_drafts', 'ts_s', 172800, 172800)} WHERE f.draft_m IS NOT NULL),
@@ -243,7 +242,7 @@ draft AS (SELECT scene_id, mmsi, CASE WHEN vessel_type = 'fishing' OR n < 2 OR l
 
 @R.query("draft_change", f"WITH {DRAFT_SQL} SELECT * FROM draft")
 def _(spark, sf):
-    return op.draft_change(pair_drafts(spark, sf))
+    return op.draft_change(pair_drafts(spark, sf), view(spark, sf, "fx_vessels"))
 
 
 _CPA_POS = """

@@ -57,13 +57,22 @@ def position_at(points: DataFrame, keys: list[str], at: str) -> DataFrame:
 
     Only aggregates: the neighbours are the latest point before and the earliest at or after.
     """
-    p = F.struct("ts_s", "lat", "lon", "speed_knots", "course")
     t, ts = F.col(at), F.col("ts_s")
+    cols = ["ts_s", "lat", "lon", "speed_knots", "course"]
+
+    def picked(pick, when: Column, tail: str) -> list[Column]:
+        return [pick(F.col(c), when).alias(f"_{tail}_{c}") for c in cols]
+
     g = points.groupBy(*keys).agg(
-        F.max_by(p, F.when(ts < t, ts)).alias("a"), F.min_by(p, F.when(ts >= t, ts)).alias("b"),
-        F.max_by(p, ts).alias("z"), F.min(at).alias(at), F.count(F.lit(1)).alias("n_points"),
+        *picked(F.max_by, F.when(ts < t, ts), "a"), *picked(F.min_by, F.when(ts >= t, ts), "b"), *picked(F.max_by, ts, "z"),
+        F.min(at).alias(at), F.count(F.lit(1)).alias("n_points"),
     )
-    a, b, z = F.col("a"), F.col("b"), F.col("z")
+
+    def point(tail: str) -> Column:
+        whole = F.struct(*[F.col(f"_{tail}_{c}").alias(c) for c in cols])
+        return F.when(F.col(f"_{tail}_ts_s").isNotNull(), whole)
+
+    a, b, z = point("a"), point("b"), point("z")
     share = (F.col(at) - a["ts_s"]) / (b["ts_s"] - a["ts_s"])
     ends = F.when(a.isNull(), b).when(F.col(at) >= z["ts_s"], z)
 

@@ -30,14 +30,20 @@ def neighbours(
     """
     rows = _bucketed(df, keys, ts, bucket_s)
     item = F.struct(ts, *cols)
+    # one aggregate per column keeps the buffers primitive, hence hash aggregation
     edges = rows.groupBy(*keys, "_b").agg(
-        F.min_by(item, F.col(ts)).alias("_first"), F.max_by(item, F.col(ts)).alias("_last")
+        *[F.min_by(F.col(c), F.col(ts)).alias(f"_f_{c}") for c in (ts, *cols)],
+        *[F.max_by(F.col(c), F.col(ts)).alias(f"_l_{c}") for c in (ts, *cols)],
     )
     by_bucket = Window.partitionBy(*keys).orderBy("_b")
+
+    def whole(side: str) -> Column:
+        return F.struct(*[F.col(f"_{side}_{c}").alias(c) for c in (ts, *cols)])
+
     edges = edges.select(
         *keys, "_b",
-        F.lag("_last").over(by_bucket).alias("_before"),
-        F.lead("_first").over(by_bucket).alias("_after"),
+        F.lag(whole("l")).over(by_bucket).alias("_before"),
+        F.lead(whole("f")).over(by_bucket).alias("_after"),
     )
     w = Window.partitionBy(*keys, "_b").orderBy(ts)
     out = rows.select("*", F.lag(item).over(w).alias("_p"), F.lead(item).over(w).alias("_n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions.angles import narrowest_arc
@@ -30,7 +30,7 @@ def dedupe_track(df: DataFrame, keys: list[str] | None = None, ts: str = "ts_s",
     """One row per (vessel, time): the last one observed. Aggregates before the shuffle."""
     keys = keys or ["mmsi"]
     rest = [c for c in df.columns if c not in (*keys, ts)]
-    return df.groupBy(*keys, ts).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_r")).select(*keys, ts, "_r.*")
+    return df.groupBy(*keys, ts).agg(*[F.max_by(F.col(c), F.col(seq)).alias(c) for c in rest])
 
 
 def ais_gaps(track: DataFrame, max_gap_s: int = GAP_S, keys: list[str] | None = None) -> DataFrame:
@@ -235,10 +235,13 @@ def behaviour_anomaly(vessels: DataFrame, gaps: DataFrame) -> DataFrame:
 
 def latest_positions(points: DataFrame, seq: str = "seq") -> DataFrame:
     """Newest position of each vessel; ties go to the later observation."""
-    return points.groupBy("mmsi").agg(
-        F.max_by(F.struct("ts_s", "lat", "lon", "speed_knots", "course"), F.struct("ts_s", seq)).alias("_p"),
-        F.count(F.lit(1)).alias("n_points"),
-    ).select("mmsi", "n_points", "_p.*")
+    newest = points.groupBy("mmsi", "ts_s").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.max_by(F.col(c), F.col(seq)).alias(c) for c in ("lat", "lon", "speed_knots", "course")]
+    )
+    return newest.groupBy("mmsi").agg(
+        F.sum("_n").alias("n_points"), F.max("ts_s").alias("ts_s"),
+        *[F.max_by(c, "ts_s").alias(c) for c in ("lat", "lon", "speed_knots", "course")],
+    )
 
 
 def assemble_tracks(points: DataFrame, chunk_s: int = 86400) -> DataFrame:
@@ -273,26 +276,52 @@ def merge_static(messages: DataFrame) -> DataFrame:
     )
 
 
-def draft_change(readings: DataFrame) -> DataFrame:
-    """Draft pillar of each pair. ``readings``: pair keys, ts_s, seq, draft_m, captured_s, vessel_type."""
-    at = F.col("captured_s")
+def draft_change(readings: DataFrame, vessels: DataFrame) -> DataFrame:
+    """Draft pillar of each pair. ``readings``: pair keys, ts_s, seq, draft_m, captured_s."""
+    at, ts = F.col("captured_s"), F.col("ts_s")
     known = readings.filter(F.col("draft_m").isNotNull())
-    span = known.groupBy(*PAIR).agg((F.max("ts_s") - F.min("ts_s")).alias("_span"))
-    r = known.join(span, PAIR).filter((F.col("_span") <= 30 * 86400) | (F.abs(F.col("ts_s") - at) <= 48 * 3600)).drop("_span")
-    facts = r.groupBy(*PAIR).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("ts_s") <= at).alias("_nb"),
-        F.min("draft_m").alias("_lo"), F.max("draft_m").alias("_hi"), F.first("vessel_type").alias("vessel_type"),
+    near = F.abs(ts - at) <= 48 * 3600
+    draft = F.col("draft_m")
+
+    def counted(on: Column, tail: str) -> list[Column]:
+        return [
+            F.count_if(on).alias(f"n{tail}"), F.count_if(on & (ts <= at)).alias(f"nb{tail}"),
+            F.min(F.when(on, draft)).alias(f"lo{tail}"), F.max(F.when(on, draft)).alias(f"hi{tail}"),
+        ]
+
+    raw = known.groupBy(*PAIR).agg(
+        (F.max(ts) - F.min(ts) > 30 * 86400).alias("_long"), *counted(F.lit(True), "_all"), *counted(near, "_near")
+    )
+    facts = raw.select(
+        *PAIR, "_long", *[F.when(F.col("_long"), F.col(f"{c}_near")).otherwise(F.col(f"{c}_all")).alias(f"_{c}") for c in ("n", "nb", "lo", "hi")]
     )
     two_sided = (F.col("_nb") > 0) & (F.col("_nb") < F.col("_n"))
-    facts = facts.withColumn("_k", F.when(two_sided, F.col("_nb")).otherwise(F.floor(F.col("_n") / 2)).cast("long"))
-    ranked = rank_in_group(r.select(*PAIR, "ts_s", "seq", "draft_m"), PAIR, [F.col("ts_s"), F.col("seq")], F.floor(F.col("ts_s") / 21600), "_rn")
+    in_use = ~F.col("_long") | near
+
+    # the three readings on either side; the rank limit is applied before the shuffle
+    side = F.when(ts <= at, "before").otherwise("after")
+    w = Window.partitionBy(*PAIR, "_side").orderBy(
+        F.abs(ts - at), F.when(ts <= at, -F.col("seq")).otherwise(F.col("seq"))
+    )
+    close = (
+        known.select(*PAIR, "ts_s", "captured_s", "seq", "draft_m", side.alias("_side"))
+        .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 3)
+        .join(facts.filter(two_sided).select(*PAIR, "_long"), PAIR).filter(in_use)
+        .select(*PAIR, "draft_m", (F.col("_side") == "before").alias("_is_before"))
+    )
+    # all readings on one side: compare around the middle of the sequence
+    lop = facts.filter(~two_sided & (F.col("_n") >= 2)).select(*PAIR, "_long", F.floor(F.col("_n") / 2).alias("_k"))
+    rows = known.select(*PAIR, "ts_s", "captured_s", "seq", "draft_m").join(lop, PAIR).filter(in_use)
     rn, k = F.col("_rn"), F.col("_k")
-    near = ranked.join(facts.select(*PAIR, "_k"), PAIR).filter((rn > k - 3) & (rn <= k + 3))
-    medians = near.groupBy(*PAIR).agg(
-        F.round(F.percentile(F.when(rn <= k, F.col("draft_m")), 0.5), 3).alias("_before"),
-        F.round(F.percentile(F.when(rn > k, F.col("draft_m")), 0.5), 3).alias("_after"),
+    middle = (
+        rank_in_group(rows, PAIR, [ts, F.col("seq")], F.floor(ts / 21600), "_rn")
+        .filter((rn > k - 3) & (rn <= k + 3)).select(*PAIR, "draft_m", (rn <= k).alias("_is_before"))
     )
-    d = facts.join(medians, PAIR, "left")
+    medians = close.unionByName(middle).groupBy(*PAIR).agg(
+        F.round(F.percentile(F.when(F.col("_is_before"), draft), 0.5), 3).alias("_before"),
+        F.round(F.percentile(F.when(~F.col("_is_before"), draft), 0.5), 3).alias("_after"),
+    )
+    d = facts.join(medians, PAIR, "left").join(vessels.select("mmsi", "vessel_type"), "mmsi", "left")
     delta = F.col("_before") - F.col("_after")
     fishing = F.lower(F.trim(F.coalesce("vessel_type", F.lit("")))) == "fishing"
     few, same = F.col("_n") < 2, F.col("_lo") == F.col("_hi")
@@ -325,7 +354,7 @@ def closest_approach(points: DataFrame, drift: DataFrame) -> DataFrame:
     Both series of a pair are put into one sequence; the missing side of every
     instant is interpolated between its known neighbours, found in one shuffle.
     """
-    d = drift.groupBy("scene_id", "ts_s").agg(F.max_by(F.struct("lat", "lon"), F.struct("lat", "lon")).alias("_d"))
+    d = drift.groupBy("scene_id", "ts_s").agg(F.max("lat").alias("d_lat"), F.max_by("lon", "lat").alias("d_lon"))
     facts = points.groupBy(*PAIR).agg(
         F.min("ts_s").alias("_v0"), F.max("ts_s").alias("_v1"), F.count(F.lit(1)).alias("n_points"),
         F.min("captured_s").alias("captured_s"),
@@ -334,24 +363,29 @@ def closest_approach(points: DataFrame, drift: DataFrame) -> DataFrame:
     ends = d.groupBy("scene_id").agg(F.min("ts_s").alias("_d0"), F.max("ts_s").alias("_d1"))
     facts = facts.join(ends, "scene_id", "left")
     usable = facts.filter(F.col("n_points") >= 2).select(
-        *PAIR, F.greatest("_v0", "_d0").alias("_lo"), F.least("_v1", "_d1").alias("_hi"), "_v0", "_v1"
+        *PAIR, F.greatest("_v0", "_d0").alias("_lo"), F.least("_v1", "_d1").alias("_hi")
     ).filter(F.col("_lo") <= F.col("_hi"))
-    none = F.lit(None).cast("struct<t:bigint,lat:double,lon:double>")
-    vessel_side = points.select(*PAIR, "ts_s", F.struct(F.col("ts_s").alias("t"), "lat", "lon").alias("v"), none.alias("d"))
+    unknown = F.lit(None).cast("double")
+    vessel_side = points.select(
+        *PAIR, "ts_s", F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"), unknown.alias("d_lat"), unknown.alias("d_lon")
+    )
     drift_side = d.join(usable.select(*PAIR), "scene_id").select(
-        *PAIR, "ts_s", none.alias("v"), F.struct(F.col("ts_s").alias("t"), F.col("_d.lat").alias("lat"), F.col("_d.lon").alias("lon")).alias("d")
+        *PAIR, "ts_s", unknown.alias("v_lat"), unknown.alias("v_lon"), "d_lat", "d_lon"
     )
+    sides = ["v_lat", "v_lon", "d_lat", "d_lon"]
     instants = (
-        vessel_side.unionByName(drift_side).groupBy(*PAIR, "ts_s")
-        .agg(F.first("v", ignorenulls=True).alias("v"), F.first("d", ignorenulls=True).alias("d"))
+        vessel_side.unionByName(drift_side).groupBy(*PAIR, "ts_s").agg(*[F.max(c).alias(c) for c in sides])
+        .withColumn("v_t", F.when(F.col("v_lat").isNotNull(), F.col("ts_s")))
+        .withColumn("d_t", F.when(F.col("d_lat").isNotNull(), F.col("ts_s")))
     )
-    known = fill_known(instants, PAIR, "ts_s", ["v", "d"])
-    known = known.join(usable.select(*PAIR, "_lo", "_hi"), PAIR).filter(F.col("ts_s").between(F.col("_lo"), F.col("_hi")))
+    known = fill_known(instants, PAIR, "ts_s", [*sides, "v_t", "d_t"])
+    known = known.join(usable, PAIR).filter(F.col("ts_s").between(F.col("_lo"), F.col("_hi")))
 
     def at(side: str, c: str) -> Column:
-        a, b = F.col(f"{side}_before"), F.col(f"{side}_after")
-        share = F.try_divide((F.col("ts_s") - a["t"]).cast("double"), (b["t"] - a["t"]).cast("double"))
-        return F.when(F.col(side).isNotNull(), F.col(f"{side}.{c}")).otherwise(a[c] + F.coalesce(share, F.lit(0.0)) * (b[c] - a[c]))
+        t0, t1 = F.col(f"{side}_t_before"), F.col(f"{side}_t_after")
+        a, b = F.col(f"{side}_{c}_before"), F.col(f"{side}_{c}_after")
+        share = F.coalesce(F.try_divide((F.col("ts_s") - t0).cast("double"), (t1 - t0).cast("double")), F.lit(0.0))
+        return F.coalesce(F.col(f"{side}_{c}"), a + share * (b - a))
 
     grid = known.select(
         *PAIR, "ts_s", at("v", "lat").alias("v_lat"), at("v", "lon").alias("v_lon"), at("d", "lat").alias("d_lat"), at("d", "lon").alias("d_lon"),
