@@ -7,9 +7,12 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wakeline.fixtures import oracle
+from wakeline.session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-GROUPS = ["cleaning", "tracks"]
+GROUPS = ["cleaning", "tracks", "contacts"]
 
 
 class Registry:
@@ -21,10 +24,12 @@ class Registry:
 
     def query(self, name: str, sql: str | None = None):
         def add(fn: Query) -> Query:
-            self.queries[name] = fn
-            if sql is not None:
-                from wakeline.fixtures import oracle
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                tune(spark)
+                return fn(spark, sf_dir)
 
+            self.queries[name] = run
+            if sql is not None:
                 self.sql[name] = oracle(sql)
             return fn
 

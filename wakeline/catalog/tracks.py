@@ -134,7 +134,7 @@ def episodes(spark, sf):
 
 # The slick squares are axis-aligned, so "inside" is a pair of range tests.
 LOITER_SQL = """
-inport AS (SELECT DISTINCT d.mmsi, d.ts_s FROM ded d JOIN fx_scenes z ON d.lat > z.spill_lat - 0.02e0 AND d.lat <= z.spill_lat + 0.02e0 AND d.lon >= z.spill_lon - 0.02e0 AND d.lon < z.spill_lon + 0.02e0),
+inport AS (SELECT DISTINCT d.mmsi, d.ts_s FROM ded d JOIN fx_scenes z ON d.lat > z.spill_lat - 0.0201e0 AND d.lat <= z.spill_lat + 0.0201e0 AND d.lon >= z.spill_lon - 0.0201e0 AND d.lon < z.spill_lon + 0.0201e0),
 marks AS (SELECT q.*, q.speed_knots < 5 AS slow,
    q.speed_knots < 5 AND (q.p_s IS NULL OR q.p_speed >= 5) AS begins,
    q.speed_knots < 5 AND i.mmsi IS NULL AND q.n_s IS NOT NULL AND abs(q.ts_s - q.captured_s) <= 21600 AS may

@@ -64,11 +64,11 @@ VIEWS: dict[str, str] = {
                CASE s_suppkey % 4 WHEN 0 THEN 'light' WHEN 1 THEN 'medium' WHEN 2 THEN 'heavy' ELSE 'bunker' END AS fuel_type,
                0.6e0 + (s_suppkey % 40) / 100e0 AS confidence, s_suppkey % 5 <> 0 AS verified, s_name AS scene_name
         FROM {{supplier}}""",
-    # square slick outlines of +-0.02 degrees, one vertex per row
+    # square slick outlines of +-0.0201 degrees (no position lies on an edge), one vertex per row
     "fx_spill_vertices": """
         SELECT scene_id, k AS vertex,
-               spill_lon + CASE WHEN k IN (1, 2) THEN 0.02e0 ELSE -0.02e0 END AS lon,
-               spill_lat + CASE WHEN k IN (2, 3) THEN 0.02e0 ELSE -0.02e0 END AS lat
+               spill_lon + CASE WHEN k IN (1, 2) THEN 0.0201e0 ELSE -0.0201e0 END AS lon,
+               spill_lat + CASE WHEN k IN (2, 3) THEN 0.0201e0 ELSE -0.0201e0 END AS lat
         FROM {fx_scenes} [[each k 0 4]]""",
     "fx_sar_targets": """
         SELECT e.event_id AS target_id, s.s_suppkey AS scene_id,

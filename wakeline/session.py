@@ -27,6 +27,16 @@ def local_session(app: str = "wakeline", cpus: int | str = "*", partitions: int
     return spark
 
 
+def tune(spark: SparkSession) -> None:
+    """Runtime settings every query of this package relies on.
+
+    The JVM never compiles methods above 8000 bytes of bytecode; long arithmetic
+    chains then run faster outside whole-stage code generation.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
