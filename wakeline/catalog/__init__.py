@@ -12,7 +12,7 @@ from wakeline.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-GROUPS = ["cleaning", "tracks", "contacts"]
+GROUPS = ["cleaning", "tracks", "contacts", "attribution", "drift"]
 
 
 class Registry:

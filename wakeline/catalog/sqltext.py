@@ -58,3 +58,12 @@ def of_runs(facts: str, ts: str, before: int, after: int) -> str:
         f"fx_runs r JOIN fx_scenes s USING (scene_id) JOIN {facts} f "
         f"ON f.mmsi = r.mmsi AND f.{ts} BETWEEN s.captured_s - {before} AND s.captured_s + {after}"
     )
+
+
+def uniform_sql(keys: list[str], seed: int) -> str:
+    """The portable uniform generator as SQL."""
+    h = str(seed)
+    for k in keys:
+        h = f"((({h} + {k} + 1) * 48271) % 2147483647)"
+        h = f"(({h} * 69621 + 12345) % 2147483647)"
+    return f"({h} / 2147483647e0)"
