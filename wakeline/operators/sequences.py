@@ -14,21 +14,23 @@ from pyspark.sql import functions as F
 BUCKET_S = 6 * 3600
 
 
-def _bucketed(df: DataFrame, keys: list[str], ts: str, bucket_s: int) -> DataFrame:
+def _bucketed(df: DataFrame, keys: list[str], ts: str, bucket_s: int, bucket: Column | None = None) -> DataFrame:
     """One shuffle on (keys, bucket), shared by the windows and the summaries."""
-    return df.withColumn("_b", F.floor(F.col(ts) / bucket_s).cast("long")).repartition(
+    b = F.floor(F.col(ts) / bucket_s).cast("long") if bucket is None else bucket
+    return df.withColumn("_b", b).repartition(
         *[F.col(k) for k in keys], F.col("_b")
     )
 
 
 def neighbours(
-    df: DataFrame, keys: list[str], ts: str, cols: list[str], bucket_s: int = BUCKET_S
+    df: DataFrame, keys: list[str], ts: str, cols: list[str], bucket_s: int = BUCKET_S, bucket: Column | None = None
 ) -> DataFrame:
     """Add structs ``prev`` and ``next``: the adjacent row of the same keys in ts order.
 
-    ``(keys, ts)`` must be unique (see ``dedupe_track``).
+    ``(keys, ts)`` must be unique (see ``dedupe_track``). ``bucket`` replaces the time
+    bucket where ``ts`` is not a number; it must not decrease along ``ts``.
     """
-    rows = _bucketed(df, keys, ts, bucket_s)
+    rows = _bucketed(df, keys, ts, bucket_s, bucket)
     item = F.struct(ts, *cols)
     # one aggregate per column keeps the buffers primitive, hence hash aggregation
     edges = rows.groupBy(*keys, "_b").agg(
