@@ -12,7 +12,7 @@ from wakeline.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-GROUPS = ["cleaning", "tracks", "contacts", "attribution", "drift", "alerting", "evaluation", "integrity"]
+GROUPS = ["cleaning", "tracks", "contacts", "attribution", "drift", "raster", "alerting", "evaluation", "integrity", "live"]
 
 
 class Registry:

@@ -78,9 +78,10 @@ def fit_temperature(preds: DataFrame, fit_half: Column, grid: list[float] | None
         return F.avg(F.log1p(F.exp(-F.abs(z))) + F.greatest(z, F.lit(0.0)) - z * F.col("truth"))
 
     losses = d.filter("_fit").agg(F.array(*[F.struct(loss(t).alias("nll"), F.lit(t).alias("t")) for t in ts]).alias("l"))
-    best = losses.select(F.array_min("l").alias("b")).select(F.col("b.t").alias("temperature"), F.col("b.nll").alias("nll"))
-    other = d.filter(~F.col("_fit")).join(F.broadcast(best), how="cross")  # one row by construction
-    scaled = other.withColumn("prob", 1 / (1 + F.exp(-F.col("_z") / F.col("temperature"))))
+    best = losses.select(F.array_min("l").alias("b")).first()["b"]  # two numbers: the fitted parameter
+    scaled = d.filter(~F.col("_fit")).select(
+        "truth", (1 / (1 + F.exp(-F.col("_z") / best["t"]))).alias("prob"), F.lit(best["t"]).alias("temperature"), F.lit(best["nll"]).alias("nll")
+    )
     return calibration_error(scaled, ["temperature", "nll"], bins)
 
 
