@@ -57,7 +57,7 @@ def cooldown(gated: DataFrame, cooldown_s: int = COOLDOWN_S) -> DataFrame:
     t = neighbours(ticks, ["station_id"], "requested_s", [], bucket_s=86400)
     fresh = F.col("prev").isNull() | (F.col("requested_s") - F.col("prev.requested_s") > cooldown_s)
     t = t.select("station_id", "requested_s", "request_id", F.when(fresh, F.col("requested_s")).alias("stretch"))
-    t = fill_known(t, ["station_id"], "requested_s", ["stretch"], bucket_s=86400, after=False)
+    t = fill_known(t, ["station_id"], "requested_s", {"open": ["stretch"]}, bucket_s=86400, after=False)
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
 
     def step(acc, s):
@@ -69,7 +69,7 @@ def cooldown(gated: DataFrame, cooldown_s: int = COOLDOWN_S) -> DataFrame:
 
     seconds = F.array_sort(F.collect_list("requested_s"))
     sent = (
-        t.groupBy("station_id", "stretch_before").agg(F.aggregate(seconds, start, step)["kept"].alias("kept"))
+        t.groupBy("station_id", F.col("open_before.stretch").alias("_start")).agg(F.aggregate(seconds, start, step)["kept"].alias("kept"))
         .select("station_id", F.explode("kept").alias("requested_s"))
         .join(ticks, ["station_id", "requested_s"]).select("request_id", F.lit(True).alias("_sent"))
     )

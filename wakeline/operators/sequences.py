@@ -61,44 +61,67 @@ def fill_known(
     df: DataFrame,
     keys: list[str],
     ts: str,
-    cols: list[str],
+    groups: dict[str, list[str]],
     bucket_s: int = BUCKET_S,
     after: bool = True,
+    history: bool = False,
 ) -> DataFrame:
-    """For each col add ``<col>_before`` (last non-null at or before the row) and,
-    if asked, ``<col>_after`` (first non-null at or after it)."""
+    """Carry known values along each sequence.
+
+    A group names columns that are null together. Per group this adds the structs
+    ``<name>_before`` (last known at or before the row) and, with ``after``,
+    ``<name>_after`` (first known at or after it). ``history`` adds ``<name>_since``
+    (time of the first known value so far) and ``prev_ts`` (time of the row before).
+    """
     rows = _bucketed(df, keys, ts, bucket_s)
+    lead_col = {g: cols[0] for g, cols in groups.items()}
 
-    def known_at(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.col(ts))
+    def known_at(g: str) -> Column:
+        return F.when(F.col(lead_col[g]).isNotNull(), F.col(ts))
 
-    aggs = [F.max_by(F.col(c), known_at(c)).alias(f"_l_{c}") for c in cols]
-    if after:
-        aggs += [F.min_by(F.col(c), known_at(c)).alias(f"_f_{c}") for c in cols]
+    def whole(g: str, tail: str = "") -> Column:
+        return F.struct(*[F.col(f"{c}{tail}").alias(c) for c in groups[g]])
+
+    aggs = [F.max(ts).alias("_end")]
+    for g, cols in groups.items():
+        aggs += [F.max_by(F.col(c), known_at(g)).alias(f"{c}_l") for c in cols]
+        if after:
+            aggs += [F.min_by(F.col(c), known_at(g)).alias(f"{c}_f") for c in cols]
+        if history:
+            aggs.append(F.min(known_at(g)).alias(f"_s_{g}"))
     edges = rows.groupBy(*keys, "_b").agg(*aggs)
     up = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    sel = [F.last(f"_l_{c}", ignorenulls=True).over(up).alias(f"_pb_{c}") for c in cols]
-    if after:
-        sel += [F.last(f"_f_{c}", ignorenulls=True).over(down).alias(f"_pa_{c}") for c in cols]
+    sel = []
+    for g in groups:
+        c = lead_col[g]
+        sel.append(F.last(F.when(F.col(f"{c}_l").isNotNull(), whole(g, "_l")), ignorenulls=True).over(up).alias(f"_pb_{g}"))
+        if after:
+            sel.append(F.last(F.when(F.col(f"{c}_f").isNotNull(), whole(g, "_f")), ignorenulls=True).over(down).alias(f"_pa_{g}"))
+        if history:
+            sel.append(F.min(f"_s_{g}").over(up).alias(f"_ps_{g}"))
+    if history:
+        sel.append(F.max("_end").over(up).alias("_pe"))
     edges = edges.select(*keys, "_b", *sel)
 
-    asc = (
-        Window.partitionBy(*keys, "_b").orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    desc = (
-        Window.partitionBy(*keys, "_b")
-        .orderBy(F.desc(ts))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = [F.last(c, ignorenulls=True).over(asc).alias(f"_b_{c}") for c in cols]
-    if after:
-        local += [F.last(c, ignorenulls=True).over(desc).alias(f"_a_{c}") for c in cols]
-    joined = rows.select("*", *local).join(edges, [*keys, "_b"])
-    res = [F.coalesce(f"_b_{c}", f"_pb_{c}").alias(f"{c}_before") for c in cols]
-    if after:
-        res += [F.coalesce(f"_a_{c}", f"_pa_{c}").alias(f"{c}_after") for c in cols]
-    return joined.select(*df.columns, *res)
+    order = Window.partitionBy(*keys, "_b").orderBy(ts)
+    asc = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    desc = Window.partitionBy(*keys, "_b").orderBy(F.desc(ts)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local, res = [], []
+    for g in groups:
+        item = F.when(F.col(lead_col[g]).isNotNull(), whole(g))
+        local.append(F.last(item, ignorenulls=True).over(asc).alias(f"_b_{g}"))
+        res.append(F.coalesce(f"_b_{g}", f"_pb_{g}").alias(f"{g}_before"))
+        if after:
+            local.append(F.last(item, ignorenulls=True).over(desc).alias(f"_a_{g}"))
+            res.append(F.coalesce(f"_a_{g}", f"_pa_{g}").alias(f"{g}_after"))
+        if history:
+            local.append(F.min(known_at(g)).over(asc).alias(f"_c_{g}"))
+            res.append(F.coalesce(f"_ps_{g}", f"_c_{g}").alias(f"{g}_since"))
+    if history:
+        local.append(F.lag(ts).over(order).alias("_pt"))
+        res.append(F.coalesce("_pt", "_pe").alias("prev_ts"))
+    return rows.select("*", *local).join(edges, [*keys, "_b"]).select(*df.columns, *res)
 
 
 def running_total(

@@ -153,7 +153,8 @@ def loitering_episodes(points: DataFrame) -> DataFrame:
         *PAIR, "ts_s", "speed_knots", "course",
         F.when(begins, F.col("ts_s")).alias("island"), F.when(may_start, F.col("ts_s")).alias("eligible"),
     )
-    marked = fill_known(rows, PAIR, "ts_s", ["island", "eligible"], after=False)
+    marked = fill_known(rows, PAIR, "ts_s", {"i": ["island"], "e": ["eligible"]}, after=False)
+    marked = marked.withColumns({"island_before": F.col("i_before.island"), "eligible_before": F.col("e_before.eligible")})
     arc, arc_shifted = narrowest_arc(F.col("course"))
     episodes = (
         marked.filter(slow & (F.col("eligible_before") >= F.col("island_before")))
@@ -317,9 +318,15 @@ def draft_change(readings: DataFrame, vessels: DataFrame) -> DataFrame:
         rank_in_group(rows, PAIR, [ts, F.col("seq")], F.floor(ts / 21600), "_rn")
         .filter((rn > k - 3) & (rn <= k + 3)).select(*PAIR, "draft_m", (rn <= k).alias("_is_before"))
     )
+
+    def median3(on: Column) -> Column:
+        """Median of at most three values from their sum and extremes."""
+        v = F.when(on, draft)
+        n, rest = F.count_if(on), F.sum(v) - F.min(v) - F.max(v)
+        return F.round(F.when(n == 3, rest).otherwise(F.avg(v)), 3)
+
     medians = close.unionByName(middle).groupBy(*PAIR).agg(
-        F.round(F.percentile(F.when(F.col("_is_before"), draft), 0.5), 3).alias("_before"),
-        F.round(F.percentile(F.when(~F.col("_is_before"), draft), 0.5), 3).alias("_after"),
+        median3(F.col("_is_before")).alias("_before"), median3(~F.col("_is_before")).alias("_after")
     )
     d = facts.join(medians, PAIR, "left").join(vessels.select("mmsi", "vessel_type"), "mmsi", "left")
     delta = F.col("_before") - F.col("_after")
@@ -351,60 +358,56 @@ def closest_approach(points: DataFrame, drift: DataFrame) -> DataFrame:
     """Closest approach of each pair's vessel to its scene's drifting slick.
 
     ``points``: deduplicated pair points with captured_s; ``drift``: scene_id, ts_s, lat, lon.
-    Both series of a pair are put into one sequence; the missing side of every
-    instant is interpolated between its known neighbours, found in one shuffle.
+    Both series of a pair form one sequence. An instant lies in the common time span
+    exactly when both series have a known position on either side of it, and the
+    missing position is interpolated between those.
     """
     d = drift.groupBy("scene_id", "ts_s").agg(F.max("lat").alias("d_lat"), F.max_by("lon", "lat").alias("d_lon"))
-    facts = points.groupBy(*PAIR).agg(
-        F.min("ts_s").alias("_v0"), F.max("ts_s").alias("_v1"), F.count(F.lit(1)).alias("n_points"),
-        F.min("captured_s").alias("captured_s"),
-        ((F.min("lat") == F.max("lat")) & (F.min("lon") == F.max("lon"))).alias("_still"),
-    )
-    ends = d.groupBy("scene_id").agg(F.min("ts_s").alias("_d0"), F.max("ts_s").alias("_d1"))
-    facts = facts.join(ends, "scene_id", "left")
-    usable = facts.filter(F.col("n_points") >= 2).select(
-        *PAIR, F.greatest("_v0", "_d0").alias("_lo"), F.least("_v1", "_d1").alias("_hi")
-    ).filter(F.col("_lo") <= F.col("_hi"))
     unknown = F.lit(None).cast("double")
     vessel_side = points.select(
-        *PAIR, "ts_s", F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"), unknown.alias("d_lat"), unknown.alias("d_lon")
+        *PAIR, "ts_s", F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"), unknown.alias("d_lat"), unknown.alias("d_lon"), "captured_s"
     )
-    drift_side = d.join(usable.select(*PAIR), "scene_id").select(
-        *PAIR, "ts_s", unknown.alias("v_lat"), unknown.alias("v_lon"), "d_lat", "d_lon"
+    pairs = points.groupBy(*PAIR).agg(F.min("captured_s").alias("captured_s"))
+    drift_side = pairs.join(d, "scene_id").select(
+        *PAIR, "ts_s", unknown.alias("v_lat"), unknown.alias("v_lon"), "d_lat", "d_lon", "captured_s"
     )
-    sides = ["v_lat", "v_lon", "d_lat", "d_lon"]
+    values = ["v_lat", "v_lon", "d_lat", "d_lon", "captured_s"]
     instants = (
-        vessel_side.unionByName(drift_side).groupBy(*PAIR, "ts_s").agg(*[F.max(c).alias(c) for c in sides])
+        vessel_side.unionByName(drift_side).groupBy(*PAIR, "ts_s").agg(*[F.max(c).alias(c) for c in values])
         .withColumn("v_t", F.when(F.col("v_lat").isNotNull(), F.col("ts_s")))
         .withColumn("d_t", F.when(F.col("d_lat").isNotNull(), F.col("ts_s")))
     )
-    known = fill_known(instants, PAIR, "ts_s", [*sides, "v_t", "d_t"])
-    known = known.join(usable, PAIR).filter(F.col("ts_s").between(F.col("_lo"), F.col("_hi")))
+    known = fill_known(instants, PAIR, "ts_s", {"v": ["v_t", "v_lat", "v_lon"], "d": ["d_t", "d_lat", "d_lon"]}, history=True)
+    shared = F.col("v_before").isNotNull() & F.col("v_after").isNotNull() & F.col("d_before").isNotNull() & F.col("d_after").isNotNull()
 
     def at(side: str, c: str) -> Column:
-        t0, t1 = F.col(f"{side}_t_before"), F.col(f"{side}_t_after")
-        a, b = F.col(f"{side}_{c}_before"), F.col(f"{side}_{c}_after")
+        a, b = F.col(f"{side}_before"), F.col(f"{side}_after")
+        t0, t1 = a[f"{side}_t"], b[f"{side}_t"]
         share = F.coalesce(F.try_divide((F.col("ts_s") - t0).cast("double"), (t1 - t0).cast("double")), F.lit(0.0))
-        return F.coalesce(F.col(f"{side}_{c}"), a + share * (b - a))
+        x0, x1 = a[f"{side}_{c}"], b[f"{side}_{c}"]
+        return F.when(shared, x0 + share * (x1 - x0)).alias(f"{side}{c}")
 
+    # a step counts when the instant before is in the common span too
+    begun = F.greatest("v_since", "d_since") <= F.col("prev_ts")
     grid = known.select(
-        *PAIR, "ts_s", at("v", "lat").alias("v_lat"), at("v", "lon").alias("v_lon"), at("d", "lat").alias("d_lat"), at("d", "lon").alias("d_lon"),
+        *PAIR, "ts_s", "v_lat", "v_lon", "captured_s", at("v", "lat"), at("v", "lon"), at("d", "lat"), at("d", "lon"),
+        F.when(shared & begun, F.col("ts_s") - F.col("prev_ts")).alias("_step"),
     )
-    # the longest step of the common grid decides on low confidence
-    steps = neighbours(grid, PAIR, "ts_s", [])
-    dist = with_geodesic(steps, "v_lat", "v_lon", "d_lat", "d_lon", "dist_m")
-    best = dist.groupBy(*PAIR).agg(
-        F.min(F.struct("dist_m", "ts_s", "v_lat", "v_lon", "d_lat", "d_lon")).alias("b"),
-        F.max(F.col("ts_s") - F.col("prev.ts_s")).alias("_step"),
+    dist = with_geodesic(grid, "vlat", "vlon", "dlat", "dlon", "dist_m")
+    place = F.struct("dist_m", "ts_s", "vlat", "vlon", "dlat", "dlon")
+    out = dist.groupBy(*PAIR).agg(
+        F.min(F.when(F.col("dist_m").isNotNull(), place)).alias("b"), F.max("_step").alias("_step"),
+        F.count("v_lat").alias("n_points"), F.min("captured_s").alias("captured_s"),
+        ((F.min("v_lat") == F.max("v_lat")) & (F.min("v_lon") == F.max("v_lon"))).alias("_still"),
     )
-    out = facts.join(best, PAIR, "left")
+    out = out.withColumn("b", F.when(F.col("n_points") >= 2, F.col("b")))
     m = F.col("b.dist_m")
-    low = F.coalesce(F.coalesce("_step", F.lit(0)) > CPA_GAP_S, F.lit(False)) | m.isNull()
+    low = F.coalesce(F.col("_step") > CPA_GAP_S, F.lit(False)) | m.isNull()
     raw = F.when(m.isNull() | F.col("_still") | (m >= CPA_ZERO_M), 0.0).when(m <= CPA_FULL_M, 1.0).otherwise(1 - (m - CPA_FULL_M) / (CPA_ZERO_M - CPA_FULL_M))
     return out.select(
         *PAIR, "n_points", F.round(m, 3).alias("min_distance_m"), F.col("b.ts_s").alias("cpa_s"),
         (F.col("b.ts_s") - F.col("captured_s")).alias("tcpa_seconds"),
         F.round(F.when(low, raw * 0.5).otherwise(raw), 4).alias("cpa_score"), low.alias("low_confidence"),
-        F.col("b.v_lat").alias("vessel_lat"), F.col("b.v_lon").alias("vessel_lon"),
-        F.col("b.d_lat").alias("slick_lat"), F.col("b.d_lon").alias("slick_lon"),
+        F.col("b.vlat").alias("vessel_lat"), F.col("b.vlon").alias("vessel_lon"),
+        F.col("b.dlat").alias("slick_lat"), F.col("b.dlon").alias("slick_lon"),
     )

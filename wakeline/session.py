@@ -31,10 +31,13 @@ def tune(spark: SparkSession) -> None:
     """Runtime settings every query of this package relies on.
 
     The JVM never compiles methods above 8000 bytes of bytecode; long arithmetic
-    chains then run faster outside whole-stage code generation.
+    chains then run faster outside whole-stage code generation. Runs, scenes and
+    scenarios are small before they fan out, so adaptive execution must not merge
+    their shuffle partitions into one.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
 
 
 def shared_dir(spark: SparkSession) -> str:
