@@ -111,18 +111,24 @@ def nearest_vessel(targets: DataFrame, fleet: DataFrame, match_km: float = MATCH
     rest = t.join(first, "target_id", "left_anti")
 
     coarse = deg * 5
-    occupied = celled(v, coarse).groupBy("scene_id", "cy", "cx").agg(F.min(F.struct("v_lat", "v_lon")).alias("_rep"))
     half_diagonal = coarse * KM_PER_DEG * 0.7072
-    centre = haversine_km(
-        F.col("lat"), F.col("lon"), (F.col("cy") + 0.5) * coarse - 90.0, (F.col("cx") + 0.5) * coarse - 180.0
+    occupied = celled(v, coarse).groupBy("scene_id", "cy", "cx").agg(F.min("v_lat").alias("r_lat"), F.min_by("v_lon", "v_lat").alias("r_lon"))
+    # at most one entry per cell of a scene's footprint: bounded by its extent, not by its traffic
+    cells = occupied.groupBy("scene_id").agg(F.collect_list(F.struct("cy", "cx", "r_lat", "r_lon")).alias("cells"))
+    lat, lon = F.col("lat"), F.col("lon")
+
+    def reach(c: Column) -> Column:
+        return haversine_km(lat, lon, c["r_lat"], c["r_lon"])
+
+    def floor_km(c: Column) -> Column:
+        return haversine_km(lat, lon, (c["cy"] + 0.5) * coarse - 90.0, (c["cx"] + 0.5) * coarse - 180.0) - half_diagonal
+
+    open_cells = (
+        rest.join(cells, "scene_id")
+        .withColumn("_max", F.array_min(F.transform("cells", reach)))
+        .withColumn("_c", F.explode(F.filter("cells", lambda c: floor_km(c) <= F.col("_max"))))
+        .select("target_id", "scene_id", "lat", "lon", "_c.cy", "_c.cx")
     )
-    bounded = (
-        rest.join(occupied, "scene_id")
-        .withColumn("_ub", haversine_km(F.col("lat"), F.col("lon"), F.col("_rep.v_lat"), F.col("_rep.v_lon")))
-        .withColumn("_lb", centre - half_diagonal)
-    )
-    ceiling = bounded.groupBy("target_id").agg(F.min("_ub").alias("_max"))
-    open_cells = bounded.join(ceiling, "target_id").filter(F.col("_lb") <= F.col("_max")).select("target_id", "scene_id", "lat", "lon", "cy", "cx")
     second = closest(open_cells.join(celled(v, coarse), ["scene_id", "cy", "cx"]))
     best = first.unionByName(second)
     return targets.join(best, "target_id", "left").select(
