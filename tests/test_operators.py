@@ -153,9 +153,11 @@ def test_loitering_rules(spark):
 
 
 def draft(spark, values, at, kind="cargo"):
-    d = spark.createDataFrame([(1, "000000001", i, T + s, v, T + at) for i, (s, v) in enumerate(values)], "scene_id long, mmsi string, seq long, ts_s long, draft_m double, captured_s long")
+    runs = spark.createDataFrame([(7, 1, "000000001")], "run_id long, scene_id long, mmsi string")
+    scenes = spark.createDataFrame([(1, T + at)], "scene_id long, captured_s long")
+    d = spark.createDataFrame([("000000001", i, T + s, v) for i, (s, v) in enumerate(values)], "mmsi string, seq long, ts_s long, draft_m double")
     v = spark.createDataFrame([("000000001", kind)], "mmsi string, vessel_type string")
-    r = tracks.draft_change(d, v).first()
+    r = tracks.draft_change(runs, scenes, d, v, hours=1440).first()
     return (r.draft_score, r.draft_reason)
 
 

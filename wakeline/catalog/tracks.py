@@ -12,7 +12,7 @@ from wakeline.functions.geo import with_geodesic
 from wakeline.operators import tracks as op
 from wakeline.operators.contacts import points_in_rings, rings_of
 from wakeline.operators.sequences import neighbours
-from wakeline.operators.windows import facts_of_runs, tracks_of_runs
+from wakeline.operators.windows import tracks_of_runs
 
 R = Registry()
 
@@ -223,11 +223,6 @@ def _(spark, sf):
     return op.merge_static(static_messages(spark, sf))
 
 
-def pair_drafts(spark, sf, hours=48):
-    scenes, runs = view(spark, sf, "fx_scenes"), view(spark, sf, "fx_runs")
-    return facts_of_runs(runs, scenes, view(spark, sf, "fx_drafts"), "ts_s", hours * 3600, hours * 3600, bucket_s=86400)
-
-
 DRAFT_SQL = f"""dr AS (SELECT r.scene_id, r.mmsi, s.captured_s, f.ts_s, f.seq, f.draft_m FROM {of_runs('fx_drafts', 'ts_s', 172800, 172800)} WHERE f.draft_m IS NOT NULL),
 dn AS (SELECT *, row_number() OVER (PARTITION BY scene_id, mmsi ORDER BY ts_s, seq) AS rn, count(*) OVER w AS n, sum(CASE WHEN ts_s <= captured_s THEN 1 ELSE 0 END) OVER w AS nb,
   min(draft_m) OVER w AS lo, max(draft_m) OVER w AS hi FROM dr WINDOW w AS (PARTITION BY scene_id, mmsi)),
@@ -242,7 +237,7 @@ draft AS (SELECT scene_id, mmsi, CASE WHEN vessel_type = 'fishing' OR n < 2 OR l
 
 @R.query("draft_change", f"WITH {DRAFT_SQL} SELECT * FROM draft")
 def _(spark, sf):
-    return op.draft_change(pair_drafts(spark, sf), view(spark, sf, "fx_vessels"))
+    return op.draft_change(*[view(spark, sf, f"fx_{n}") for n in ("runs", "scenes", "drafts", "vessels")])
 
 
 _CPA_POS = """

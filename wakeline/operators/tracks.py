@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.angles import narrowest_arc
 from wakeline.functions.geo import NM_M, haversine_km, knots, with_geodesic
 from wakeline.operators.sequences import fill_known, neighbours, rank_in_group
+from wakeline.operators.windows import facts_of_runs
 
 PAIR = ["scene_id", "mmsi"]
 
@@ -277,47 +278,42 @@ def merge_static(messages: DataFrame) -> DataFrame:
     )
 
 
-def draft_change(readings: DataFrame, vessels: DataFrame) -> DataFrame:
-    """Draft pillar of each pair. ``readings``: pair keys, ts_s, seq, draft_m, captured_s."""
-    at, ts = F.col("captured_s"), F.col("ts_s")
-    known = readings.filter(F.col("draft_m").isNotNull())
+def draft_change(runs: DataFrame, scenes: DataFrame, drafts: DataFrame, vessels: DataFrame, hours: int = 48) -> DataFrame:
+    """Draft pillar of each run (scene_id, mmsi) from its vessel's readings around the scene time.
+
+    ``drafts``: mmsi, ts_s, seq, draft_m. Readings are numbered once per vessel. A run's
+    readings are then a range of numbers, found by one aggregation; only the three on
+    either side of the dividing reading are fetched.
+    """
+    at, ts, pos, draft = F.col("captured_s"), F.col("ts_s"), F.col("pos"), F.col("draft_m")
+    known = drafts.filter(draft.isNotNull()).select("mmsi", "ts_s", "seq", "draft_m")
+    numbered = rank_in_group(known, ["mmsi"], [ts, F.col("seq")], F.floor(ts / 21600), "pos")
+    readings = facts_of_runs(runs, scenes, numbered, "ts_s", hours * 3600, hours * 3600, bucket_s=86400)
     near = F.abs(ts - at) <= 48 * 3600
-    draft = F.col("draft_m")
 
     def counted(on: Column, tail: str) -> list[Column]:
         return [
             F.count_if(on).alias(f"n{tail}"), F.count_if(on & (ts <= at)).alias(f"nb{tail}"),
             F.min(F.when(on, draft)).alias(f"lo{tail}"), F.max(F.when(on, draft)).alias(f"hi{tail}"),
+            F.min(F.when(on, pos)).alias(f"p0{tail}"), F.max(F.when(on, pos)).alias(f"p1{tail}"),
         ]
 
-    raw = known.groupBy(*PAIR).agg(
+    raw = readings.groupBy(*PAIR).agg(
         (F.max(ts) - F.min(ts) > 30 * 86400).alias("_long"), *counted(F.lit(True), "_all"), *counted(near, "_near")
     )
     facts = raw.select(
-        *PAIR, "_long", *[F.when(F.col("_long"), F.col(f"{c}_near")).otherwise(F.col(f"{c}_all")).alias(f"_{c}") for c in ("n", "nb", "lo", "hi")]
+        *PAIR, *[F.when(F.col("_long"), F.col(f"{c}_near")).otherwise(F.col(f"{c}_all")).alias(f"_{c}") for c in ("n", "nb", "lo", "hi", "p0", "p1")]
     )
+    # with readings on one side only, the sequence is divided in the middle
     two_sided = (F.col("_nb") > 0) & (F.col("_nb") < F.col("_n"))
-    in_use = ~F.col("_long") | near
-
-    # the three readings on either side; the rank limit is applied before the shuffle
-    side = F.when(ts <= at, "before").otherwise("after")
-    w = Window.partitionBy(*PAIR, "_side").orderBy(
-        F.abs(ts - at), F.when(ts <= at, -F.col("seq")).otherwise(F.col("seq"))
-    )
-    close = (
-        known.select(*PAIR, "ts_s", "captured_s", "seq", "draft_m", side.alias("_side"))
-        .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 3)
-        .join(facts.filter(two_sided).select(*PAIR, "_long"), PAIR).filter(in_use)
-        .select(*PAIR, "draft_m", (F.col("_side") == "before").alias("_is_before"))
-    )
-    # all readings on one side: compare around the middle of the sequence
-    lop = facts.filter(~two_sided & (F.col("_n") >= 2)).select(*PAIR, "_long", F.floor(F.col("_n") / 2).alias("_k"))
-    rows = known.select(*PAIR, "ts_s", "captured_s", "seq", "draft_m").join(lop, PAIR).filter(in_use)
-    rn, k = F.col("_rn"), F.col("_k")
-    middle = (
-        rank_in_group(rows, PAIR, [ts, F.col("seq")], F.floor(ts / 21600), "_rn")
-        .filter((rn > k - 3) & (rn <= k + 3)).select(*PAIR, "draft_m", (rn <= k).alias("_is_before"))
+    before = F.when(two_sided, F.col("_nb")).otherwise(F.floor(F.col("_n") / 2)).cast("long")
+    last = F.col("_p0") + before - 1
+    wanted = (
+        facts.filter(F.col("_n") >= 2)
+        .select(*PAIR, "_p0", "_p1", last.alias("_last"), F.explode(F.sequence(last - 2, last + 3)).alias("pos"))
+        .filter(pos.between(F.col("_p0"), F.col("_p1")))
     )
+    picked = wanted.join(numbered.select("mmsi", "pos", "draft_m"), ["mmsi", "pos"])
 
     def median3(on: Column) -> Column:
         """Median of at most three values from their sum and extremes."""
@@ -325,8 +321,8 @@ def draft_change(readings: DataFrame, vessels: DataFrame) -> DataFrame:
         n, rest = F.count_if(on), F.sum(v) - F.min(v) - F.max(v)
         return F.round(F.when(n == 3, rest).otherwise(F.avg(v)), 3)
 
-    medians = close.unionByName(middle).groupBy(*PAIR).agg(
-        median3(F.col("_is_before")).alias("_before"), median3(~F.col("_is_before")).alias("_after")
+    medians = picked.groupBy(*PAIR).agg(
+        median3(pos <= F.col("_last")).alias("_before"), median3(pos > F.col("_last")).alias("_after")
     )
     d = facts.join(medians, PAIR, "left").join(vessels.select("mmsi", "vessel_type"), "mmsi", "left")
     delta = F.col("_before") - F.col("_after")
