@@ -131,8 +131,8 @@ def _(spark, sf):
     path = work_path(spark, "appended")
     feed = tables.track_record_id(view(spark, sf, "fx_tracks")).select("source_record_id", "ts_s", "seq")
     feed.filter(F.col("ts_s") < MID_S).write.parquet(path)
-    tables.append_if_absent(spark, path, feed, ["source_record_id", "ts_s"], "seq")
-    tables.append_if_absent(spark, path, feed, ["source_record_id", "ts_s"], "seq")
+    tables.append_if_absent(spark, path, feed, ["source_record_id", "ts_s"], "seq", ts="ts_s")
+    tables.append_if_absent(spark, path, feed, ["source_record_id", "ts_s"], "seq", ts="ts_s")
     return spark.read.parquet(path)
 
 

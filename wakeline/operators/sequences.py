@@ -3,7 +3,8 @@
 A plain window over (vessel order by time) sends every row of a vessel to one
 task. One vessel may hold a third of all rows, so the primitives here partition
 by (keys, time bucket) and carry only one summary row per bucket across bucket
-borders. The result is the same as with the plain window.
+borders. The result is the same as with the plain window. After deduplication a
+vessel has at most one row per second, so no bucket can exceed its width in rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ from wakeline.operators.cleaning import radius_filter
 from wakeline.operators.tracks import GAP_S
 from wakeline.schemas import AIS_MESSAGE
 from wakeline.session import work_path
-from wakeline.sources.tables import absent_rows
+from wakeline.sources.tables import absent_rows, same_span
 
 NO_HEADING = 511
 
@@ -196,7 +196,7 @@ def run_upsert(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return d.groupBy(*keys).agg(*[F.max_by(c, "epoch").alias(c) for c in rest])
 
 
-def run_track_sink(stream: DataFrame, name: str, keys: list[str], order: str) -> DataFrame:
+def run_track_sink(stream: DataFrame, name: str, keys: list[str], order: str, ts: str = "ts_s") -> DataFrame:
     """Idempotent append: per batch, only rows whose key the table lacks.
 
     A batch writes into a folder of its own, so a retry replaces its earlier attempt.
@@ -208,6 +208,7 @@ def run_track_sink(stream: DataFrame, name: str, keys: list[str], order: str) ->
 
     def write(batch: DataFrame, epoch: int) -> None:
         stored = spark.read.schema(stored_schema).parquet(path).filter(F.col("epoch") != epoch)
+        stored = same_span(stored, batch, ts)
         absent_rows(stored, batch, keys, order).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     q = (
