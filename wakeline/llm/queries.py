@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import license_scan
+from wakeline.llm import imatch, license_scan, minhash_dedup
 from wakeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +19,16 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.imatch(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_license_scan": op1_license_scan}
+    return {"op1_license_scan": op1_license_scan, "op3_near_duplicates": op3_near_duplicates, "op10_imatch": op10_imatch}
 
 
 def oracle_sql() -> dict[str, str]:
