@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import imatch, license_scan, minhash_dedup
+from wakeline.llm import imatch, license_scan, minhash_dedup, suffix_dedup
 from wakeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,12 +23,17 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.imatch(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_license_scan": op1_license_scan, "op3_near_duplicates": op3_near_duplicates, "op10_imatch": op10_imatch}
+    return {"op1_license_scan": op1_license_scan, "op3_near_duplicates": op3_near_duplicates, "op8_repeated_spans": op8_repeated_spans, "op10_imatch": op10_imatch}
 
 
 def oracle_sql() -> dict[str, str]:
