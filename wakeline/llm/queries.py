@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import block_search, imatch, license_scan, minhash_dedup, packing, suffix_dedup
+from wakeline.llm import block_search, imatch, language_id, license_scan, minhash_dedup, packing, suffix_dedup, toxicity
 from wakeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,17 +32,25 @@ def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.imatch(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_license_scan": op1_license_scan, "op3_near_duplicates": op3_near_duplicates, "op5_packing": op5_packing, "op6_nearest_vectors": op6_nearest_vectors, "op8_repeated_spans": op8_repeated_spans, "op10_imatch": op10_imatch}
+    return {"op1_license_scan": op1_license_scan, "op3_near_duplicates": op3_near_duplicates, "op5_packing": op5_packing, "op6_nearest_vectors": op6_nearest_vectors, "op7_language_id": op7_language_id, "op8_repeated_spans": op8_repeated_spans, "op9_toxicity": op9_toxicity, "op10_imatch": op10_imatch}
 
 
 def oracle_sql() -> dict[str, str]:
