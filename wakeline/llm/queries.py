@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import block_search, imatch, language_id, license_scan, minhash_dedup, packing, suffix_dedup, toxicity
+from wakeline.llm import block_search, html_extraction, imatch, language_id, license_scan, minhash_dedup, packing, suffix_dedup, toxicity
 from wakeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_license_scan": op1_license_scan, "op3_near_duplicates": op3_near_duplicates, "op5_packing": op5_packing, "op6_nearest_vectors": op6_nearest_vectors, "op7_language_id": op7_language_id, "op8_repeated_spans": op8_repeated_spans, "op9_toxicity": op9_toxicity, "op10_imatch": op10_imatch}
+    return {"op1_license_scan": op1_license_scan, "op2_main_text": op2_main_text, "op3_near_duplicates": op3_near_duplicates, "op5_packing": op5_packing, "op6_nearest_vectors": op6_nearest_vectors, "op7_language_id": op7_language_id, "op8_repeated_spans": op8_repeated_spans, "op9_toxicity": op9_toxicity, "op10_imatch": op10_imatch}
 
 
 def oracle_sql() -> dict[str, str]:
