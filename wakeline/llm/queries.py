@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import block_search, html_extraction, imatch, language_id, license_scan, minhash_dedup, packing, suffix_dedup, toxicity
+from wakeline.llm import block_search, html_extraction, imatch, language_id, license_scan, minhash_dedup, nbest_pieces, packing, suffix_dedup, toxicity
 from wakeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,12 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nbest_pieces.segment(table(spark, sf_dir, "documents"))
+    ranked = [F.get("scores", F.lit(k)).alias(f"score_{k + 1}") for k in range(nbest_pieces.N_BEST)]
+    return found.select("doc_id", "n_pieces", "ids_crc32", F.size("scores").alias("n_best"), *ranked, "round_trip")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -54,7 +60,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_license_scan": op1_license_scan, "op2_main_text": op2_main_text, "op3_near_duplicates": op3_near_duplicates, "op5_packing": op5_packing, "op6_nearest_vectors": op6_nearest_vectors, "op7_language_id": op7_language_id, "op8_repeated_spans": op8_repeated_spans, "op9_toxicity": op9_toxicity, "op10_imatch": op10_imatch}
+    return {"op1_license_scan": op1_license_scan, "op2_main_text": op2_main_text, "op3_near_duplicates": op3_near_duplicates, "op4_nbest_segmentation": op4_nbest_segmentation, "op5_packing": op5_packing, "op6_nearest_vectors": op6_nearest_vectors, "op7_language_id": op7_language_id, "op8_repeated_spans": op8_repeated_spans, "op9_toxicity": op9_toxicity, "op10_imatch": op10_imatch}
 
 
 def oracle_sql() -> dict[str, str]:
