@@ -2,11 +2,11 @@
 
 import pytest
 
-import __spark_entry__ as entry
 from tests.compare import compare, connect
+from wakeline import catalog
 
 SF = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+SQL = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -14,12 +14,12 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalog.queries()))
 def test_query_equals_its_sql(spark, con, name):
-    diff, n = compare(spark, con, SF, entry.queries()[name], SQL.get(name))
+    diff, n = compare(spark, con, SF, catalog.queries()[name], SQL.get(name))
     assert diff is None
     assert n >= 0
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(entry.queries())
+    assert set(SQL) == set(catalog.queries())
