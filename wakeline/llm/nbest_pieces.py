@@ -26,10 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.llm.word_memory import WordMemory
+
 BLANK = "▁"
 N_BEST = 3
-#: Words whose segmentations a worker remembers before it starts anew.
-REMEMBERED = 800_000
 
 Segmentation = tuple[float, tuple[int, ...]]
 
@@ -158,50 +158,26 @@ def flat(ids: tuple) -> tuple[int, ...]:
 
 
 class Encoder:
-    """Whole texts by remembered words: flat arrays over the words' numbers."""
+    """Whole texts by remembered words: best ids, best score, cost of the second choice, does decoding give it back."""
 
     def __init__(self, path: str, n: int) -> None:
         self.pieces, self.n = Pieces(path), n
-        self.forget()
-
-    def forget(self, room: int = 0) -> None:
-        room = max(room, REMEMBERED)
-        self.known: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        # of every word: end of its best ids, best score, cost of the second choice, does decoding give it back
-        self.ends, self.score = np.zeros(room + 1, np.int64), np.zeros(room)
-        self.step, self.right = np.zeros(room), np.zeros(room, bool)
-
-    def learn(self, word: str) -> None:
-        score, second, ids = self.pieces.viterbi(BLANK + word)
-        k = len(self.known)
-        self.known[word] = k
-        start = self.ends[k]
-        end = start + len(ids)
-        while end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[start:end] = ids
-        self.ends[k + 1], self.score[k], self.step[k] = end, score, score - second
-        self.right[k] = self.pieces.decode(ids) == word
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """Words by number. A text of more different words than are remembered makes room for itself."""
-        new = {w for w in words if w not in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
-            new = set(words)
-            self.forget(len(new))
-        for w in new:
-            self.learn(w)
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        self.memory = WordMemory(self.learn, 3)
+
+    def learn(self, words: list[str]) -> Iterator[tuple]:
+        for word in words:
+            score, second, ids = self.pieces.viterbi(BLANK + word)
+            yield ids, score, score - second, self.pieces.decode(ids) == word
 
     def ranked(self, words: list[str], number: np.ndarray) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
         """The N best totals, each with the places whose word takes another than its best choice, and its ids."""
-        step = self.step[number]
+        score, step, _ = self.memory.facts
+        step = step[number]
         near = np.argpartition(step, self.n - 2)[: self.n - 1] if 1 < self.n <= len(step) else np.arange(len(step))
         # only the words whose second choice costs least can differ in the N best
         second = sorted((step[k], int(k)) for k in near if np.isfinite(step[k]))
         choices = {k: self.pieces.best(BLANK + words[k], self.n) for _, k in second}
-        best = float(self.score[number].sum())
+        best = float(score[number].sum())
         open_: list[tuple[float, tuple, int]] = [(0.0, (), 0)]  # cost, (place, choice) pairs, first word still to change
         out: list[tuple[float, dict[int, tuple[int, ...]]]] = []
         while open_ and len(out) < self.n:
@@ -222,14 +198,13 @@ class Encoder:
         if not text:
             return np.empty(0, np.uint32), np.empty(0, np.int64), [(0.0, {})], True
         words = text.split(" ")
-        number = self.numbers(words)
+        number = self.memory.numbers(words)
         ranked = self.ranked(words, number)
-        right = bool(self.right[number].all()) and all(
+        right = bool(self.memory.facts[2, number].all()) and all(
             self.pieces.decode(ids) == words[k] for _, changed in ranked for k, ids in changed.items()
         )
-        begin, length = self.ends[number], self.ends[number + 1] - self.ends[number]
-        before = np.cumsum(length) - length
-        return self.flat[np.repeat(begin - before, length) + np.arange(int(length.sum()))], length, ranked, right
+        ids, length = self.memory.ids(number)
+        return ids, length, ranked, right
 
 
 _loaded: dict[tuple[str, int], Encoder] = {}

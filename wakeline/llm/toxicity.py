@@ -141,7 +141,7 @@ class Grammar:
 
     words: set[str]
     beginnings: set[str]
-    weights: list[float] = field(default_factory=lambda: [4.0, 4.0, 5.0, 6.0, 2.0, 2.0, -4.0])
+    weights: list[float] = field(default_factory=lambda: [4.0, 4.0, 5.0, 6.0, 2.0, 2.0, -2.5])
 
     def __post_init__(self) -> None:
         self.fixed = {w: s for s, words in SEEDS.items() for w in words.split()}
