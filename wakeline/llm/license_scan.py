@@ -71,9 +71,10 @@ def phrase_starts(words: Column, phrase: list[str]) -> Column:
 def blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """One row per line that has words of ``vocabulary``: key columns and ``words``, in the order of ``vocabulary``."""
     low = ascii_lower(F.col("text"))
-    keyed = docs.select("doc_id", F.xxhash64(low).alias("h1"), F.hash(low).alias("h2"), F.explode(F.split(low, "\n")).alias("line"))
     known = F.array(*[F.lit(w) for w in vocabulary])
-    return keyed.select("doc_id", "h1", "h2", F.array_intersect(known, words_of(F.col("line"))).alias("words")).where(F.size("words") > 0)
+    # the generator stands between the words and the filters on them, so the words are taken once
+    each = F.explode(F.transform(F.split(low, "\n"), lambda line: F.array_intersect(known, words_of(line))))
+    return docs.select("doc_id", F.xxhash64(low).alias("h1"), F.hash(low).alias("h2"), each.alias("words")).where(F.size("words") > 0)
 
 
 def word_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
