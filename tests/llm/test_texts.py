@@ -158,7 +158,7 @@ def test_repeated_spans(spark, monkeypatch, seed):
 
 
 def test_repeated_rows_and_null_ids_of_spans(spark):
-    text = "".join(random.Random(6).choice("abcdefgh ") for _ in range(300))
+    text = "".join(random.Random(6).choices("abcdefgh ", k=300))
     rows = [(5, text), (5, text), (None, text), (5, "other " + text[:200])]
     got = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
     twins = [r for r in got if r.doc_id == 5 and r.n_bytes == 300]
