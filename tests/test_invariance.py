@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wakeline.fixtures import view
-from wakeline.operators import drift, tracks
-from wakeline.operators.contacts import nearest_vessel, position_at, scene_points
+from wakeline.operators import tracks
+from wakeline.operators.contacts import candidate_filter, nearest_vessel, position_at, scene_points
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,5 +33,8 @@ def test_tracks(spark, name):
     same([run(t) for t in arrangements(view(spark, SF, "fx_tracks"))])
 
 
-def test_scenarios(spark):
-    same([drift.scenarios(s, 20) for s in arrangements(view(spark, SF, "fx_scenes"))])
+def test_candidate_boxes(spark):
+    s = view(spark, SF, "fx_scenes").selectExpr(
+        "scene_id", "captured_s", "spill_lat - 0.3 AS min_lat", "spill_lat + 0.3 AS max_lat", "spill_lon - 0.3 AS min_lon", "spill_lon + 0.3 AS max_lon"
+    )
+    same([candidate_filter(s, t) for t in arrangements(view(spark, SF, "fx_tracks"))])

@@ -16,7 +16,7 @@ from wakeline.plans import attribution as plan
 from wakeline.sources.tables import absent_rows
 
 R = Registry()
-N_RUNS = 40
+N_RUNS = 100
 
 TOTAL_SQL = (
     "CAST(round(100 * (CAST(cpa_score AS DECIMAL(9,6)) * 0.20 + CAST(dark_score AS DECIMAL(9,6)) * 0.15 + CAST(loiter_score AS DECIMAL(9,6)) * 0.15 "

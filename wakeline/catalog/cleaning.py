@@ -129,11 +129,11 @@ def _(spark, sf):
 def _(spark, sf):
     # the first half of the day is stored already; the whole feed arrives again
     path = work_path(spark, "appended")
-    feed = tables.track_record_id(view(spark, sf, "fx_tracks")).select("source_record_id", "ts_s", "seq")
-    feed.filter(F.col("ts_s") < MID_S).write.parquet(path)
+    feed = tables.track_record_id(view(spark, sf, "fx_tracks")).select("source_record_id", "mmsi", "ts_s", "seq")
+    tables.write_tracks(feed.filter(F.col("ts_s") < MID_S), path)
     tables.append_if_absent(spark, path, feed, ["source_record_id", "ts_s"], "seq", ts="ts_s")
     tables.append_if_absent(spark, path, feed, ["source_record_id", "ts_s"], "seq", ts="ts_s")
-    return spark.read.parquet(path)
+    return tables.read_tracks(spark, path).select("source_record_id", "ts_s", "seq")
 
 
 @R.query(

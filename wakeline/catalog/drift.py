@@ -5,51 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wakeline.catalog import Registry
-from wakeline.catalog.attribution import CAND_SQL, currents, inputs
-from wakeline.catalog.contacts import WIND_SQL, _km
-from wakeline.catalog.sqltext import uniform_sql as _u
+from wakeline.catalog.contacts import _km
+from wakeline.catalog.sqltext import of_runs
 from wakeline.fixtures import view
 from wakeline.operators import drift as op
-from wakeline.operators.contacts import candidate_filter, resolve_wind
-from wakeline.plans import attribution as plan
+from wakeline.operators.contacts import candidate_filter
+from wakeline.operators.windows import facts_of_runs
 
 R = Registry()
-N, PARTICLES = 10, 20
-OIL_SQL = "[" + ", ".join(f"'{o}'" for o in op.OIL_TYPES) + "]"
+WINDOW_S = 12 * 3600
 
-SCEN_SQL = f"""{WIND_SQL}, scen AS (SELECT s.*, k AS scenario, captured_s - 43200 + CAST(floor({_u(['scene_id', 'k'], 42)} * 43200) AS BIGINT) AS release_s,
-  {OIL_SQL}[CAST(floor({_u(['scene_id', 'k'], 43)} * 10) AS INTEGER) + 1] AS oil_type FROM fx_scenes s, unnest(generate_series(0, {N - 1})) x(k))"""
-_DRIFT_UV = """cur_u + 0.035e0 * (wind_u * cos(radians(15)) - wind_v * sin(radians(15))) AS du, cur_v + 0.035e0 * (wind_u * sin(radians(15)) + wind_v * cos(radians(15))) AS dv"""
-
-
-def _points_sql(source: str) -> str:
-    return f"""SELECT *, lat0 + dv * dt_s / 111320 + sg * rad * sin(ang) / 111320 AS lat, lon0 + du * dt_s / (111320 * cos(radians(lat0))) + sg * rad * cos(ang) / (111320 * cos(radians(lat0))) AS lon
-     FROM (SELECT *, {_DRIFT_UV}, sqrt(250000 + 4e0 * abs(dt_s)) AS sg, sqrt(-2 * ln(1 - {_u(['run_id', 'particle'], 44)})) AS rad, 2 * pi() * {_u(['run_id', 'particle'], 45)} AS ang FROM ({source}))"""
-
-
-ENDS_SQL = f"""{SCEN_SQL}, bruns AS (SELECT c.scene_id * 1000 + scenario AS run_id, c.scene_id, c.spill_lat AS lat0, c.spill_lon AS lon0, release_s - captured_s AS dt_s, coalesce(w.u, 0e0) AS wind_u, coalesce(w.v, 0e0) AS wind_v,
-   ((c.scene_id * 7) % 20 - 10) / 50e0 AS cur_u, ((c.scene_id * 11) % 20 - 10) / 50e0 AS cur_v FROM scen c JOIN wind w USING (scene_id)),
-ept AS ({_points_sql(f'SELECT b.*, p AS particle FROM bruns b, unnest(generate_series(0, {PARTICLES - 1})) x(p)')}),
-bnd AS (SELECT scene_id, spill_lat - 0.31 AS lat_lo, spill_lat + 0.31 AS lat_hi, spill_lon - 0.31 AS lon_lo, spill_lon + 0.31 AS lon_hi FROM fx_scenes)"""
+# what is mapped are the positions of all vessels around a scene before its capture
+ENDS_SQL = f"""bnd AS (SELECT scene_id, captured_s, spill_lat - 0.31 AS lat_lo, spill_lat + 0.31 AS lat_hi, spill_lon - 0.31 AS lon_lo, spill_lon + 0.31 AS lon_hi FROM fx_scenes),
+ept AS (SELECT b.scene_id, t.lat, t.lon FROM bnd b JOIN fx_tracks t ON t.ts_s BETWEEN captured_s - {WINDOW_S} AND captured_s AND t.lat BETWEEN lat_lo AND lat_hi AND t.lon BETWEEN lon_lo AND lon_hi)"""
 HEAT_SQL = f"""{ENDS_SQL}, cell AS (SELECT e.scene_id, least(CAST(floor((lat - lat_lo) / 0.02) AS INTEGER), 29) AS iy, least(CAST(floor((lon - lon_lo) / 0.02) AS INTEGER), 29) AS ix FROM ept e JOIN bnd USING (scene_id)
    WHERE lat >= lat_lo AND lat <= lat_lo + 30 * 0.02 AND lon >= lon_lo AND lon <= lon_lo + 30 * 0.02),
 heat AS (SELECT *, CAST(sum(n) OVER (PARTITION BY scene_id) AS BIGINT) AS total FROM (SELECT scene_id, iy, ix, count(*) AS n FROM cell GROUP BY 1, 2, 3)),
 cont AS (SELECT h.*, level FROM (SELECT *, sum(n) OVER (PARTITION BY scene_id ORDER BY n DESC, iy, ix ROWS UNBOUNDED PRECEDING) - n AS before FROM heat) h, (VALUES (0.5e0), (0.75e0), (0.9e0)) l(level) WHERE before < level * total)"""
 
 
-def _scenarios(spark, sf):
-    return op.scenarios(view(spark, sf, "fx_scenes"), N, uniform=op.portable_uniform)
-
-
-def _endpoints(spark, sf):
-    wind = resolve_wind(view(spark, sf, "fx_scenes")).select("scene_id", F.coalesce("u10", F.lit(0.0)).alias("wind_u"), F.coalesce("v10", F.lit(0.0)).alias("wind_v"))
-    runs = _scenarios(spark, sf).join(wind, "scene_id").join(currents(spark, sf), "scene_id").select(
-        (F.col("scene_id") * 1000 + F.col("scenario")).alias("run_id"), "scene_id", F.col("spill_lat").alias("lat0"), F.col("spill_lon").alias("lon0"),
-        (F.col("release_s") - F.col("captured_s")).alias("dt_s"), "wind_u", "wind_v", "cur_u", "cur_v",
-    )
-    return op.project_endpoints(runs, PARTICLES, uniform=op.portable_uniform)
-
-
 def _bounds(spark, sf):
     s = view(spark, sf, "fx_scenes")
     return s.select(
@@ -59,17 +33,12 @@ def _bounds(spark, sf):
 
 
 def _heat(spark, sf):
-    return op.heatmap(_endpoints(spark, sf).join(_bounds(spark, sf), "scene_id"))
-
-
-@R.query("drift_scenarios", f"WITH {SCEN_SQL} SELECT scene_id, scenario, release_s, oil_type FROM scen")
-def _(spark, sf):
-    return _scenarios(spark, sf).select("scene_id", "scenario", "release_s", "oil_type")
-
-
-@R.query("project_endpoints", f"WITH {ENDS_SQL} SELECT run_id, particle, round(lat, 6) AS lat, round(lon, 6) AS lon FROM ept")
-def _(spark, sf):
-    return _endpoints(spark, sf).select("run_id", "particle", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+    b = _bounds(spark, sf)
+    boxes = b.join(view(spark, sf, "fx_scenes").select("scene_id", "captured_s"), "scene_id").select(
+        "scene_id", "captured_s", *[F.col(f"{c}_{e}").alias(f"{m}_{c}") for c in ("lat", "lon") for e, m in (("lo", "min"), ("hi", "max"))]
+    )
+    points = candidate_filter(boxes, view(spark, sf, "fx_tracks"), WINDOW_S).select("scene_id", "lat", "lon")
+    return op.heatmap(points.join(b, "scene_id"))
 
 
 @R.query("heatmap", f"WITH {HEAT_SQL} SELECT scene_id, iy, ix, n, total, round(n::DOUBLE / total, 6) AS prob FROM heat")
@@ -127,17 +96,13 @@ def _(spark, sf):
 
 @R.query(
     "forward_scores",
-    f"""WITH {CAND_SQL}, fr AS (SELECT r.run_id, c.scene_id, c.mmsi, c.lat AS lat0, c.lon AS lon0, captured_s - release_s AS dt_s, wind_u, wind_v, cur_u, cur_v FROM cand c JOIN fx_runs r USING (scene_id, mmsi)),
-    fe AS ({_points_sql('SELECT f.*, p AS particle FROM fr f, unnest(generate_series(0, 9)) x(p)')}),
-    fc AS (SELECT run_id, scene_id, mmsi, avg(lat) AS c_lat, avg(lon) AS c_lon FROM fe GROUP BY 1, 2, 3)
+    f"""WITH fc AS (SELECT r.run_id, r.scene_id, r.mmsi, avg(f.lat) AS c_lat, avg(f.lon) AS c_lon FROM {of_runs('fx_tracks', 'ts_s', WINDOW_S, 0)} GROUP BY 1, 2, 3)
     SELECT run_id, scene_id, mmsi, round({_km('c_lat', 'c_lon', 'spill_lat', 'spill_lon')}, 4) AS distance_km, round(greatest(0e0, 1 - {_km('c_lat', 'c_lon', 'spill_lat', 'spill_lon')} / 30), 5) AS forward_score FROM fc JOIN fx_scenes USING (scene_id)""",
 )
 def _(spark, sf):
-    i = inputs(spark, sf)
-    runs = plan.candidates(i).join(i.runs, ["scene_id", "mmsi"]).select(
-        "run_id", "scene_id", "mmsi", F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), (F.col("captured_s") - F.col("release_s")).alias("dt_s"), "wind_u", "wind_v", "cur_u", "cur_v"
-    )
-    d = op.forward_scores(op.project_endpoints(runs, 10, uniform=op.portable_uniform), i.scenes)
+    scenes = view(spark, sf, "fx_scenes")
+    points = facts_of_runs(view(spark, sf, "fx_runs"), scenes, view(spark, sf, "fx_tracks"), "ts_s", WINDOW_S, 0)
+    d = op.forward_scores(points.select("run_id", "scene_id", "mmsi", "lat", "lon"), scenes)
     return d.select("run_id", "scene_id", "mmsi", F.round("distance_km", 4).alias("distance_km"), F.round("forward_score", 5).alias("forward_score"))
 
 

@@ -20,12 +20,12 @@ R = Registry()
 def _(spark, sf):
     scenes = view(spark, sf, "fx_scenes")
     cases = {
-        "tracks": (view(spark, sf, "fx_tracks").select("seq", (F.col("speed_knots") * 6).alias("speed_knots"), (F.col("course") + 20).alias("course_degrees")), "seq"),
-        "vessels": (view(spark, sf, "fx_vessels").select("mmsi", F.col("dwt").alias("deadweight_tonnage")), "mmsi"),
-        "scenes": (scenes.select("scene_id", (F.col("wind_direction") + 30).alias("wind_direction")), "scene_id"),
-        "spills": (scenes.select("scene_id", (F.col("area_sq_km") - 5).alias("area_sq_km")), "scene_id"),
+        "tracks": (view(spark, sf, "fx_tracks").select("seq", (F.col("speed_knots") * 6).alias("speed_knots"), (F.col("course") + 20).alias("course_degrees")), "seq", ["speed_range", "course_range"]),
+        "vessels": (view(spark, sf, "fx_vessels").select("mmsi", F.col("dwt").alias("deadweight_tonnage")), "mmsi", ["mmsi_format", "dwt_positive"]),
+        "scenes": (scenes.select("scene_id", (F.col("wind_direction") + 30).alias("wind_direction")), "scene_id", ["wind_direction_range"]),
+        "spills": (scenes.select("scene_id", (F.col("area_sq_km") - 5).alias("area_sq_km")), "scene_id", None),
     }
-    parts = [op.violation_counts(op.violations(d, t, k)).select(F.lit(t).alias("table_name"), "rule", "n") for t, (d, k) in cases.items()]
+    parts = [op.violation_counts(op.violations(d, t, k, rules)).select(F.lit(t).alias("table_name"), "rule", "n") for t, (d, k, rules) in cases.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from wakeline.operators.drift import seed_state
+
 _HAV = "round({r} * 2 * asin(sqrt(least(1e0, pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2)))), {n})"
 
 
@@ -62,8 +64,8 @@ def of_runs(facts: str, ts: str, before: int, after: int) -> str:
 
 def uniform_sql(keys: list[str], seed: int) -> str:
     """The portable uniform generator as SQL."""
-    h = str(seed)
+    h = str(seed_state(seed))
     for k in keys:
         h = f"((({h} + {k} + 1) * 48271) % 2147483647)"
-        h = f"(({h} * 69621 + 12345) % 2147483647)"
+        h = f"(({h} * ({h} + 69621) + 12345) % 2147483647)"
     return f"({h} / 2147483647e0)"

@@ -74,6 +74,17 @@ def bbox_half_extent(lat: Column, radius_km: float | Column) -> tuple[Column, Co
     return dlat, dlon
 
 
+def circle_half_extent(lat: Column, radius_km: float | Column) -> tuple[Column, Column]:
+    """Half height and half width in degrees of a box that holds the whole circle; every longitude if it holds a pole.
+
+    One percent wider, so that it holds the circle on any of the spheres and the ellipsoid in use.
+    """
+    angle = F.lit(radius_km) * 1.01 / R_AIS_KM
+    reach = F.abs(F.radians(lat)) + angle
+    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(angle) / F.cos(F.radians(lat)))))
+    return F.degrees(angle), F.when(reach >= math.pi / 2, 180.0).otherwise(wide)
+
+
 def ring_edges(ring: Column) -> Column:
     """Array of structs (lon, lat) -> array of edges; the ring is closed if open."""
     first, last = F.element_at(ring, 1), F.element_at(ring, -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wakeline.functions.geo import bbox_half_extent
+from wakeline.functions.geo import circle_half_extent
 
 
 def cell_y(lat: Column, deg: float) -> Column:
@@ -23,7 +23,7 @@ def cells_around(lat: Column, lon: Column, radius_km: float | Column, deg: float
     Columns wrap at the date line.
     """
     n = round(360 / deg)
-    dlat, dlon = bbox_half_extent(lat, radius_km)
+    dlat, dlon = circle_half_extent(lat, radius_km)
     rows = F.sequence(cell_y(lat - dlat, deg), cell_y(lat + dlat, deg))
     x0 = F.floor((lon - dlon + 180.0) / deg).cast("int")
     x1 = F.floor((lon + dlon + 180.0) / deg).cast("int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,13 +41,24 @@ RULES: dict[str, list[tuple[str, str]]] = {
 }
 
 
-def violations(df: DataFrame, table: str, key: str) -> DataFrame:
-    """One row per broken rule; a null operand satisfies a rule, as in SQL CHECK."""
+TEXT = re.compile("'[^']*'")
+COLUMN = re.compile("[a-z_]+[a-z_0-9]*")
+SQL_WORDS = frozenset("and between in is like not null or rlike length".split())
+
+
+def violations(df: DataFrame, table: str, key: str, rules: list[str] | None = None) -> DataFrame:
+    """One row per broken rule; a null operand satisfies a rule, as in SQL CHECK.
+
+    All rules of the table are checked, or those named in ``rules``; a rule whose column is absent raises.
+    """
+    known = dict(RULES[table])
+    wanted = list(known) if rules is None else rules
     have = {c.lower() for c in df.columns}
-    broken = [
-        F.when(~F.expr(cond), F.lit(name)) for name, cond in RULES[table]
-        if any(w in have for w in cond.lower().replace("(", " ").split())
-    ]
+    for name in wanted:
+        missing = {w for w in COLUMN.findall(TEXT.sub("", known[name]).lower()) if w not in SQL_WORDS} - have
+        if missing:
+            raise ValueError(f"rule {name} of {table} needs {', '.join(sorted(missing))}")
+    broken = [F.when(~F.expr(known[name]), F.lit(name)) for name in wanted]
     return df.select(F.col(key).alias("key"), F.explode(F.array_compact(F.array(*broken))).alias("rule"))
 
 

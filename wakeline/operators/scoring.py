@@ -119,10 +119,10 @@ def run_winners(run_scores: DataFrame) -> DataFrame:
     """Best vessel of each (scene, run); ties go to the smallest MMSI.
 
     Score and MMSI are packed into one integer, so this is a plain hash aggregation
-    with a partial step before the shuffle.
+    with a partial step before the shuffle. A run without any score has crashed and has no winner.
     """
     packed = F.round(F.col("score") * 1e6).cast("long") * 10**10 + (F.lit(10**10 - 1) - F.col("mmsi").cast("long"))
-    best = run_scores.groupBy("scene_id", "run").agg(F.max(packed).alias("_p"))
+    best = run_scores.where(F.col("score").isNotNull()).groupBy("scene_id", "run").agg(F.max(packed).alias("_p"))
     return best.select("scene_id", "run", (F.lit(10**10 - 1) - F.pmod("_p", F.lit(10**10))).alias("winner"))
 
 

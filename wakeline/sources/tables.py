@@ -62,11 +62,17 @@ def append_if_absent(
     """Append the rows whose key the table lacks; repeating a batch adds nothing.
 
     With ``ts``, one of the keys, only the stored rows of the same time span are compared.
+    A week-chunked table stays one: Spark reads no files beside its ``week=`` folders.
     """
     existing = spark.read.parquet(path)
+    chunked = "week" in existing.columns and "week" not in incoming.columns
     if ts:
         existing = same_span(existing, incoming, ts)
-    absent_rows(existing, incoming, keys, order).write.mode("append").parquet(path)
+    new = absent_rows(existing, incoming, keys, order)
+    if chunked:
+        write_tracks(new, path)
+    else:
+        new.write.mode("append").parquet(path)
 
 
 def track_record_id(df: DataFrame) -> DataFrame:
