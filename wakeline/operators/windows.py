@@ -30,6 +30,21 @@ def facts_of_runs(
     return f.join(r, ["mmsi", "_tb"]).filter(F.col(ts).between(at - before_s, at + after_s)).drop("_tb")
 
 
+def facts_near_runs(
+    runs: DataFrame, scenes: DataFrame, facts: DataFrame, ts: str, before_s: int, after_s: int, bucket_s: int = BUCKET_S,
+) -> DataFrame:
+    """The facts of vessels with a run in the time buckets the run's window touches, and no others.
+
+    A step before costly work on facts: it keeps the vessel and time filter below that work.
+    """
+    at = F.col("captured_s")
+    wanted = (
+        runs.join(scenes.select("scene_id", "captured_s"), "scene_id")
+        .select("mmsi", F.explode(time_buckets(at - before_s, at + after_s, bucket_s)).alias("_tb")).distinct()
+    )
+    return facts.withColumn("_tb", time_bucket(F.col(ts), bucket_s)).join(wanted, ["mmsi", "_tb"], "left_semi").drop("_tb")
+
+
 def tracks_of_runs(runs, scenes, tracks, hours: int = 6) -> DataFrame:
     return facts_of_runs(runs, scenes, tracks, "ts_s", hours * HOUR, hours * HOUR)
 
