@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.geo import haversine_km
 from wakeline.functions.grid import cell_x, cell_y, cells_around
-from wakeline.operators import integrity, scoring
+from wakeline.operators import contacts, integrity, scoring
 from wakeline.operators.drift import portable_uniform
 from wakeline.session import work_path
 from wakeline.sources import tables
@@ -64,3 +64,22 @@ def test_rule_of_an_absent_column_raises(spark):
     for table, rules in integrity.RULES.items():  # every rule names the columns it needs
         with pytest.raises(ValueError):
             integrity.violations(spark.range(1), table, "id", [rules[0][0]])
+
+
+def test_outlines_of_several_parts_and_holes(spark):
+    def square(x, y, r):
+        return [(x - r, y - r), (x + r, y - r), (x + r, y + r), (x - r, y + r)]
+
+    rings = [(0, 0, square(1, 1, 0.5)), (0, 1, square(1, 1, 0.2)), (1, 0, square(3, 1, 0.5))]
+    v = spark.createDataFrame(
+        [("s", p, k, i, x, y) for p, k, pts in rings for i, (x, y) in enumerate(pts)], "scene_id string, polygon int, ring int, vertex int, lon double, lat double"
+    )
+    outline = contacts.rings_of(v, "scene_id")
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 1.0, 1.35), (3, 1.0, 3.0), (4, 1.0, 2.0)], "id long, lat double, lon double")
+    assert sorted(r.id for r in contacts.points_in_rings(points, outline, "scene_id").collect()) == [2, 3]
+    scenes = spark.createDataFrame([("s", 10_000)], "scene_id string, captured_s long")
+    c = contacts.spill_with_scene(outline, scenes).first()
+    assert c.n_vertices == 12 and abs(c.centroid_lat - 1) < 1e-9 and abs(c.centroid_lon - (1 * 0.84 + 3 * 1.0) / 1.84) < 1e-9
+    tracks = points.selectExpr("cast(id as string) mmsi", "9000L ts_s", "lat", "lon")
+    assert sorted(r.mmsi for r in contacts.vessels_near_spill(outline, scenes, tracks, 5000.0).collect()) == ["2", "3"]
+    assert sorted(r.mmsi for r in contacts.vessels_near_spill(outline, scenes, tracks, 30_000.0).collect()) == ["1", "2", "3"]

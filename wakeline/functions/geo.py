@@ -98,20 +98,29 @@ def ring_edges(ring: Column) -> Column:
     )
 
 
-def point_in_ring(lat: Column, lon: Column, ring: Column) -> Column:
-    """Ray casting with the 1e-12 guard on horizontal edges; under 3 vertices is false."""
+def outline_edges(outline: Column) -> Column:
+    """Edges of all rings of an outline: array of structs (hole, ring)."""
+    whole = F.filter(outline, lambda r: F.size(r["ring"]) >= 3)
+    return F.flatten(F.transform(whole, lambda r: ring_edges(r["ring"])))
+
+
+def point_in_outline(lat: Column, lon: Column, outline: Column) -> Column:
+    """Ray casting with the 1e-12 guard on horizontal edges; under 3 vertices is false.
+
+    Crossings of all rings count together, so holes are outside and parts do not touch each other.
+    """
 
     def crosses(e: Column) -> Column:
         straddles = (e["y1"] > lat) != (e["y2"] > lat)
         x = (e["x2"] - e["x1"]) * (lat - e["y1"]) / (e["y2"] - e["y1"] + F.lit(1e-12)) + e["x1"]
         return straddles & (lon < x)
 
-    hits = F.size(F.filter(ring_edges(ring), lambda e: (e["y1"] != e["y2"]) & crosses(e)))
-    return F.coalesce((F.size(ring) >= 3) & (hits % 2 == 1), F.lit(False))
+    hits = F.size(F.filter(outline_edges(outline), lambda e: (e["y1"] != e["y2"]) & crosses(e)))
+    return F.coalesce(hits % 2 == 1, F.lit(False))
 
 
-def ring_distance_m(lat: Column, lon: Column, ring: Column) -> Column:
-    """Metres from a point to a ring (0 inside), on the plane tangent at the point."""
+def outline_distance_m(lat: Column, lon: Column, outline: Column) -> Column:
+    """Metres from a point to an outline (0 inside), on the plane tangent at the point."""
     ky = math.pi / 180 * R_AIS_KM * 1000
     kx = F.cos(F.radians(lat)) * ky
 
@@ -124,30 +133,36 @@ def ring_distance_m(lat: Column, lon: Column, ring: Column) -> Column:
         )
         return F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2))
 
-    return F.when(point_in_ring(lat, lon, ring), F.lit(0.0)).otherwise(
-        F.array_min(F.transform(ring_edges(ring), to_segment))
-    )
+    edges = F.flatten(F.transform(outline, lambda r: ring_edges(r["ring"])))
+    return F.when(point_in_outline(lat, lon, outline), F.lit(0.0)).otherwise(F.array_min(F.transform(edges, to_segment)))
 
 
-def ring_centroid(ring: Column) -> Column:
-    """Area-weighted centroid struct (lon, lat), computed relative to the first vertex."""
-    x0, y0 = F.element_at(ring, 1)["lon"], F.element_at(ring, 1)["lat"]
+def ring_moments(ring: Column, x0: Column, y0: Column) -> Column:
+    """Struct (a, x, y): twice the signed area and three times its moments, relative to a point."""
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
 
     def add(acc: Column, e: Column) -> Column:
         ax, ay, bx, by = e["x1"] - x0, e["y1"] - y0, e["x2"] - x0, e["y2"] - y0
         cr = ax * by - bx * ay
-        return F.struct(
-            (acc["a"] + cr).alias("a"),
-            (acc["x"] + (ax + bx) * cr).alias("x"),
-            (acc["y"] + (ay + by) * cr).alias("y"),
-        )
+        return F.struct((acc["a"] + cr).alias("a"), (acc["x"] + (ax + bx) * cr).alias("x"), (acc["y"] + (ay + by) * cr).alias("y"))
 
-    s = F.aggregate(ring_edges(ring), zero, add)
-    return F.struct(
-        (x0 + F.try_divide(s["x"], 3 * s["a"])).alias("lon"),
-        (y0 + F.try_divide(s["y"], 3 * s["a"])).alias("lat"),
-    )
+    return F.aggregate(ring_edges(ring), zero, add)
+
+
+def outline_centroid(outline: Column) -> Column:
+    """Area-weighted centroid struct (lon, lat) over all rings; holes weigh against, whatever their direction."""
+    x0, y0 = F.get(F.get(outline, F.lit(0))["ring"], F.lit(0))["lon"], F.get(F.get(outline, F.lit(0))["ring"], F.lit(0))["lat"]
+
+    def weighed(r: Column) -> Column:
+        m = ring_moments(r["ring"], x0, y0)
+        sign = F.signum(m["a"]) * F.when(r["hole"], -1.0).otherwise(1.0)
+        return F.struct((m["a"] * sign).alias("a"), (m["x"] * sign).alias("x"), (m["y"] * sign).alias("y"))
+
+    def total(name: str) -> Column:
+        return F.aggregate(F.transform(outline, weighed), F.lit(0.0), lambda acc, m: acc + m[name])
+
+    a, x, y = total("a"), total("x"), total("y")
+    return F.struct((x0 + F.try_divide(x, 3 * a)).alias("lon"), (y0 + F.try_divide(y, 3 * a)).alias("lat"))
 
 
 def knots(metres: Column, seconds: Column) -> Column:

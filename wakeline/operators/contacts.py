@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions.angles import uv_to_wind, wind_to_uv
-from wakeline.functions.geo import R_RESPONSE_KM, haversine_km, point_in_ring, ring_centroid, ring_distance_m
+from wakeline.functions.geo import R_RESPONSE_KM, haversine_km, outline_centroid, outline_distance_m, point_in_outline
 from wakeline.functions.grid import cell_x, cell_y, cells_around, time_bucket, time_buckets
 from wakeline.operators.cleaning import oil_type_of_vessel
 
@@ -184,18 +184,28 @@ def first_in_window(points: DataFrame, vessels: DataFrame) -> DataFrame:
 
 
 def rings_of(vertices: DataFrame, key: str) -> DataFrame:
-    """(key, vertex, lon, lat) -> (key, ring): an outline has few vertices, whatever the data size."""
-    return vertices.groupBy(key).agg(
+    """(key, [polygon, ring,] vertex, lon, lat) -> (key, outline): an outline has few vertices, whatever the data size.
+
+    ``outline`` is an array of structs (hole, ring); ring 0 of a polygon is its border, the others are holes. Without
+    the columns polygon and ring all vertices make one border.
+    """
+    parts = {c: F.col(c) if c in vertices.columns else F.lit(0) for c in ("polygon", "ring")}
+    v = vertices.select(key, parts["polygon"].alias("polygon"), parts["ring"].alias("part"), "vertex", "lon", "lat")
+    line = F.transform(
+        F.array_sort(F.collect_list(F.struct("vertex", "lon", "lat"))), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))
+    )
+    rings = v.groupBy(key, "polygon", "part").agg(line.alias("line"))
+    return rings.groupBy(key).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("vertex", "lon", "lat"))),
-            lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")),
-        ).alias("ring")
+            F.array_sort(F.collect_list(F.struct("polygon", "part", "line"))),
+            lambda r: F.struct((r["part"] > 0).alias("hole"), r["line"].alias("ring")),
+        ).alias("outline")
     )
 
 
 def _ring_cells(rings: DataFrame, key: str, margin_deg: float, deg: float) -> DataFrame:
-    lon = F.transform("ring", lambda p: p["lon"])
-    lat = F.transform("ring", lambda p: p["lat"])
+    points = F.flatten(F.transform("outline", lambda r: r["ring"]))
+    lon, lat = F.transform(points, lambda p: p["lon"]), F.transform(points, lambda p: p["lat"])
     wide = margin_deg / F.greatest(F.lit(0.01), F.cos(F.radians(F.array_max(F.transform(lat, lambda y: F.abs(y))))))
     n = round(360 / deg)
     rows = F.sequence(cell_y(F.array_min(lat) - margin_deg, deg), cell_y(F.array_max(lat) + margin_deg, deg))
@@ -221,16 +231,16 @@ def vessels_near_spill(
         .withColumn("cy", cell_y(F.col("lat"), deg)).withColumn("cx", cell_x(F.col("lon"), deg))
     )
     near = t.join(keyed, ["_tb", "cy", "cx"]).filter(F.col("ts_s").between(at - before_s, at))
-    return near.filter(ring_distance_m(F.col("lat"), F.col("lon"), F.col("ring")) <= metres).select("scene_id", "mmsi").distinct()
+    return near.filter(outline_distance_m(F.col("lat"), F.col("lon"), F.col("outline")) <= metres).select("scene_id", "mmsi").distinct()
 
 
 def points_in_rings(points: DataFrame, rings: DataFrame, key: str, deg: float = 0.1) -> DataFrame:
-    """Pairs (point row, ring key) where the point lies inside the ring."""
+    """Pairs (point row, ring key) where the point lies inside the outline; several parts may match a point once only."""
     p = points.withColumn("cy", cell_y(F.col("lat"), deg)).withColumn("cx", cell_x(F.col("lon"), deg))
     return (
         p.join(_ring_cells(rings, key, 0.0, deg), ["cy", "cx"])
-        .filter(point_in_ring(F.col("lat"), F.col("lon"), F.col("ring")))
-        .drop("cy", "cx", "ring")
+        .filter(point_in_outline(F.col("lat"), F.col("lon"), F.col("outline")))
+        .drop("cy", "cx", "outline")
     )
 
 
@@ -313,9 +323,10 @@ def resolve_wind(scenes: DataFrame) -> DataFrame:
 
 def spill_with_scene(rings: DataFrame, scenes: DataFrame) -> DataFrame:
     """Each slick with its scene and area-weighted centroid."""
-    c = ring_centroid(F.col("ring"))
+    c = outline_centroid(F.col("outline"))
+    size = F.aggregate("outline", F.lit(0), lambda n, r: n + F.size(r["ring"]))
     return rings.join(scenes, "scene_id").withColumn("_c", c).select(
-        *scenes.columns, F.size("ring").alias("n_vertices"), F.col("_c.lon").alias("centroid_lon"), F.col("_c.lat").alias("centroid_lat")
+        *scenes.columns, size.alias("n_vertices"), F.col("_c.lon").alias("centroid_lon"), F.col("_c.lat").alias("centroid_lat")
     )
 
 
