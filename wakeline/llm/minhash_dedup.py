@@ -44,6 +44,8 @@ ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+SMALL = 32
+TILE = 256
 #: Buckets of ids that mark which texts a confirmation may need: the bound of what it broadcasts.
 ID_BUCKETS = 1 << 20
 #: Bytes of text hashed at a time inside a task.
@@ -163,12 +165,19 @@ def bucket(column: str):
     return F.pmod(F.xxhash64(column), F.lit(ID_BUCKETS))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, screen: float) -> DataFrame:
-    """The pairs (a, b) of class ids whose full sets reach the threshold.
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of at least the documents in ``ids``.
 
-    Only texts whose id falls into a marked bucket are moved: at most ``ID_BUCKETS`` marks are broadcast, and a full
+    Only texts whose id falls into a marked bucket are moved on: at most ``ID_BUCKETS`` marks are broadcast, and a full
     set of marks merely moves every text.
     """
+    marks = ids.select(bucket("id").alias("mark")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("mark", bucket("id"))
+    return texts.join(F.broadcast(marks), "mark", "left_semi").select("id", "text")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, screen: float) -> DataFrame:
+    """The pairs (a, b) of class ids whose full sets reach the threshold."""
     sketch = classes.select("id", "n_shingles", "sig")
     left = sketch.toDF("a", "size_a", "sig_a")
     right = sketch.toDF("b", "size_b", "sig_b")
@@ -177,9 +186,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
     likely = cut_lineage(
         pairs.join(left, "a").join(right, "b").where(near).where(share("sig_a", "sig_b") >= screen).select("a", "b", "size_a", "size_b")
     )
-    marks = likely.select(bucket("a").alias("mark")).union(likely.select(bucket("b"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("mark", bucket("id"))
-    texts = texts.join(F.broadcast(marks), "mark", "left_semi").select("id", "text")
+    texts = texts_of(docs, likely.select(F.col("a").alias("id")).union(likely.select("b")))
     read = likely.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,17 +230,70 @@ def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def open_pairs(meeting: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs across components in buckets that hold several; one side is outside the bucket's largest component."""
+def open_buckets(meeting: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, id, component, size and main (the largest component) of buckets that hold several components."""
     placed = meeting.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     crowds = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    several = crowds.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main"))
-    still = cut_lineage(placed.join(several.where("parts > 1"), "key").select("key", "id", "component", "main"))
-    few = still.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    rest = still.select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
+    several = crowds.groupBy("key").agg(
+        F.count("*").alias("parts"), F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("main")
+    )
+    return placed.join(several.where("parts > 1"), "key").select("key", "id", "component", "size", "main")
+
+
+def pairs_across(small: DataFrame) -> DataFrame:
+    few = small.where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
+    rest = small.select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
     return ordered(few.join(rest, "key").where("cx <> cy"), "x", "y")
 
 
+def tile_links(large: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """The links between each component of large buckets and the outsiders that met it, tile by tile."""
+    met = cut_lineage(large.select("main", "id", "component").distinct().withColumn("outside", F.col("component") != F.col("main")))
+    counts = met.groupBy("main").agg(
+        F.ceil(F.count_if("outside") / TILE).cast("int").alias("across"), F.ceil(F.count("*") / TILE).cast("int").alias("down")
+    )
+    sized = met.join(counts, "main")
+
+    def dealt(rows: DataFrame, mine: str, other: str, parts: str, others: str, side: int) -> DataFrame:
+        home = F.pmod(F.xxhash64("id"), F.col(parts)).cast("int").alias(mine)
+        return rows.select(
+            "main", "id", "component", home, F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other), F.lit(side).alias("side")
+        )
+
+    outsiders = dealt(sized.where("outside"), "at", "to", "across", "down", 0)
+    members = dealt(sized, "to", "at", "down", "across", 1)
+    texts = texts_of(docs, met.select("id")).join(classes.select("id", "n_shingles"), "id")
+    rows = outsiders.unionByName(members).join(texts, "id")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        raw = [t.encode() for t in group["text"].fillna("")]
+        sets: list[np.ndarray] = []
+        for run in grouped(raw):
+            sets += shingle_sets([raw[i] for i in run], shingle, rolling.Powers())
+        # the size tells a class's own text from another one repeated under its id
+        own = [len(v) == n for v, n in zip(sets, group["n_shingles"])]
+        ids, parts, side = group["id"].to_numpy(), group["component"].to_numpy(), group["side"].to_numpy()
+        left = [i for i in range(len(group)) if own[i] and side[i] == 0]
+        right = [i for i in range(len(group)) if own[i] and side[i] == 1]
+        links = []
+        if left and right:
+            values = np.concatenate([sets[i] for i in left])
+            order = np.argsort(values, kind="stable")
+            owner = np.repeat(np.arange(len(left)), [len(sets[i]) for i in left])[order]
+            values = values[order]
+            sizes = np.array([len(sets[i]) for i in left])
+            for j in right:
+                a, b = np.searchsorted(values, sets[j], "left"), np.searchsorted(values, sets[j], "right")
+                n = b - a
+                at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                common = np.bincount(owner[at], minlength=len(left))
+                near = DENOMINATOR * common >= NUMERATOR * (sizes + len(sets[j]) - common)
+                links += [(min(ids[left[i]], ids[j]), max(ids[left[i]], ids[j])) for i in np.flatnonzero(near) if parts[left[i]] != parts[j]]
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+    return rows.groupBy("main", "at", "to").applyInPandas(compare, "a long, b long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 2, rows: int = ROWS, width: int = WIDTH, screen: float = SCREEN
 ) -> DataFrame:
@@ -248,8 +308,10 @@ def near_duplicates(
     meeting = cut_lineage(buckets(classes, rows))
     tried = cut_lineage(pivot_pairs(meeting))
     links = cut_lineage(confirmed(tried, classes, docs, shingle, screen))
-    across = open_pairs(meeting, components(links)).join(tried, ["a", "b"], "left_anti")
+    still = cut_lineage(open_buckets(meeting, components(links)))
+    across = pairs_across(still.where(F.col("size") <= SMALL)).join(tried, ["a", "b"], "left_anti")
     links = links.union(confirmed(across, classes, docs, shingle, screen))
+    links = links.union(tile_links(still.where(F.col("size") > SMALL), classes, docs, shingle))
     named = classes.join(components(links), "id", "left").select(
         "h1", "h2", F.col("n_shingles").alias("n"), F.coalesce("component", "id").alias("component_id")
     )
