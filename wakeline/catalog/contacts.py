@@ -121,7 +121,7 @@ def _(spark, sf):
         return F.get_json_object("value", f"$.properties.{k}")
 
     return d.select(
-        F.col("scene_id").cast("long").alias("scene_id"), prop("entity_type").alias("entity_type"), "value"
+        prop("scene_id").cast("long").alias("scene_id"), prop("entity_type").alias("entity_type"), "value"
     ).select(
         "scene_id", "entity_type",
         F.coalesce(prop("sar_id"), F.get_json_object("value", "$.properties.sar_id")).cast("long").alias("target_id"),

@@ -16,7 +16,7 @@ from wakeline.operators.cleaning import radius_filter
 from wakeline.operators.tracks import GAP_S
 from wakeline.schemas import AIS_MESSAGE
 from wakeline.session import work_path
-from wakeline.sources.tables import absent_rows, same_span
+from wakeline.sources.tables import WEEK_S, absent_rows, same_span
 
 NO_HEADING = 511
 
@@ -199,21 +199,26 @@ def run_upsert(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
 def run_track_sink(stream: DataFrame, name: str, keys: list[str], order: str, ts: str = "ts_s") -> DataFrame:
     """Idempotent append: per batch, only rows whose key the table lacks.
 
-    A batch writes into a folder of its own, so a retry replaces its earlier attempt.
+    A batch writes into week folders, below them into folders of its own, so a retry replaces its earlier attempt and
+    a batch is compared with the weeks it touches only.
     """
     spark = stream.sparkSession
     path = work_path(spark, name)
-    stored_schema = T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())])
-    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/epoch=-1")
+    parts = [T.StructField("week", T.IntegerType()), T.StructField("epoch", T.LongType())]
+    stored_schema = T.StructType([*stream.schema.fields, *parts])
+    spark.createDataFrame([], stream.schema).write.parquet(path)
 
     def write(batch: DataFrame, epoch: int) -> None:
         stored = spark.read.schema(stored_schema).parquet(path).filter(F.col("epoch") != epoch)
         stored = same_span(stored, batch, ts)
-        absent_rows(stored, batch, keys, order).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        new = absent_rows(stored, batch, keys, order)
+        new = new.withColumns({"week": F.floor(F.col(ts) / WEEK_S).cast("int"), "epoch": F.lit(epoch).cast("long")})
+        writer = new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("week", "epoch")
+        writer.parquet(path)
 
     q = (
         stream.writeStream.foreachBatch(write).trigger(availableNow=True)
         .option("checkpointLocation", work_path(spark, f"{name}-progress")).start()
     )
     q.awaitTermination()
-    return spark.read.parquet(path).drop("epoch")
+    return spark.read.schema(stored_schema).parquet(path).drop("week", "epoch")
