@@ -9,8 +9,10 @@ the share of the subsets non-empty on either side whose values agree.
 
 Only DataFrame functions are used. The lexicon is broadcast; its size is bounded whatever the corpus: a term in at
 least ``LEAST_SHARE`` of the documents takes that share of them, so there are at most (distinct terms of a mean
-document) / ``LEAST_SHARE`` terms. The next document in id order is found by a range partition whose ends meet in a
-table of one row per partition, so no task sees all ids; texts are moved once whole and once by half.
+document) / ``LEAST_SHARE`` terms. Texts are moved once: into ranges of the id order, one range per shuffle partition,
+whose borders alone come to the driver. Inside a range the next document is the next row; the last row of a range
+meets the first of the following one in a join of one row per range. A text's own and edited words pass through the
+lexicon together and are gathered in the same stage, for the ranges already hold each document in one place.
 
 Defined cases: null text is empty; a text without lexicon terms gets one value over all its words, so equal texts have
 equal fingerprints and two texts without words are alike (1.0); rows of equal id are ordered by text hash and length,
@@ -23,13 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.llm.common import ascii_lower, shuffle_partitions, words_of
-from wakeline.session import cut_lineage
 
 LEAST_SHARE = 0.0005
 MOST_SHARE = 0.2
 SUBSETS = 64
+#: Bits of a subset's value; the subset's number stands above them.
+VALUE_BITS = 25
 #: A term joins a subset with probability 2^-level; levels repeat over the subsets.
-LEVELS = (4, 5, 6, 7, 8, 9)
+LEVELS = (5, 6, 7, 8, 9, 10)
 
 
 def terms_of(text: Column) -> Column:
@@ -37,7 +40,7 @@ def terms_of(text: Column) -> Column:
 
 
 def subsets_of(term: Column) -> Column:
-    """The lexicon subsets a term belongs to, from its hash alone."""
+    """The lexicon subsets a term hash belongs to, from the hash alone."""
     member = [
         F.when(F.pmod(F.xxhash64(F.lit(j), term), F.lit(2 ** LEVELS[j % len(LEVELS)])) == 0, F.lit(j)) for j in range(SUBSETS)
     ]
@@ -45,56 +48,87 @@ def subsets_of(term: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
-    """(term, subset): the terms in the band of document frequencies, once for each subset they belong to."""
+    """(term, subset): hashes of the terms in the band of document frequencies, once for each subset they belong to."""
     total = docs.count()
     lowest, highest = max(2.0, least * total), most * total
-    seen = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").count()
+    seen = docs.select(F.explode(terms_of(F.col("text"))).alias("word")).select(F.xxhash64("word").alias("term")).groupBy("term").count()
     band = seen.where((F.col("count") >= lowest) & (F.col("count") <= highest))
     return band.select("term", F.explode(subsets_of(F.col("term"))).alias("subset"))
 
 
-def fingerprints(texts: DataFrame, keys: list[str], text: str, lexicon: DataFrame) -> DataFrame:
-    """``keys`` and ``fp``: sorted longs, the subset in the top byte. Texts without lexicon terms have no row."""
-    hits = texts.select(*keys, F.explode(terms_of(F.col(text))).alias("term")).join(F.broadcast(lexicon), "term")
-    parts = hits.groupBy(*keys, "subset").agg(
-        F.bit_xor(F.xxhash64("term")).alias("x"), F.sum(F.hash("term").cast("long")).alias("s")
-    )
-    value = F.shiftleft(F.col("subset").cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64("x", "s"), 8))
-    return parts.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("fp"))
+def hashed(text: Column) -> Column:
+    return F.transform(terms_of(text), lambda w: F.xxhash64(w))
+
+
+def tagged(kind: int, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("term")))
+
+
+def gathered(rows: DataFrame, keys: list[str], texts: list[str], facts: list[Column], lexicon: DataFrame) -> DataFrame:
+    """``keys`` with ``fp_0``, ``fp_1``.. of the columns ``texts``, and the longs ``facts`` as ``fact_0``, ``fact_1``..
+
+    A fingerprint is sorted ints, the subset above ``VALUE_BITS`` bits. Words and facts of a row go through one
+    explosion and one aggregation; a text without lexicon terms gets its ``whole_value``.
+    """
+    n = len(texts)
+    facts = [*facts, *[whole_value(F.col(t)) for t in texts]]
+    parts = [tagged(i, hashed(F.col(t))) for i, t in enumerate(texts)]
+    parts += [tagged(n + i, F.array(f)) for i, f in enumerate(facts)]
+    each = rows.select(*keys, F.explode(F.concat(*parts)).alias("e")).select(*keys, "e.kind", "e.term")
+    lex = F.broadcast(lexicon.withColumnRenamed("term", "known"))
+    hits = each.join(lex, (F.col("kind") < n) & (F.col("term") == F.col("known")), "left").where((F.col("kind") >= n) | F.col("subset").isNotNull())
+    slot = F.when(F.col("kind") < n, F.col("kind") * SUBSETS + F.col("subset")).otherwise(n * SUBSETS + F.col("kind"))
+    sums = hits.groupBy(*keys, slot.alias("slot")).agg(F.bit_xor("term").alias("x"), F.sum(F.hash("term").cast("long")).alias("s"))
+    value = F.pmod(F.xxhash64("x", "s"), F.lit(2**VALUE_BITS)) + (F.col("slot") % SUBSETS) * 2**VALUE_BITS
+    prints = [F.array_sort(F.collect_list(F.when(F.floor(F.col("slot") / SUBSETS) == i, value.cast("int")))).alias(f"fp_{i}") for i in range(n)]
+    kept = [F.max(F.when(F.col("slot") == n * SUBSETS + n + i, F.col("x"))).alias(f"fact_{i}") for i in range(len(facts))]
+    out = sums.groupBy(*keys).agg(*prints, *kept)
+    own = [F.when(F.size(f"fp_{i}") > 0, F.col(f"fp_{i}")).otherwise(F.array(F.col(f"fact_{len(facts) - n + i}").cast("int"))).alias(f"fp_{i}") for i in range(n)]
+    return out.select(*keys, *own, *[f"fact_{i}" for i in range(len(facts) - n)])
 
 
 def whole_value(text: Column) -> Column:
-    """The one-value fingerprint of a text without lexicon terms; its top byte is no subset's."""
-    return F.array(F.shiftrightunsigned(F.xxhash64(F.array_sort(terms_of(text))), 8).bitwiseOR(F.lit(127 << 56)))
+    """The one value of a text without lexicon terms: a negative int, so in no subset."""
+    return -1 - F.pmod(F.xxhash64(F.array_sort(terms_of(text))), F.lit(2**31 - 1))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    subsets = F.array_union(F.transform(a, lambda v: F.shiftright(v, 56)), F.transform(b, lambda v: F.shiftright(v, 56)))
+    subsets = F.array_union(*[F.transform(x, lambda v: F.shiftright(v, VALUE_BITS)) for x in (a, b)])
     return F.size(F.array_intersect(a, b)) / F.size(subsets)
 
 
 def as_text(fp: Column) -> Column:
-    return F.array_join(F.transform(fp, lambda v: F.lpad(F.lower(F.hex(v)), 16, "0")), "")
-
-
-def next_in_order(docs: DataFrame) -> DataFrame:
-    """One row per document: ``rid`` (unique), its key, length and the key of the next document by descending id."""
-    order = [F.col("doc_id").desc_nulls_last(), F.col("th").asc(), F.col("n").asc()]
-    narrow = docs.select("doc_id", "th", F.char_length("text").alias("n"))
-    placed = narrow.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).withColumn("part", F.spark_partition_id())
-    placed = cut_lineage(placed)
-    w = Window.partitionBy("part").orderBy(*order)
-    key = F.struct("doc_id", "th")
-    rows = placed.select("*", F.row_number().over(w).alias("at"), F.lead(key).over(w).alias("next"))
-    heads = rows.where("at = 1").select("part", key.alias("head"))
-    ends = Window.orderBy("part")
-    after = heads.select(
-        "part",
-        F.coalesce(F.lead("head").over(ends), F.first("head").over(ends.rowsBetween(Window.unboundedPreceding, 0))).alias("after"),
+    unsigned = F.transform(fp, lambda v: F.lpad(F.lower(F.hex(v.cast("long").bitwiseAND(F.lit(2**32 - 1)))), 8, "0"))
+    return F.array_join(unsigned, "")
+
+
+def place(doc_id: Column, text: Column) -> Column:
+    """Ascending where ids descend; null ids come last, rows of one id follow the hash of their text."""
+    return F.struct(
+        doc_id.isNull().alias("none"), F.bitwise_not(F.coalesce(doc_id, F.lit(0)).cast("long")).alias("down"), F.xxhash64(text).alias("th")
     )
-    joined = rows.join(F.broadcast(after), "part").withColumn("next", F.coalesce("next", "after"))
-    rid = F.shiftleft(F.col("part").cast("long"), 40) + F.col("at")
-    return joined.select(rid.alias("rid"), "doc_id", "th", "n", F.col("next.doc_id").alias("next_id"), F.col("next.th").alias("next_th"))
+
+
+def borders(rows: DataFrame) -> list[tuple]:
+    """The first place of each range of about equally many rows: at most one per shuffle partition."""
+    narrow = rows.select("at.*").repartitionByRange(shuffle_partitions(rows.sparkSession), "none", "down", "th")
+    placed = narrow.withColumn("part", F.spark_partition_id())
+    firsts = placed.groupBy("part").agg(F.min(F.struct("none", "down", "th")).alias("f")).select("f.*").collect()
+    return sorted(map(tuple, firsts))
+
+
+def range_of(rows: DataFrame, firsts: list[tuple]) -> DataFrame:
+    """Adds ``range``: how many borders stand at or before the row, less one; found by halving."""
+    kind = "struct<none:boolean,down:bigint,th:bigint>"
+    known = F.array(*[F.struct(*[F.lit(v) for v in f]).cast(kind) for f in firsts])
+    rows, step = rows.withColumn("range", F.lit(0)), 1
+    while step * 2 < len(firsts):
+        step *= 2
+    while step:
+        here = F.get(known, F.col("range") + step)
+        rows = rows.withColumn("range", F.when(here.isNotNull() & (here <= F.col("at")), F.col("range") + step).otherwise(F.col("range")))
+        step //= 2
+    return rows
 
 
 def imatch(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
@@ -102,39 +136,39 @@ def imatch(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE
 
     The edited text has the last ``floor(n_chars / 2)`` code points replaced by the first as many of the next document.
     """
-    text = F.coalesce("text", F.lit(""))
-    texts = docs.select("doc_id", text.alias("text")).withColumn("th", F.xxhash64("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.withColumn("at", place(F.col("doc_id"), F.col("text")))
     lex = lexicon(texts, least, most)
-    order = next_in_order(texts)
-    # a null id would not meet itself in an equality join
-    slot = lambda c: F.coalesce(F.col(c), F.lit(-(2**63))).alias(c)
-    once = texts.select(slot("doc_id"), "th", "text").dropDuplicates(["doc_id", "th"])
-    own = fingerprints(once, ["doc_id", "th"], "text", lex)
-    known = once.join(own, ["doc_id", "th"], "left").select(
-        "doc_id", "th", "text", F.coalesce("fp", whole_value(F.col("text"))).alias("fp")
+    firsts = borders(texts) or [(True, 0, 0)]
+    # the first document of every range, for the last row of the range before
+    following = [(k - 1 if k else len(firsts) - 1, *f) for k, f in enumerate(firsts)]
+    heads = docs.sparkSession.createDataFrame(following, "range int, none boolean, down long, th long")
+    heads = heads.select("range", F.struct("none", "down", "th").alias("at"))
+    first_texts = texts.join(F.broadcast(heads), "at").dropDuplicates(["range"]).select("range", F.col("text").alias("first_text"))
+    first_prints = gathered(first_texts, ["range"], ["first_text"], [], lex).select("range", F.col("fp_0").alias("first_fp"))
+
+    inside = Window.partitionBy("range").orderBy("at")
+    rows = range_of(texts, firsts).select(
+        "range", "doc_id", "text", F.lead("text").over(inside).alias("next"), F.row_number().over(inside).alias("row")
     )
+    rows = rows.join(first_texts.hint("merge"), "range", "left").withColumn("n", F.char_length("text"))
     half = F.floor(F.col("n") / 2).cast("int")
-    order = order.withColumns({"real_id": F.col("doc_id"), "doc_id": slot("doc_id"), "next_id": slot("next_id")})
-    front = order.join(known, ["doc_id", "th"]).select(
-        "rid", "real_id", "n", "next_id", "next_th", "fp",
-        half.alias("half"), F.substring("text", F.lit(1), F.col("n") - half).alias("front"),
-    )
-    following = known.select(
-        F.col("doc_id").alias("next_id"), F.col("th").alias("next_th"), F.col("text").alias("tail"), F.col("fp").alias("next_fp")
-    )
-    edited = front.join(following, ["next_id", "next_th"]).select(
-        "next_id", "next_th", "rid", "real_id", "n", "fp", "next_fp",
-        F.concat("front", F.substring("tail", F.lit(1), F.col("half"))).alias("edited"),
-    )
-    keys = ["next_id", "next_th", "rid"]
-    changed = fingerprints(edited, keys, "edited", lex).withColumnRenamed("fp", "edited_fp")
-    done = edited.join(changed, keys, "left").withColumn("edited_fp", F.coalesce("edited_fp", whole_value(F.col("edited"))))
-    return done.select(
-        F.col("real_id").alias("doc_id"),
+    rows = rows.withColumn("edited", F.concat(
+        F.substring("text", F.lit(1), F.col("n") - half), F.substring(F.coalesce("next", "first_text"), F.lit(1), half)
+    ))
+    digest = F.sha2("edited", 256)
+    quarters = [F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("long") for i in range(4)]
+    keys = ["range", "row", "doc_id", "n"]
+    found = gathered(rows, keys, ["text", "edited"], quarters, lex)
+    found = found.withColumn("next_fp", F.lead("fp_0").over(Window.partitionBy("range").orderBy("row")))
+    found = found.join(first_prints.hint("merge"), "range", "left").withColumn("next_fp", F.coalesce("next_fp", "first_fp"))
+    sha = F.concat(*[F.lpad(F.lower(F.hex(f"fact_{i}")), 16, "0") for i in range(4)])
+    return found.select(
+        "doc_id",
         F.col("n").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        as_text(F.col("fp")).alias("fingerprint"),
-        as_text(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        sha.alias("edited_sha256"),
+        as_text(F.col("fp_0")).alias("fingerprint"),
+        as_text(F.col("fp_1")).alias("edited_fingerprint"),
+        likeness(F.col("fp_0"), F.col("fp_1")).alias("near_edited"),
+        likeness(F.col("fp_0"), F.col("next_fp")).alias("near_next"),
     )
