@@ -9,7 +9,7 @@ the share of the subsets non-empty on either side whose values agree.
 
 Only DataFrame functions are used. The lexicon is broadcast; its size is bounded whatever the corpus: a term in at
 least ``LEAST_SHARE`` of the documents takes that share of them, so there are at most (distinct terms of a mean
-document) / ``LEAST_SHARE`` terms. Texts are moved once: into ranges of the id order, one range per shuffle partition,
+document) / ``LEAST_SHARE`` terms. Texts are moved once: into ranges of the id order, four ranges per shuffle partition,
 whose borders alone come to the driver. Inside a range the next document is the next row; the last row of a range
 meets the first of the following one in a join of one row per range. A text's own and edited words pass through the
 lexicon together and are gathered in the same stage, for the ranges already hold each document in one place.
@@ -110,8 +110,9 @@ def place(doc_id: Column, text: Column) -> Column:
 
 
 def borders(rows: DataFrame) -> list[tuple]:
-    """The first place of each range of about equally many rows: at most one per shuffle partition."""
-    narrow = rows.select("at.*").repartitionByRange(shuffle_partitions(rows.sparkSession), "none", "down", "th")
+    """The first place of each range of about equally many rows: at most four per shuffle partition."""
+    # several ranges to a partition, so that their hashes fill the partitions evenly
+    narrow = rows.select("at.*").repartitionByRange(4 * shuffle_partitions(rows.sparkSession), "none", "down", "th")
     placed = narrow.withColumn("part", F.spark_partition_id())
     firsts = placed.groupBy("part").agg(F.min(F.struct("none", "down", "th")).alias("f")).select("f.*").collect()
     return sorted(map(tuple, firsts))
