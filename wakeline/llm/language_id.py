@@ -187,7 +187,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
             for doc_id, lang, h, text in zip(batch["doc_id"], batch["lang"], batch["h"], batch["text"]):
                 grams = gram_counts(text, letters)
                 if grams is not None:
-                    data.append((h, doc_id, lang, grams[0], blank.vector(grams)))
+                    data.append((h, doc_id, lang, grams[0].astype(np.int32), blank.vector(grams).astype(np.float32)))
         data.sort(key=lambda r: r[:3])
         languages = sorted({r[2] for r in data})
         coded = [(r[3], r[4], languages.index(r[2])) for r in data]

@@ -234,6 +234,7 @@ def segment(docs: DataFrame, vocabulary: str | None = None, n: int = N_BEST, wit
                     row.append([[int(i) for k, word in enumerate(words) for i in changed.get(k, word)] for _, changed in ranked])
                 rows.append(row)
             yield pd.DataFrame(rows, columns=names)
+        encoder.memory.rest()
 
     names = ["doc_id", "n_pieces", "ids_crc32", "scores", "round_trip"] + ["ids"] * with_ids
     kind = "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, round_trip boolean"

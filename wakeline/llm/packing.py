@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,12 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.llm.common import shuffle_partitions
+from wakeline.llm.word_memory import WordMemory
 from wakeline.session import cut_lineage
 
 CONTEXT = 2048
 END_MARK = 1
-#: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
 
 
 def default_vocabulary() -> str:
@@ -51,47 +49,18 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
+        self.memory = WordMemory(self.learn)
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str]) -> Iterator[tuple[list[int]]]:
         for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            ids = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
-            size, at = sum(map(len, ids)), len(self.known)
-            while self.used + size > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            while at + len(ids) + 1 > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.flat[self.used : self.used + size] = [i for x in ids for i in x]
-            self.ends[at + 1 : at + 1 + len(ids)] = self.used + np.cumsum([len(x) for x in ids])
-            self.used += size
-            self.known.update(zip(some, range(at, at + len(some))))
+            for found in self.tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False):
+                yield (found.ids,)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, end mark included."""
         for text in texts:
-            words = re.split("[ \n]+", text)
-            new = list(dict.fromkeys(w for w in words if w not in self.known))
-            if len(self.known) + len(new) > REMEMBERED:
-                self.forget()
-                new = list(dict.fromkeys(words))
-            if new:
-                self.learn(new)
-            index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            begin, end = self.ends[index], self.ends[index + 1]
-            lengths = end - begin
-            total = int(lengths.sum())
-            before = np.cumsum(lengths) - lengths
-            ids = np.empty(total + 1, np.uint32)
-            ids[:total] = self.flat[np.repeat(begin - before, lengths) + np.arange(total)]
-            ids[total] = END_MARK
-            yield ids
+            ids, _ = self.memory.ids(self.memory.numbers(text.replace("\n", " ").split(" ")))
+            yield np.append(ids, np.uint32(END_MARK))
 
 
 _loaded: dict[str, WordTokenizer] = {}
@@ -116,6 +85,7 @@ def pieces(docs: DataFrame, vocabulary: str | None, context: int, with_ids: bool
                     row = (doc_id, start, len(part), zlib.crc32(part.astype("<u4").tobytes()), len(ids))
                     rows.append((*row, part.tolist()) if with_ids else row)
             yield pd.DataFrame(rows, columns=names)
+        tokenizer.memory.rest()
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids

@@ -41,7 +41,7 @@ LEAST_ODDS = 20.0
 LEAST_WORDS = 4
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Words whose symbol a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Characters read at a time; the automaton's state is carried across.
 CHUNK = 1 << 20
 
@@ -202,12 +202,23 @@ def patterns_of(text: str) -> set[str]:
 def learnt_patterns(toxic: list[str], clean: list[str]) -> list[str]:
     """Patterns that cover the toxic texts, greedily: the most rows not yet covered, less what clean rows weigh against
     them, then the longest."""
+    # numbers first: most patterns stand in too few rows to be worth a string
+    numbers = np.concatenate([np.fromiter(map(hash, patterns_of(t)), np.int64) for t in toxic])
+    number, times = np.unique(numbers, return_counts=True)
+    often = set(number[times >= LEAST_ROWS].tolist())
+    del numbers, number, times
     rows: dict[str, list[int]] = {}
+    words: dict[str, set[int]] = {}
     for i, text in enumerate(toxic):
         for p in patterns_of(text):
-            rows.setdefault(p, []).append(i)
-    shared = Counter(p[:n] for p in rows if p.endswith(" ") for n in BEGINNINGS if len(p) - 1 > n)
-    rows = {p: r for p, r in rows.items() if len(r) >= LEAST_ROWS and (p.endswith(" ") or shared[p] >= LEAST_WORDS)}
+            if hash(p) in often:
+                rows.setdefault(p, []).append(i)
+            if p.endswith(" "):
+                for n in BEGINNINGS:
+                    if len(p) - 1 > n and hash(p[:n]) in often and len(words.setdefault(p[:n], set())) < LEAST_WORDS:
+                        words[p[:n]].add(hash(p))
+    rows = {p: r for p, r in rows.items() if len(r) >= LEAST_ROWS and (p.endswith(" ") or len(words.get(p, ())) >= LEAST_WORDS)}
+    del words
     against: Counter[str] = Counter()
     for text in clean:
         against.update(p for p in patterns_of(text) if p in rows)

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 #: Words remembered; about 200 bytes each.
-CAPACITY = 600_000
+CAPACITY = 300_000
 
 
 def gathered(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -48,6 +48,13 @@ class WordMemory:
         self.length[:m], self.uses[:m], self.facts[:, :m] = length, uses, facts
         self.begin[:m] = np.cumsum(length) - length
 
+    def rest(self, words: int = 50_000) -> None:
+        """Between tasks keep only the words used most: the worker may serve other stages meanwhile."""
+        full, self.capacity = self.capacity, 2 * words
+        if len(self.known) > words:
+            self._forget(0)
+        self.capacity = full
+
     def numbers(self, words: list[str]) -> np.ndarray:
         """The words by number, good until the next call."""
         known = self.known
