@@ -7,8 +7,9 @@ the fingerprint of all bytes its windows span, and where it stands. Entries are
 each shard they arrive in document order and in batches; a batch is sorted into a suffix array (by fingerprint),
 merge-scanned against the levels held so far, and pushed as a level of its own; equal-sized levels merge, so a shard of
 n entries holds at most log(n) levels. An entry found in an older level, or earlier in its batch, is covered whole.
-Entries whose suffix has other surroundings elsewhere match only in part: for these the single windows pass through
-the same index family once more. All coverage is decided on the input, never on what is left.
+Entries whose suffix has other surroundings elsewhere match only in part: these are dealt out once more with their
+bytes, and their single windows pass through the same index family. All coverage is decided on the input, never on
+what is left.
 
 Scale. Every map task keeps the first of equal entries and settles the others on the spot, so a passage that a third
 of all documents share sends one entry per task and batch, not one per document. Entries are a fiftieth of the bytes.
@@ -23,7 +24,7 @@ come last; a text may be longer than a batch; extra columns are carried only whe
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -121,7 +122,7 @@ def entries(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     "start": start, "count": count.astype(np.int32),
                 }))
 
-    return docs.select("key", "dup", "text").mapInPandas(read, ENTRY)
+    return docs.mapInPandas(read, ENTRY)
 
 
 class Level:
@@ -182,68 +183,82 @@ class IndexFamily:
         return held[order][some]
 
 
-def scanned(found: DataFrame, length: int, partial: bool) -> DataFrame:
-    """Run the index family over each shard: covered spans, and with ``partial`` the entries that vary."""
+def batched(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    waiting: list[pd.DataFrame] = []
+    size = 0
+    for batch in batches:
+        waiting.append(batch)
+        size += len(batch)
+        if size >= rows:
+            yield pd.concat(waiting, ignore_index=True)
+            waiting, size = [], 0
+    if waiting:
+        yield pd.concat(waiting, ignore_index=True)
 
-    def batched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: list[pd.DataFrame] = []
-        size = 0
-        for batch in batches:
-            waiting.append(batch)
-            size += len(batch)
-            if size >= BATCH:
-                yield pd.concat(waiting)
-                waiting, size = [], 0
-        if waiting:
-            yield pd.concat(waiting)
+
+def scanned(found: DataFrame) -> DataFrame:
+    """Run the index family over each shard: covered spans, and the first entries of suffixes that vary."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         family = IndexFamily()
         columns = ["key", "dup", "start", "count", "k1"]
-        for batch in batched(batches):
-            covered = batch["covered"].to_numpy()
+        for batch in batched(batches, BATCH):
+            covered = batch["covered"].to_numpy().copy()
             open_ = batch[~covered]
-            held = open_[columns].to_numpy(np.int64) if partial else np.empty((len(open_), 0), np.int64)
-            covered = covered.copy()
-            covered[~covered] = family.push(open_["k1"].to_numpy().astype(np.uint64), open_["k2"].to_numpy().astype(np.uint64), held)
-            out = batch.loc[covered, columns] if covered.all() else batch[covered][columns]
-            yield out.assign(covered=True)
-        if partial:
-            yield pd.DataFrame(family.varied(), columns=columns).assign(covered=False)
+            k1, k2 = (open_[c].to_numpy().astype(np.uint64) for c in ("k1", "k2"))
+            covered[~covered] = family.push(k1, k2, open_[columns].to_numpy(np.int64))
+            yield batch.loc[covered, columns].assign(covered=True)
+        yield pd.DataFrame(family.varied(), columns=columns).assign(covered=False)
 
     dealt = found.repartition("k1").sortWithinPartitions("key", "dup", "start")
     return dealt.mapInPandas(scan, "key long, dup int, start long, count int, k1 long, covered boolean")
 
 
-def windows(docs: DataFrame, varied: DataFrame, length: int) -> DataFrame:
-    """Every single window of the entries that vary, as entries of their own."""
+def surroundings(docs: DataFrame, varied: DataFrame, length: int) -> DataFrame:
+    """The entries that vary with the bytes their windows span."""
     wanted = varied.groupBy(F.col("key").alias("at")).agg(F.collect_list(F.struct("dup", "start", "count", "k1")).alias("marks"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers = rolling.Powers()
         for batch in batches:
-            out = []
+            rows = []
             for key, dup, text, marks in zip(batch["key"], batch["dup"], batch["text"], batch["marks"]):
-                mine = np.array([(m["start"], m["count"], m["k1"]) for m in marks if m["dup"] == dup], np.int64).reshape(-1, 3)
-                if not len(mine):
-                    continue
-                total = int(mine[:, 1].sum())
-                before = np.repeat(np.cumsum(mine[:, 1]) - mine[:, 1], mine[:, 1])
-                start = np.repeat(mine[:, 0], mine[:, 1]) + np.arange(total) - before
-                low = int(start.min())
-                data = np.frombuffer(text.encode(), np.uint8)[low : int(start.max()) + length]
-                k2 = np.empty(total, np.int64)
-                for a in range(0, total, PIECE):
-                    some = start[a : a + PIECE] - low
-                    base = int(some.min())
-                    seen = rolling.Text(data[base : int(some.max()) + length], powers)
-                    k2[a : a + PIECE] = seen.of(some - base, some - base + length).astype(np.int64)
-                out.append(pd.DataFrame({"k1": np.repeat(mine[:, 2], mine[:, 1]), "k2": k2, "key": key, "dup": dup, "start": start, "count": np.int32(1)}))
-            if out:
-                yield settled_here(pd.concat(out, ignore_index=True))
-
-    joined = docs.select("key", "dup", "text").join(wanted, F.col("key") == F.col("at")).drop("at")
-    return joined.mapInPandas(read, ENTRY)
+                raw = text.encode()
+                rows += [
+                    (m["k1"], key, dup, m["start"], m["count"], raw[m["start"] : m["start"] + m["count"] - 1 + length])
+                    for m in marks if m["dup"] == dup
+                ]
+            yield pd.DataFrame(rows, columns=["k1", "key", "dup", "start", "count", "bytes"])
+
+    joined = docs.join(wanted, F.col("key") == F.col("at")).drop("at")
+    return joined.mapInPandas(read, "k1 long, key long, dup int, start long, count int, bytes binary")
+
+
+def scanned_windows(entries: DataFrame, length: int) -> DataFrame:
+    """Run the index family over the single windows of each shard: covered spans."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        family, powers = IndexFamily(), rolling.Powers()
+        for batch in batched(batches, BATCH // 32):
+            count = batch["count"].to_numpy(np.int64)
+            sizes = count - 1 + length
+            seen = rolling.Text(np.frombuffer(b"".join(batch["bytes"]), np.uint8), powers)
+            entry = np.repeat(np.arange(len(batch)), count)
+            within = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
+            at = np.repeat(np.cumsum(sizes) - sizes, count) + within
+            k1 = batch["k1"].to_numpy().astype(np.uint64)[entry]
+            old = family.push(k1, seen.of(at, at + length), np.empty((len(at), 0), np.int64))
+            # neighbouring covered windows of an entry leave as one span
+            head = old & ~np.concatenate([[False], old[:-1] & (entry[1:] == entry[:-1])])
+            tail = old & ~np.concatenate([old[1:] & (entry[1:] == entry[:-1]), [False]])
+            first, last = np.flatnonzero(head), np.flatnonzero(tail)
+            owner = entry[first]
+            yield pd.DataFrame({
+                "key": batch["key"].to_numpy()[owner], "dup": batch["dup"].to_numpy()[owner],
+                "start": batch["start"].to_numpy()[owner] + within[first], "count": (last - first + 1).astype(np.int32),
+            })
+
+    dealt = entries.repartition("k1").sortWithinPartitions("key", "dup", "start")
+    return dealt.mapInPandas(scan, "key long, dup int, start long, count int")
 
 
 def runs_of(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,10 +277,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     """
     base = docs.select("doc_id", *carry, F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("key", F.coalesce("doc_id", F.lit(LAST)))
-    base = base.withColumn("dup", F.dense_rank().over(Window.partitionBy("key").orderBy(F.xxhash64("text"))))
-    found = scanned(entries(base, length, gram), length, True)
-    single = scanned(windows(base, found.where("not covered"), length), length, False)
-    spans = found.where("covered").select("key", "dup", "start", "count").union(single.select("key", "dup", "start", "count"))
+    by_text = Window.partitionBy("key").orderBy("th")
+    base = base.withColumn("th", F.xxhash64("text")).withColumns({
+        "dup": F.dense_rank().over(by_text), "again": F.coalesce(F.lag("th").over(by_text) == F.col("th"), F.lit(False))
+    })
+    # all columns go into every reading of the texts: with equal columns the readings share one exchange
+    once = base.where("not again")
+    found = scanned(entries(once, length, gram))
+    partial = scanned_windows(surroundings(once, found.where("not covered"), length), length)
+    spans = found.where("covered").select("key", "dup", "start", "count").union(partial)
     per_text = spans.groupBy(F.col("key").alias("at")).agg(F.collect_list(F.struct("dup", "start", "count")).alias("marks"))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select("doc_id", *carry).schema)
     kind += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, removed array<array<long>>"
