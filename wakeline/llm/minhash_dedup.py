@@ -49,7 +49,7 @@ TILE = 256
 #: Buckets of ids that mark which texts a confirmation may need: the bound of what it broadcasts.
 ID_BUCKETS = 1 << 20
 #: Bytes of text hashed at a time inside a task.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def grouped(texts: list[bytes], most: int = BATCH_BYTES) -> Iterator[list[int]]:

@@ -36,7 +36,7 @@ from wakeline.llm import rolling
 LENGTH = 100
 GRAM = 24
 #: Bytes of text handled at a time inside a task; longer texts are read in pieces that overlap by a window.
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Entries per batch of the index family.
 BATCH = 1 << 16
 LAST = 2**63 - 1
