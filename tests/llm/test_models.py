@@ -74,3 +74,22 @@ def test_toxicity_cases(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
     conflicting = spark.createDataFrame([(3, 1), (3, 0), (None, 1), (9, 1), (4, None)], "doc_id long, toxic int")
     assert toxicity.toxicity(docs, conflicting).count() == 6
+
+
+def test_only_the_sample_goes_into_the_fitting_task(spark, monkeypatch):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    frame, fitted = type(docs), []
+    run = frame.mapInPandas
+
+    def seen(self, func, *args, **kwargs):
+        if func.__name__ == "learn":
+            fitted.append((self._jdf.queryExecution().executedPlan().toString(), self.rdd.getNumPartitions()))
+        return run(self, func, *args, **kwargs)
+
+    monkeypatch.setattr(frame, "mapInPandas", seen)
+    language_id.train(docs)
+    toxicity.train(docs, labels)
+    assert len(fitted) == 2
+    for plan, tasks in fitted:
+        above_the_join = plan[: plan.index("BroadcastHashJoin")]
+        assert tasks == 1 and "Exchange SinglePartition" in above_the_join and "Coalesce" not in above_the_join

@@ -17,6 +17,7 @@ ignored unless carried.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -188,7 +189,8 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
                 grams = gram_counts(text, letters)
                 if grams is not None:
                     data.append((h, doc_id, lang, grams[0].astype(np.int32), blank.vector(grams).astype(np.float32)))
-        data.sort(key=lambda r: r[:3])
+        # the shuffle sets no order, so rows repeated under one id are ordered by what they hold
+        data.sort(key=lambda r: (*r[:3], zlib.crc32(r[4].tobytes(), zlib.crc32(r[3].tobytes()))))
         languages = sorted({r[2] for r in data})
         coded = [(r[3], r[4], languages.index(r[2])) for r in data]
         kept_out = coded[::4]
@@ -203,7 +205,8 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
             "weight": [*weights[at, lang].tolist(), *bias.tolist(), t],
         })
 
-    chosen = sample(rows, per_language).coalesce(1)
+    # a shuffle, not coalesce: all tasks read the texts, one takes the sample
+    chosen = sample(rows, per_language).repartition(1)
     found = chosen.mapInPandas(learn, "feature long, lang string, weight double").toPandas()
     plain = found[found["feature"] <= FEATURES]
     languages = sorted(plain.loc[plain["feature"] == FEATURES, "lang"])

@@ -265,7 +265,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     order = Window.partitionBy("y").orderBy("h", "doc_id")
     ids = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.when(F.col("y") == 1, toxic).otherwise(clean))
     texts = docs.select("doc_id", "text").where("text is not null")
-    chosen = texts.join(F.broadcast(ids.select("doc_id", "y", "h")), "doc_id").coalesce(1)
+    # a shuffle, not coalesce: all tasks read the texts, one takes the sample
+    chosen = texts.join(F.broadcast(ids.select("doc_id", "y", "h")), "doc_id").repartition(1)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [r for b in batches for r in zip(b["h"], b["doc_id"], b["text"], b["y"])]
