@@ -169,6 +169,37 @@ def test_repeated_rows_and_null_ids_of_spans(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def phrase_rows():
+    rng = random.Random(4)
+    line = "this line of sixty-odd bytes stands in very many documents."
+    rows = [(i, "".join(rng.choices("abcdefgh ", k=120)) + line + "".join(rng.choices("abcdefgh ", k=120))) for i in range(300)]
+    # some share the line and one side of it, so that single windows repeat
+    return rows + [(300 + i, text[40:220] + str(i)) for i, text in rows[::10]]
+
+
+def test_windows_of_a_common_gram_spread(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MANY", 40, raising=False)
+    dealt = []
+    for name in ("scanned", "scanned_windows"):
+        def seen(found, *args, run=getattr(suffix_dedup, name)):
+            dealt.append(found)
+            return run(found, *args)
+
+        monkeypatch.setattr(suffix_dedup, name, seen)
+    rows = phrase_rows()
+    got = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_cut(rows, 100)
+    assert sum(r.n_removed > 0 for r in got) == 30
+    most = [d.groupBy("k1").count().agg({"count": "max"}).first()[0] or 0 for d in dealt]
+    assert len(most) == 2 and max(most) < 40
+
+
+@pytest.mark.parametrize("many", [1, 5])
+def test_common_grams_change_no_result(spark, monkeypatch, many):
+    monkeypatch.setattr(suffix_dedup, "MANY", many, raising=False)
+    test_repeated_spans(spark, monkeypatch, 3)
+
+
 # ---- fingerprints
 
 def test_imatch_edits(spark):

@@ -8,8 +8,10 @@ each shard they arrive in document order and in batches; a batch is sorted into
 merge-scanned against the levels held so far, and pushed as a level of its own; equal-sized levels merge, so a shard of
 n entries holds at most log(n) levels. An entry found in an older level, or earlier in its batch, is covered whole.
 Entries whose suffix has other surroundings elsewhere match only in part: these are dealt out once more with their
-bytes, and their single windows pass through the same index family. All coverage is decided on the input, never on
-what is left.
+bytes, and their single windows pass through the same index family. A gram that is counted with very many different
+surroundings is not dealt out as such: its windows leave one by one where the text is read, each dealt out by its own
+fingerprint, so that they spread over all shards and equal ones still meet. All coverage is decided on the input, never
+on what is left.
 
 Scale. Every map task keeps the first of equal entries and settles the others on the spot, so a passage that a third
 of all documents share sends one entry per task and batch, not one per document. Entries are a fiftieth of the bytes.
@@ -39,6 +41,8 @@ GRAM = 24
 PIECE = 1 << 20
 #: Entries per batch of the index family.
 BATCH = 1 << 16
+#: From so many different surroundings on, the windows of a gram are dealt out one by one.
+MANY = 1 << 16
 LAST = 2**63 - 1
 
 ENTRY = "k1 long, k2 long, key long, dup int, start long, count int, covered boolean"
@@ -69,8 +73,11 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
-def chosen_suffixes(group: list[tuple[int, int, bytes]], length: int, gram: int, powers: rolling.Powers):
-    """Entries of a group: row, start in the text, number of windows, suffix and surroundings fingerprints."""
+def chosen_suffixes(group: list[tuple[int, int, bytes]], length: int, gram: int, powers: rolling.Powers, common: np.ndarray | None = None):
+    """Entries of a group: row, start in the text, number of windows, suffix and surroundings fingerprints.
+
+    The windows of ``common`` suffixes are entries of their own, with the window's and the suffix's fingerprint.
+    """
     data = np.frombuffer(b"".join(p for _, _, p in group), np.uint8)
     sizes = np.array([len(p) for _, _, p in group], np.int64)
     ends = np.cumsum(sizes)
@@ -89,12 +96,21 @@ def chosen_suffixes(group: list[tuple[int, int, bytes]], length: int, gram: int,
     first = np.concatenate([[0], edge])
     last = np.concatenate([edge, [len(suffix)]])
     first, last = first[suffix[first] >= 0], last[suffix[first] >= 0]
+    single = np.zeros(len(first), bool)
+    if common is not None and len(common):
+        split = np.isin(grams[suffix[first]], common)
+        count = (last - first)[split]
+        each = np.repeat(first[split] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        single = np.concatenate([single[~split], np.ones(len(each), bool)])
+        first, last = np.concatenate([first[~split], each]), np.concatenate([last[~split], each + 1])
     owner = np.searchsorted(ends, first, side="right")
     # two texts may choose suffixes in a row only across an invalid stretch, so a run lies in one text
     k2 = rolling.pairs(text.of(first, last - 1 + length), (suffix[first] - first).astype(np.uint64))
+    k1 = grams[suffix[first]]
+    k1[single], k2[single] = text.of(first[single], first[single] + length), k1[single]
     rows = np.array([r for r, _, _ in group], np.int64)[owner]
     start = first - (ends - sizes)[owner] + np.array([o for _, o, _ in group], np.int64)[owner]
-    return rows, start, last - first, grams[suffix[first]], k2
+    return rows, start, last - first, k1, k2
 
 
 def settled_here(frame: pd.DataFrame) -> pd.DataFrame:
@@ -109,14 +125,37 @@ def settled_here(frame: pd.DataFrame) -> pd.DataFrame:
     return frame
 
 
-def entries(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def common_grams(docs: DataFrame, length: int, gram: int, many: int) -> np.ndarray:
+    """Chosen grams with at least ``many`` different surroundings, counted by the megabyte and where they vary there.
+
+    The count only says how windows are dealt out; whatever it says, the result is the same.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers = rolling.Powers()
+        for batch in batches:
+            for group in pieces([t.encode() for t in batch["text"]], length):
+                _, _, _, k1, k2 = chosen_suffixes(group, length, gram, powers)
+                order = np.lexsort((k2, k1))
+                k1, k2 = k1[order], k2[order]
+                new = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
+                found, n = np.unique(k1[new], return_counts=True)
+                yield pd.DataFrame({"k1": found[n > 1].astype(np.int64), "n": n[n > 1]})
+
+    counted = docs.select("text").mapInPandas(count, "k1 long, n long").groupBy("k1").agg(F.sum("n").alias("n"))
+    return counted.where(F.col("n") >= many).select("k1").toPandas()["k1"].to_numpy(np.int64).astype(np.uint64)
+
+
+def entries(docs: DataFrame, length: int, gram: int, common: np.ndarray) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = rolling.Powers()
         for batch in batches:
             texts = [t.encode() for t in batch["text"]]
             keys, dups = batch["key"].to_numpy(), batch["dup"].to_numpy()
             for group in pieces(texts, length):
-                rows, start, count, k1, k2 = chosen_suffixes(group, length, gram, powers)
+                rows, start, count, k1, k2 = chosen_suffixes(group, length, gram, powers, shared.value)
                 yield settled_here(pd.DataFrame({
                     "k1": k1.astype(np.int64), "k2": k2.astype(np.int64), "key": keys[rows], "dup": dups[rows],
                     "start": start, "count": count.astype(np.int32),
@@ -276,6 +315,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     ``kept_text`` leaves out a character of which only a part is left.
     """
     base = docs.select("doc_id", *carry, F.coalesce("text", F.lit("")).alias("text"))
+    texts = base.select("text")
     base = base.withColumn("key", F.coalesce("doc_id", F.lit(LAST)))
     by_text = Window.partitionBy("key").orderBy("th")
     base = base.withColumn("th", F.xxhash64("text")).withColumns({
@@ -283,7 +323,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     })
     # all columns go into every reading of the texts: with equal columns the readings share one exchange
     once = base.where("not again")
-    found = scanned(entries(once, length, gram))
+    found = scanned(entries(once, length, gram, common_grams(texts, length, gram, MANY)))
     partial = scanned_windows(surroundings(once, found.where("not covered"), length), length)
     spans = found.where("covered").select("key", "dup", "start", "count").union(partial)
     per_text = spans.groupBy(F.col("key").alias("at")).agg(F.collect_list(F.struct("dup", "start", "count")).alias("marks"))
