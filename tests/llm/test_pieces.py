@@ -116,6 +116,38 @@ def test_segment_table(spark):
     assert nbest_pieces.segment(docs.limit(0)).count() == 0
 
 
+def every_segmentation_of_the_file(text):
+    """Scores and ids of all segmentations of a text, from the vocabulary file alone."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=nbest_pieces.default_vocabulary())
+    size = model.vocab_size()
+    spread = math.log(sum(1.0 / (r + 2) for r in range(size)))
+    score = {}
+    for i in range(size):
+        if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)):
+            rank = 0 if model.id_to_piece(i) == "▁" else -model.get_score(i)
+            score[model.id_to_piece(i).replace("▁", " ")] = (i, -math.log(rank + 2) - spread)
+    whole = " " + text
+    reached = [[(0.0, ())]] + [[] for _ in whole]
+    for i in range(len(whole)):
+        for j in range(i + 1, len(whole) + 1):
+            if whole[i:j] in score:
+                k, s = score[whole[i:j]]
+                reached[j] += [(t + s, (*ids, k)) for t, ids in reached[i]]
+    return sorted(reached[-1], key=lambda r: -r[0])
+
+
+@pytest.mark.parametrize("text", ["a  b", "a    b", " a", "a  ", "   ", "if a:     b", "at   as  a", "a" + " " * 9 + "b"])
+def test_pieces_of_several_blanks(spark, text):
+    got = nbest_pieces.segment(spark.createDataFrame([(1, text, "", "")], DOCS), with_ids=True).first()
+    want = every_segmentation_of_the_file(text)
+    assert [round(s, 8) for s in got.scores] == [round(s, 8) for s, _ in want[: nbest_pieces.N_BEST]]
+    assert got.round_trip and got.n_pieces == len(got.ids[0])
+    of = {ids: s for s, ids in want}
+    assert [round(of[tuple(ids)], 8) for ids in got.ids] == [round(s, 8) for s in got.scores]
+
+
 # ---- vectors
 
 def test_nearest_cases(spark):

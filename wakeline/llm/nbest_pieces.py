@@ -3,8 +3,10 @@
 Method. A text's pieces form a lattice. A forward Viterbi pass gives every position the best score of reaching it; this
 is the exact cost still to go for a search from the end, so a backward A-star search finds the best segmentations one
 after the other without a detour. As every entry's estimate is exact and entries stand for different segmentations,
-only the N best entries need be kept. Pieces never cross a blank, so the lattice falls into words: each word is searched once and remembered, and
-the N best segmentations of a text are the N best sums over its words, found by the same kind of search.
+only the N best entries need be kept. Pieces of several blanks stand in runs of blanks only, so the lattice falls into units,
+each a run of blanks and the word behind it: each unit is searched once and remembered, and the N best segmentations of
+a text are the N best sums over its units, found by the same kind of search. If the vocabulary has a piece with a blank
+behind another character, a text is one unit. ``Encoder`` without ``runs`` leaves pieces with inner blanks out.
 
 The vocabulary file holds merge ranks, not probabilities; a piece of rank r gets the score of Zipf's law,
 ``-log(r + 2) - log(H)``. Characters without a piece are spelt in byte pieces, so decoding gives back every text.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +33,8 @@ from wakeline.llm.word_memory import WordMemory
 
 BLANK = "▁"
 N_BEST = 3
+#: A run of blanks and the word behind it.
+UNIT = re.compile(" +[^ ]*")
 
 Segmentation = tuple[float, tuple[int, ...]]
 
@@ -41,9 +46,12 @@ def default_vocabulary() -> str:
 
 
 class Pieces:
-    """The vocabulary: scores, ids and bytes of its pieces."""
+    """The vocabulary: scores, ids and bytes of its pieces; without ``runs`` none with a blank behind its first character.
 
-    def __init__(self, path: str) -> None:
+    A word begins with ``BLANK``; behind that its blanks are spaces, and ``BLANK`` is a character without a piece.
+    """
+
+    def __init__(self, path: str, runs: bool = False) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -57,29 +65,29 @@ class Pieces:
                 value = int(piece[3:5], 16)
                 self.byte_id[value] = i
                 self.bytes_of[i] = bytes([value])
-            elif not (model.is_control(i) or model.is_unknown(i) or BLANK in piece[1:]):
-                self.found[piece] = (i, -math.log(-model.get_score(i) + 2) - spread if piece != BLANK else -math.log(2) - spread)
+            elif not (model.is_control(i) or model.is_unknown(i) or (BLANK in piece[1:] and not runs)):
+                self.found[piece.replace(BLANK, " ")] = (i, -math.log(-model.get_score(i) + 2) - spread if piece != BLANK else -math.log(2) - spread)
                 self.bytes_of[i] = piece.replace(BLANK, " ").encode()
         self.longest = max(map(len, self.found))
+        self.across = any(" " in p.lstrip(" ") for p in self.found)
         # beginnings of pieces end a search for longer ones
         self.openings = {p[:n] for p in self.found for n in range(1, len(p) + 1)}
 
     def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For every end position the pieces that end there: start, score, ids. The word begins with its blank."""
-        n = len(word)
+        word, n = " " + word[1:], len(word)
         into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
         found, openings = self.found, self.openings
         for i in range(n):
             single = False
-            if i == 0 or word[i] != BLANK:
-                for j in range(i + 1, min(n, i + self.longest) + 1):
-                    part = word[i:j]
-                    if part not in openings or (j > i + 1 and word[j - 1] == BLANK):
-                        break
-                    hit = found.get(part)
-                    if hit is not None:
-                        into[j].append((i, hit[1], (hit[0],)))
-                        single = single or j == i + 1
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                part = word[i:j]
+                if part not in openings:
+                    break
+                hit = found.get(part)
+                if hit is not None:
+                    into[j].append((i, hit[1], (hit[0],)))
+                    single = single or j == i + 1
             if not single:
                 spelt = tuple(self.byte_id[b] for b in word[i].encode("utf-8", "replace"))
                 into[i + 1].append((i, self.lowest * len(spelt), spelt))
@@ -87,26 +95,26 @@ class Pieces:
 
     def viterbi(self, word: str) -> tuple[float, float, tuple[int, ...]]:
         """Best score, second best score (minus infinity if there is none) and best ids of a word with its blank."""
+        word = " " + word[1:]
         n, found, openings, longest = len(word), self.found, self.openings, self.longest
         first, second = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
         back: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (n + 1)
         first[0] = 0.0
         for i in range(n):
             one, two, single = first[i], second[i], False
-            if i == 0 or word[i] != BLANK:
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    part = word[i:j]
-                    if part not in openings or (j > i + 1 and word[j - 1] == BLANK):
-                        break
-                    if part in found:
-                        piece, s = found[part]
-                        if one + s > first[j]:
-                            second[j] = max(first[j], two + s)
-                            first[j] = one + s
-                            back[j] = (i, (piece,))
-                        elif one + s > second[j]:
-                            second[j] = one + s
-                        single = single or j == i + 1
+            for j in range(i + 1, min(n, i + longest) + 1):
+                part = word[i:j]
+                if part not in openings:
+                    break
+                if part in found:
+                    piece, s = found[part]
+                    if one + s > first[j]:
+                        second[j] = max(first[j], two + s)
+                        first[j] = one + s
+                        back[j] = (i, (piece,))
+                    elif one + s > second[j]:
+                        second[j] = one + s
+                    single = single or j == i + 1
             if not single:
                 spelt = tuple(self.byte_id[b] for b in word[i].encode("utf-8", "replace"))
                 s, j = self.lowest * len(spelt), i + 1
@@ -160,10 +168,16 @@ def flat(ids: tuple) -> tuple[int, ...]:
 class Encoder:
     """Whole texts by remembered words: best ids, best score, cost of the second choice, does decoding give it back."""
 
-    def __init__(self, path: str, n: int) -> None:
-        self.pieces, self.n = Pieces(path), n
+    def __init__(self, path: str, n: int, runs: bool = False) -> None:
+        self.pieces, self.n, self.runs = Pieces(path, runs), n, runs
         self.memory = WordMemory(self.learn, 3)
 
+    def units(self, text: str) -> list[str]:
+        """The parts of a text that no piece crosses, each without the blank it begins with."""
+        if not self.runs:
+            return text.split(" ")
+        return [text] if self.pieces.across else [unit[1:] for unit in UNIT.findall(" " + text)]
+
     def learn(self, words: list[str]) -> Iterator[tuple]:
         for word in words:
             score, second, ids = self.pieces.viterbi(BLANK + word)
@@ -197,7 +211,7 @@ class Encoder:
         gives the text back."""
         if not text:
             return np.empty(0, np.uint32), np.empty(0, np.int64), [(0.0, {})], True
-        words = text.split(" ")
+        words = self.units(text)
         number = self.memory.numbers(words)
         ranked = self.ranked(words, number)
         right = bool(self.memory.facts[2, number].all()) and all(
@@ -212,7 +226,7 @@ _loaded: dict[tuple[str, int], Encoder] = {}
 
 def worker_encoder(path: str, n: int) -> Encoder:
     if (path, n) not in _loaded:
-        _loaded[path, n] = Encoder(path, n)
+        _loaded[path, n] = Encoder(path, n, runs=True)
     return _loaded[path, n]
 
 
