@@ -19,6 +19,9 @@ COLUMNS = {
     "op8_repeated_spans": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op9_toxicity": "doc_id held_out score predicted",
     "op10_imatch": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    "op11_vector_codes": "vec_id code error label_error codebooks_sha256",
+    "op12_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op13_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
 }
 
 

@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import block_search, html_extraction, imatch, language_id, license_scan, minhash_dedup, nbest_pieces, packing, suffix_dedup, toxicity
+from wakeline.llm import block_search, html_extraction, imatch, language_id, license_scan, merkle_manifest, minhash_dedup, nbest_pieces, packing
+from wakeline.llm import secret_scan, suffix_dedup, toxicity, vector_codes
 from wakeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,9 +60,21 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.imatch(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_license_scan": op1_license_scan, "op2_main_text": op2_main_text, "op3_near_duplicates": op3_near_duplicates, "op4_nbest_segmentation": op4_nbest_segmentation, "op5_packing": op5_packing, "op6_nearest_vectors": op6_nearest_vectors, "op7_language_id": op7_language_id, "op8_repeated_spans": op8_repeated_spans, "op9_toxicity": op9_toxicity, "op10_imatch": op10_imatch}
+    return {"op1_license_scan": op1_license_scan, "op2_main_text": op2_main_text, "op3_near_duplicates": op3_near_duplicates, "op4_nbest_segmentation": op4_nbest_segmentation, "op5_packing": op5_packing, "op6_nearest_vectors": op6_nearest_vectors, "op7_language_id": op7_language_id, "op8_repeated_spans": op8_repeated_spans, "op9_toxicity": op9_toxicity, "op10_imatch": op10_imatch, "op11_vector_codes": op11_vector_codes, "op12_merkle_manifest": op12_merkle_manifest, "op13_secret_scan": op13_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle(), "op6_nearest_vectors": block_search.oracle()}
+    return {"op1_license_scan": license_scan.oracle(), "op6_nearest_vectors": block_search.oracle(), "op11_vector_codes": vector_codes.oracle(), "op12_merkle_manifest": merkle_manifest.oracle(), "op13_secret_scan": secret_scan.oracle()}
