@@ -217,6 +217,39 @@ def _(spark, sf):
     return d.select("scene_id", F.round("u10", 4).alias("u10"), F.round("v10", 4).alias("v10"))
 
 
+_AXIS = """{a}x AS (SELECT scene_id, x FROM (SELECT s.scene_id, e.x, row_number() OVER (PARTITION BY s.scene_id ORDER BY abs(e.x - s.{a}), e.x DESC) AS rn
+  FROM sp s JOIN (SELECT DISTINCT sector, {a} AS x FROM fx_env_hours) e USING (sector)) WHERE rn = 1)"""
+ENV_SQL = f"""sp AS (SELECT scene_id, CAST(floor(scene_id / 100e0) AS BIGINT) AS sector, spill_lat AS lat, spill_lon AS lon, captured_s AS ts_s, meta_u, meta_v, wind_speed FROM fx_scenes),
+{", ".join(_AXIS.format(a=a) for a in ("lat", "lon", "ts_s"))},
+env AS (SELECT sp.*, e.u10, e.v10 FROM sp LEFT JOIN latx a USING (scene_id) LEFT JOIN lonx o USING (scene_id) LEFT JOIN ts_sx t USING (scene_id)
+  LEFT JOIN fx_env_hours e ON e.sector = sp.sector AND e.lat = a.x AND e.lon = o.x AND e.ts_s = t.x)"""
+
+
+def _scene_points(spark, sf):
+    s = view(spark, sf, "fx_scenes")
+    return s.select(
+        "scene_id", F.floor(F.col("scene_id") / 100.0).alias("sector"), F.col("spill_lat").alias("lat"), F.col("spill_lon").alias("lon"), F.col("captured_s").alias("ts_s"),
+        F.col("meta_u").alias("u10"), F.col("meta_v").alias("v10"), F.when(F.col("wind_speed").isNull(), "Regional Physics").alias("wind_source"),
+    )
+
+
+@R.query("nearest_env", f"WITH {ENV_SQL} SELECT scene_id, u10, v10 FROM env")
+def _(spark, sf):
+    p = _scene_points(spark, sf).drop("u10", "v10", "wind_source")
+    return op.nearest_env(p, view(spark, sf, "fx_env_hours"), keys=("sector",)).select("scene_id", "u10", "v10")
+
+
+@R.query(
+    "join_weather",
+    f"""WITH {ENV_SQL} SELECT scene_id, CASE WHEN own THEN meta_u ELSE u10 END AS u10, CASE WHEN own THEN meta_v ELSE v10 END AS v10,
+    CASE WHEN own THEN 'skipped' WHEN u10 IS NOT NULL THEN 'joined' ELSE 'missing' END AS joined, CASE WHEN wind_speed IS NULL AND u10 IS NULL THEN 'Regional Physics' END AS wind_source
+    FROM (SELECT *, meta_u IS NOT NULL AND wind_speed IS NOT NULL AS own FROM env)""",
+)
+def _(spark, sf):
+    d = op.join_weather(_scene_points(spark, sf), view(spark, sf, "fx_env_hours"), keys=("sector",))
+    return d.select("scene_id", "u10", "v10", "joined", "wind_source")
+
+
 WIND_SQL = """wind AS (SELECT scene_id, u, v, sqrt(u * u + v * v) AS ms, ((degrees(atan2(u, v)) + 360) % 360 + 360) % 360 AS dir, src FROM (SELECT scene_id,
    CASE WHEN wind_speed IS NOT NULL THEN wind_speed * sin(radians(wind_direction)) ELSE meta_u END AS u, CASE WHEN wind_speed IS NOT NULL THEN wind_speed * cos(radians(wind_direction)) ELSE meta_v END AS v,
    CASE WHEN wind_speed IS NOT NULL THEN 'scene_derived' WHEN meta_u IS NOT NULL THEN 'metadata_json' ELSE 'none' END AS src FROM fx_scenes))"""

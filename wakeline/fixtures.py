@@ -100,6 +100,13 @@ VIEWS: dict[str, str] = {
                68e0 + (CAST(floor(o_orderkey / 101e0) AS BIGINT) % 149) * 0.25e0 AS lon,
                max(((o_orderkey * 7) % 200) / 10e0 - 10) AS u10, max(((o_orderkey * 13) % 200) / 10e0 - 10) AS v10
         FROM {{orders}} GROUP BY 1, 2""",
+    # one grid per sector with uneven latitudes and hours, some places left out
+    "fx_env_hours": f"""
+        SELECT sector, 18.15e0 + i * 0.21e0 + (i % 3) * 0.05e0 + {_sector_lat('sector')} AS lat, 70.1e0 + j * 0.23e0 + {_sector_lon('sector')} AS lon,
+               {T0} + k * 10800 + (k % 2) * 1800 AS ts_s, max((o_orderkey * 7) % 200 / 10e0 - 10) AS u10, max((o_orderkey * 13) % 200 / 10e0 - 10) AS v10
+        FROM (SELECT o_orderkey, CAST(floor(o_custkey / 1500e0) AS BIGINT) AS sector, o_orderkey % 8 AS i,
+                     CAST(floor(o_orderkey / 8e0) AS BIGINT) % 6 AS j, CAST(floor(o_orderkey / 48e0) AS BIGINT) % 9 AS k FROM {{orders}}) o
+        GROUP BY sector, i, j, k""",
     "fx_stations": """
         SELECT CAST(n_nationkey AS BIGINT) AS station_id, n_name AS station_name,
                10e0 + 4.5e0 * (n_nationkey % 5) AS lat, 66e0 + 3.5e0 * floor(n_nationkey / 5e0) AS lon

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions.geo import eta_hours
 from wakeline.operators.contacts import interceptors_near, nearest_stations
-from wakeline.operators.sequences import fill_known, neighbours
 
 # Fixed values of the response rules.
 MIN_CONFIDENCE = 0.75
 HIGH_CONFIDENCE = 0.90
 COOLDOWN_S = 30 * 60
+DAY_S = 86400
 BACKUPS = 2
 NAMED_ASSETS = 5
 
@@ -45,32 +47,68 @@ def gate_incidents(requests: DataFrame, stations: DataFrame) -> DataFrame:
     ).drop("_early")
 
 
+def _day_steps(ticks: pd.DataFrame, cooldown_s: int) -> pd.DataFrame:
+    """How a day carries the last dispatch on: ``last`` for every earlier last dispatch under ``below``.
+
+    The steps ascend; a last dispatch at or above all of them passes the day unchanged, all its requests being stopped.
+    """
+    station, day = ticks["station_id"].iloc[0], ticks["day"].iloc[0]
+    s = np.sort(ticks["requested_s"].to_numpy())
+    after = np.searchsorted(s, s + cooldown_s, side="right")
+    # no dispatch of an earlier day reaches past the first request that lies a cooldown within this day
+    n = min(len(s), int(np.searchsorted(s, day * DAY_S + cooldown_s)) + 1)
+    at = np.arange(n)
+    while (after[at] < len(s)).any():
+        at = np.where(after[at] < len(s), after[at], at)
+    below, last = s[:n] - cooldown_s, s[at]
+    step = np.append(last[1:] != last[:-1], True)
+    return pd.DataFrame({"station_id": station, "day": day, "below": below[step], "last": last[step]})
+
+
+def _carried(days: pd.DataFrame) -> pd.DataFrame:
+    """The last dispatch before each day of a station: its days' steps, one after the other."""
+    out, last = [], None
+    for day, steps in days.sort_values(["day", "below"]).groupby("day", sort=True):
+        out.append((steps["station_id"].iloc[0], day, last))
+        below = steps["below"].to_numpy()
+        k = 0 if last is None else int(np.searchsorted(below, last, side="right"))
+        last = int(steps["last"].iloc[k]) if k < len(below) else last
+    return pd.DataFrame(out, columns=["station_id", "day", "last"]).astype({"last": "Int64"})
+
+
+def _dispatched(ticks: pd.DataFrame, carried: pd.DataFrame, cooldown_s: int) -> pd.DataFrame:
+    """The seconds of a day that are dispatched, given the last dispatch before it."""
+    s = np.sort(ticks["requested_s"].to_numpy())
+    last = carried["last"].iloc[0]
+    k = 0 if pd.isna(last) else int(np.searchsorted(s, last + cooldown_s, side="right"))
+    kept = []
+    while k < len(s):
+        kept.append(s[k])
+        k = int(np.searchsorted(s, s[k] + cooldown_s, side="right"))
+    return pd.DataFrame({"station_id": ticks["station_id"].iloc[0], "requested_s": np.array(kept, np.int64)})
+
+
 def cooldown(gated: DataFrame, cooldown_s: int = COOLDOWN_S) -> DataFrame:
     """Mark requests of a station that come within the cooldown of its last dispatched one.
 
-    A request more than the cooldown after its predecessor is dispatched whatever
-    happened before, so the stretches between such silences are independent. Only the
-    distinct seconds of one busy stretch are folded together, never a station's history.
+    Whether a request is dispatched depends on all before it, but a day acts on what came before only as a step
+    function: last dispatch before the day -> last dispatch after it, with at most one step per second of the
+    cooldown. The steps are found per (station, day) in parallel, composed along the days of a station (only steps
+    go into that group, no requests), and every day is then replayed from its own last dispatch, in parallel again. No
+    group holds more than a day's distinct seconds, and a station that never pauses is many days. A cooldown may not
+    be longer than a day.
     """
+    if not 0 <= cooldown_s <= DAY_S:
+        raise ValueError("the cooldown may not be longer than a day")
     open_ = gated.filter(F.col("reason").isNull())
-    ticks = open_.groupBy("station_id", "requested_s").agg(F.min("request_id").alias("request_id"))
-    t = neighbours(ticks, ["station_id"], "requested_s", [], bucket_s=86400)
-    fresh = F.col("prev").isNull() | (F.col("requested_s") - F.col("prev.requested_s") > cooldown_s)
-    t = t.select("station_id", "requested_s", "request_id", F.when(fresh, F.col("requested_s")).alias("stretch"))
-    t = fill_known(t, ["station_id"], "requested_s", {"open": ["stretch"]}, bucket_s=86400, after=False)
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc, s):
-        take = acc["last"].isNull() | (s - acc["last"] > cooldown_s)
-        return F.struct(
-            F.when(take, s).otherwise(acc["last"]).alias("last"),
-            F.when(take, F.concat(acc["kept"], F.array(s))).otherwise(acc["kept"]).alias("kept"),
-        )
-
-    seconds = F.array_sort(F.collect_list("requested_s"))
+    ticks = open_.groupBy("station_id", F.col("requested_s").cast("long").alias("requested_s")).agg(F.min("request_id").alias("request_id"))
+    days = ticks.select("station_id", "requested_s", F.floor(F.col("requested_s") / DAY_S).alias("day"))
+    station = ticks.schema["station_id"].dataType.simpleString()
+    steps = days.groupBy("station_id", "day").applyInPandas(lambda t: _day_steps(t, cooldown_s), f"station_id {station}, day long, below long, last long")
+    carried = steps.groupBy("station_id").applyInPandas(_carried, f"station_id {station}, day long, last long")
     sent = (
-        t.groupBy("station_id", F.col("open_before.stretch").alias("_start")).agg(F.aggregate(seconds, start, step)["kept"].alias("kept"))
-        .select("station_id", F.explode("kept").alias("requested_s"))
+        days.groupBy("station_id", "day").cogroup(carried.groupBy("station_id", "day"))
+        .applyInPandas(lambda t, c: _dispatched(t, c, cooldown_s), f"station_id {station}, requested_s long")
         .join(ticks, ["station_id", "requested_s"]).select("request_id", F.lit(True).alias("_sent"))
     )
     return gated.join(sent, "request_id", "left").withColumn(

@@ -9,6 +9,7 @@ from wakeline.functions.angles import uv_to_wind, wind_to_uv
 from wakeline.functions.geo import R_RESPONSE_KM, haversine_km, outline_centroid, outline_distance_m, point_in_outline
 from wakeline.functions.grid import cell_x, cell_y, cells_around, time_bucket, time_buckets
 from wakeline.operators.cleaning import oil_type_of_vessel
+from wakeline.operators.sequences import fill_known
 
 # Association threshold, dark-contact wording, response radii and ship types.
 MATCH_KM = 5.0
@@ -20,6 +21,8 @@ INTERCEPT_KM = 100.0
 RESPONSE_TYPES = [
     "Tug", "Towing", "Patrol Vessel", "Law Enforcement", "Oil Recovery", "Pollution Control", "SAR", "Naval Auxiliary",
 ]
+#: Wind that was only guessed from the region.
+GUESSED_WIND = "Regional Physics"
 KM_PER_DEG = 111.4
 
 
@@ -306,6 +309,67 @@ def nearest_grid_env(points: DataFrame, env: DataFrame, step: float = 0.25, lat0
     return p.join(e, ["_gy", "_gx"], "left").drop("_gy", "_gx")
 
 
+def nearest_env(points: DataFrame, env: DataFrame, axes: tuple[str, ...] = ("lat", "lon", "ts_s"), keys: tuple[str, ...] = (), steps: dict[str, float] | None = None) -> DataFrame:
+    """Adds to each point the values of the grid cell nearest on every axis, for axes with any spacing.
+
+    ``env``: ``keys`` (one grid per key, such as region and day), ``axes`` and value columns. Per axis the wanted
+    numbers and the grid's own are put in one order (``fill_known``): the last grid value before and the first one
+    after are known there, the nearer wins, the larger one where both are equally near, and beyond either end the
+    last value counts. No step compares points with cells. A negative longitude is taken modulo 360 where the grid
+    has none below zero. Cells repeated at one place count once (least values); a place the grid leaves out, a grid
+    that does not exist and a point with a null coordinate give null values. ``steps``: width of the buckets an axis
+    is ordered in.
+    """
+    steps = {"lat": 0.25, "lon": 0.25, "ts_s": 6 * 3600.0} | (steps or {})
+    values = [c for c in env.columns if c not in axes and c not in keys]
+    of = list(keys) or ["_grid"]
+    p = points if keys else points.withColumn("_grid", F.lit(0))
+    e = env if keys else env.withColumn("_grid", F.lit(0))
+    e = e.dropna(subset=list(axes))
+    if "lon" in axes:
+        positive = e.groupBy(*of).agg((F.min("lon") >= 0).alias("_positive"))
+        turned = F.when(F.col("_positive") & (F.col("lon") < 0), F.pmod("lon", F.lit(360.0))).otherwise(F.col("lon"))
+        p = p.join(positive, of, "left").withColumn("_p_lon", turned).drop("_positive")
+    p = p.withColumns({f"_p_{a}": F.col(a).cast("double") for a in axes if a != "lon"})
+    nearest = {a: _nearest_on_axis(p, e, of, a, steps.get(a, 1.0)) for a in axes}
+    for a in axes:
+        p = p.join(nearest[a], [*of, f"_p_{a}"], "left")
+    cell = F.struct(*values)
+    cells = e.groupBy(*of, *[F.col(a).cast("double").alias(f"_e_{a}") for a in axes]).agg(F.min(cell).alias("_cell"))
+    found = p.join(cells, [*of, *[f"_e_{a}" for a in axes]], "left")
+    return found.select(*points.columns, *[F.col(f"_cell.{c}").alias(c) for c in values])
+
+
+def _nearest_on_axis(p: DataFrame, e: DataFrame, of: list[str], axis: str, step: float) -> DataFrame:
+    """of, _p_axis, _e_axis: for every distinct wanted number the nearest number of the grid's axis."""
+    wanted = p.select(*of, F.col(f"_p_{axis}").alias("_x"), F.lit(True).alias("_asked"), F.lit(None).cast("double").alias("_on")).dropna(subset=["_x"])
+    known = e.select(*of, F.col(axis).cast("double").alias("_x"), F.lit(False).alias("_asked"), F.col(axis).cast("double").alias("_on"))
+    line = wanted.union(known).groupBy(*of, "_x").agg(F.max("_asked").alias("_asked"), F.max("_on").alias("_on"))
+    line = fill_known(line, of, "_x", {"on": ["_on"]}, bucket_s=step).where("_asked")
+    below, above = F.col("on_before._on"), F.col("on_after._on")
+    nearest = F.when(below.isNull() | (above - F.col("_x") <= F.col("_x") - below), above).otherwise(below)
+    return line.select(*of, F.col("_x").alias(f"_p_{axis}"), F.coalesce(nearest, below).alias(f"_e_{axis}"))
+
+
+def join_weather(records: DataFrame, env: DataFrame, overwrite: bool = False, **grid) -> DataFrame:
+    """Fills u10 and v10 of ``records`` from the nearest cell, once: known values stay.
+
+    Values that were only guessed for the region are replaced, and all of them with ``overwrite``. Adds ``joined``:
+    skipped (kept its own), joined (its ``wind_source`` is cleared), or missing (no cell, or an empty one: no values).
+    """
+    own = F.col("_own_u").isNotNull() & F.col("_own_v").isNotNull() & (F.coalesce("wind_source", F.lit("")) != GUESSED_WIND)
+    kept = own & F.lit(not overwrite)
+    asked = records.withColumnsRenamed({"u10": "_own_u", "v10": "_own_v"})
+    found = nearest_env(asked, env, **grid)
+    new = ~kept & F.col("u10").isNotNull() & F.col("v10").isNotNull()
+    return found.withColumns(
+        {
+            "u10": F.when(kept, F.col("_own_u")).when(new, F.col("u10")), "v10": F.when(kept, F.col("_own_v")).when(new, F.col("v10")),
+            "wind_source": F.when(~new, F.col("wind_source")), "joined": F.when(kept, "skipped").when(new, "joined").otherwise("missing"),
+        }
+    ).drop("_own_u", "_own_v")
+
+
 def resolve_wind(scenes: DataFrame) -> DataFrame:
     """Wind of each scene: its own speed and direction, else patch metadata, else none."""
     su, sv = wind_to_uv(F.col("wind_speed"), F.col("wind_direction"))
