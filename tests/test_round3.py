@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wakeline.operators import alerts, contacts
+from wakeline.operators import alerts, contacts, tracks
+from wakeline.sources import drift
 
 
 def plain_nearest(p, cells):
@@ -69,3 +70,24 @@ def test_cooldown_of_a_station_that_never_pauses(spark, cooldown_s):
     sent = alerts.cooldown(d.where("station_id is not null"), cooldown_s).where("reason is null").groupBy("station_id").agg(F.collect_list("requested_s").alias("s"))
     got = {r.station_id: sorted(r.s) for r in sent.collect()}
     assert got == {1: sorted(plain_cooldown(busy, cooldown_s)), 2: sorted(plain_cooldown(bursts, cooldown_s))}
+
+
+def test_run_positions_keep_what_can_be_read(spark):
+    texts = [
+        '{"particle_geometries": [{"lat": 1.5, "lon": "2.5", "time": "2024-01-01T00:00:10+00:00"}, 7, {"lat": 1}, "x", null, {"lat": "north", "lon": 1}, {"lat": 3, "lon": 4, "time": "soon", "more": []}]}',
+        '{"particle_geometries": {"lat": 1, "lon": 2}}', '{"other": 1}', "no json", "[]", None, '{"particle_geometries": []}',
+        '{"particle_geometries": [{"lat": 5, "lon": 6, "time": "2024-01-01T05:30:00+05:30"}]}',
+    ]
+    d = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "run_id long, result_summary string, step int")
+    got = sorted(tuple(r) for r in drift.run_positions(d).select("run_id", "step", "ts_s", "lat", "lon").collect())
+    assert got == [(0, 0, 1704067210, 1.5, 2.5), (0, 6, None, 3.0, 4.0), (7, 0, 1704067200, 5.0, 6.0)]
+
+
+def test_two_simulations_of_one_scene_are_two_rows(spark):
+    points = spark.createDataFrame([(9, 1, "v", t, 10.0, 20.0 + t / 1e6, 1000) for t in (0, 600, 1200)], "run_id long, scene_id long, mmsi string, ts_s long, lat double, lon double, captured_s long")
+    runs = spark.createDataFrame([(5, 1, "v"), (6, 1, "v"), (7, 1, "v"), (8, 2, "v")], "run_id long, scene_id long, mmsi string")
+    far = [(5, 0, t, 10.0, 20.0) for t in (0, 1200)] + [(6, 0, t, 10.05, 20.0) for t in (0, 1200)] + [(7, 0, None, 10.0, 20.0)]
+    stored = spark.createDataFrame(far, "run_id long, step int, ts_s long, lat double, lon double")
+    got = {r.run_id: r for r in tracks.closest_approach(points, stored, runs).collect()}
+    assert set(got) == {5, 6, 7}
+    assert got[5].min_distance_m == 0 and 5500 < got[6].min_distance_m < 5600 and got[7].min_distance_m is None

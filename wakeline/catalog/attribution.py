@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from wakeline.catalog import Registry
 from wakeline.catalog.contacts import WIND_SQL, _km, rings
 from wakeline.catalog.sqltext import of_runs, uniform_sql
-from wakeline.catalog.tracks import CPA_SQL, DARK_SQL, DRAFT_SQL, LOITER_SQL, PAIRS_SQL, pair_points
+from wakeline.catalog.tracks import CPA_SQL, DARK_SQL, DRAFT_SQL, LOITER_SQL, PAIRS_SQL, RUN_CPA_SQL, pair_points, run_drift
 from wakeline.fixtures import view
 from wakeline.operators import scoring as sc
 from wakeline.operators import tracks as tr
@@ -120,7 +122,7 @@ wide0 AS (SELECT r.run_id, r.scene_id, r.mmsi, c.n_points IS NOT NULL AS has_tra
    CASE WHEN v.vessel_type = 'fishing' THEN 0e0 ELSE coalesce(l.loiter_score, 0e0) END AS loiter_score, coalesce(f.draft_score, 0e0) AS draft_score, coalesce(s.area_sq_km * 1e6, 10000e0) AS area_m2, v.dwt, coalesce(v.vessel_type, 'unknown') AS vessel_type
   FROM fx_runs r JOIN fx_scenes s USING (scene_id) LEFT JOIN cpa c USING (scene_id, mmsi) LEFT JOIN dsc d USING (scene_id, mmsi) LEFT JOIN lsc l USING (scene_id, mmsi) LEFT JOIN draft f USING (scene_id, mmsi) LEFT JOIN fx_vessels v USING (mmsi)),
 wide AS (SELECT *, round((cpa_score + dark_score + loiter_score + draft_score) / 4, 6) AS score FROM ({_cap_sql('SELECT * FROM wide0', "'medium'")})),
-inplay AS (SELECT scene_id, mmsi, score FROM wide WHERE has_track AND capacity_multiplier <> 0)"""
+inplay AS (SELECT scene_id, mmsi, max(score) AS score FROM wide WHERE has_track AND capacity_multiplier <> 0 GROUP BY 1, 2)"""
 _FINAL = f"""WITH {_PILL_SQL}, {PERM_SQL.format(src='inplay')}, {CAND_SQL}, cin AS (SELECT c.* FROM cand c SEMI JOIN inplay USING (scene_id, mmsi)), {_sens_sql('cin')},
 sh AS (SELECT w.scene_id, w.winner AS mmsi, round(c::DOUBLE / n, 4) AS stab FROM wc w JOIN (SELECT scene_id, count(*) AS n FROM wins WHERE run > 0 GROUP BY 1) USING (scene_id)),
 j AS (SELECT w.*, CASE WHEN capacity_multiplier = 0 THEN 1e0 ELSE coalesce(p.p_value, 1e0) END AS p_value, CASE WHEN capacity_multiplier = 0 THEN 0e0 ELSE coalesce(sh.stab, 0e0) END AS stability_index
@@ -138,12 +140,32 @@ def attributed(spark, sf):
     return plan.attribute_all(inputs(spark, sf), N_RUNS, 42, portable_uniform)
 
 
+VERDICT_COLUMNS = (
+    "run_id", "scene_id", "mmsi", "cpa_score", "dark_score", "loiter_score", "capacity_multiplier", "draft_score", "p_value",
+    "stability_index", "total_score", "calibrated_score", "verdict_reason", "verdict",
+)
+
+
 @R.query("attribute_all", f"{_FINAL} FROM vd")
 def _(spark, sf):
-    return attributed(spark, sf).select(
-        "run_id", "scene_id", "mmsi", "cpa_score", "dark_score", "loiter_score", "capacity_multiplier", "draft_score", "p_value",
-        "stability_index", "total_score", "calibrated_score", "verdict_reason", "verdict",
-    )
+    return attributed(spark, sf).select(*VERDICT_COLUMNS)
+
+
+_RUNS_FINAL = (
+    _FINAL.replace(CPA_SQL, f"{RUN_CPA_SQL}, rcpa AS (SELECT scene_id AS run_id, n_points, min_distance_m, cpa_score FROM cpa)")
+    .replace("c.n_points IS NOT NULL AS has_track", "c.n_points IS NOT NULL AND r.run_id IN (SELECT run_id FROM fx_run_drift) AS has_track")
+    .replace("FROM fx_runs r JOIN fx_scenes s USING (scene_id) LEFT JOIN cpa c USING (scene_id, mmsi)", "FROM (SELECT * FROM fx_sims WHERE spill_id IS NOT NULL) r JOIN fx_scenes s USING (scene_id) LEFT JOIN rcpa c USING (run_id)")
+)
+
+
+@R.query(
+    "attribute_runs",
+    f"""{_RUNS_FINAL} FROM vd UNION ALL SELECT run_id, scene_id, mmsi, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0e0, 0e0, 'no_spill_linked', 'INSUFFICIENT_EVIDENCE' FROM fx_sims WHERE spill_id IS NULL""",
+)
+def _(spark, sf):
+    """Every run by its own stored simulation."""
+    i = replace(inputs(spark, sf), runs=view(spark, sf, "fx_sims"), drift=run_drift(spark, sf))
+    return plan.attribute_all(i, N_RUNS, 42, portable_uniform).select(*VERDICT_COLUMNS)
 
 
 def _pillar_like(spark, sf):

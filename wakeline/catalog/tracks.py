@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from wakeline.operators import tracks as op
 from wakeline.operators.contacts import points_in_rings, rings_of
 from wakeline.operators.sequences import neighbours
 from wakeline.operators.windows import tracks_of_runs
+from wakeline.sources.drift import run_positions, run_summaries
 
 R = Registry()
 
@@ -259,6 +262,27 @@ cpa AS (SELECT e.scene_id, e.mmsi, e.n_points, round(m, 3) AS min_distance_m, cp
   CASE WHEN step > 1800 OR m IS NULL THEN 'true' ELSE 'false' END AS low_confidence FROM ends e LEFT JOIN cbest USING (scene_id, mmsi))"""
 
 
+# The same per run: its own positions and trajectory, under the run's number.
+RUN_CPA_SQL = f"""rpts AS (SELECT m.run_id AS scene_id, p.mmsi, p.captured_s, p.ts_s, p.lat, p.lon FROM pts p JOIN fx_sims m ON m.scene_id = p.scene_id AND m.mmsi = p.mmsi),
+rdrift AS (SELECT run_id AS scene_id, ts_s, lat, lon FROM fx_run_drift), {re.sub(r"\bpts\b", "rpts", CPA_SQL.replace("fx_drift", "rdrift"))}"""
+
+
+def run_drift(spark, sf) -> DataFrame:
+    """Positions of every run, through the JSON text they are stored as."""
+    return run_positions(run_summaries(view(spark, sf, "fx_run_drift")))
+
+
+@R.query("run_positions", "SELECT * FROM fx_run_drift")
+def _(spark, sf):
+    return run_drift(spark, sf)
+
+
+@R.query("closest_approach_of_runs", f"WITH {PAIRS_SQL}, {RUN_CPA_SQL} SELECT c.scene_id AS run_id, m.scene_id, c.* EXCLUDE (scene_id) FROM cpa c JOIN fx_sims m ON m.run_id = c.scene_id")
+def _(spark, sf):
+    d = op.closest_approach(pair_points(spark, sf), run_drift(spark, sf), view(spark, sf, "fx_sims"))
+    return d.drop("vessel_lat", "vessel_lon", "slick_lat", "slick_lon").withColumn("low_confidence", F.col("low_confidence").cast("string"))
+
+
 @R.query("closest_approach", f"WITH {PAIRS_SQL}, {CPA_SQL} SELECT * FROM cpa")
 def _(spark, sf):
     d = op.closest_approach(pair_points(spark, sf), view(spark, sf, "fx_drift"))

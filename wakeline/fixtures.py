@@ -86,6 +86,21 @@ VIEWS: dict[str, str] = {
                      CAST(419000000 + CAST(floor(o_custkey / 10e0) AS BIGINT) AS STRING) AS mmsi FROM {orders}) o
         JOIN {supplier} s ON s.s_suppkey = CAST(floor(o.u / 150e0) AS BIGINT) * 100 + o.o_orderkey % 100
         GROUP BY s.s_suppkey, o.mmsi""",
+    # one or two simulations of each pair, some without a spill
+    "fx_sims": """
+        SELECT scene_id, mmsi, CASE WHEN k = 0 THEN lo ELSE hi END AS run_id,
+               CASE WHEN (lo + k) % 23 = 0 THEN NULL ELSE scene_id END AS spill_id
+        FROM (SELECT s.s_suppkey AS scene_id, o.mmsi, min(o.o_orderkey) AS lo, max(o.o_orderkey) AS hi
+              FROM (SELECT o_orderkey, CAST(floor(o_custkey / 10e0) AS BIGINT) AS u,
+                           CAST(419000000 + CAST(floor(o_custkey / 10e0) AS BIGINT) AS STRING) AS mmsi FROM {orders}) o
+              JOIN {supplier} s ON s.s_suppkey = CAST(floor(o.u / 150e0) AS BIGINT) * 100 + o.o_orderkey % 100
+              GROUP BY s.s_suppkey, o.mmsi) p [[each k 0 1]] WHERE k = 0 OR hi > lo""",
+    # every run's own trajectory, every second hour; some runs have none
+    "fx_run_drift": """
+        SELECT r.run_id, k AS step, s.captured_s + (k - 6) * 7200 AS ts_s,
+               s.spill_lat + 0.002e0 * (k - 6) + (r.run_id % 7) * 0.003e0 AS lat,
+               s.spill_lon + 0.005e0 * (k - 6) - (r.run_id % 5) * 0.002e0 AS lon
+        FROM {fx_sims} r JOIN {fx_scenes} s ON s.scene_id = r.scene_id [[each k 0 12]] WHERE r.run_id % 29 <> 0""",
     "fx_drift": """
         SELECT scene_id, captured_s + (k - 12) * 3600 AS ts_s, spill_lat + 0.002e0 * (k - 12) AS lat,
                spill_lon + 0.005e0 * (k - 12) AS lon

@@ -350,30 +350,36 @@ def draft_change(runs: DataFrame, scenes: DataFrame, drafts: DataFrame, vessels:
     )
 
 
-def closest_approach(points: DataFrame, drift: DataFrame) -> DataFrame:
+def closest_approach(points: DataFrame, drift: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Closest approach of each pair's vessel to its scene's drifting slick.
 
-    ``points``: deduplicated pair points with captured_s; ``drift``: scene_id, ts_s, lat, lon.
+    ``points``: deduplicated pair points with captured_s; ``drift``: scene_id, ts_s, lat, lon. With ``runs`` (run_id,
+    scene_id, mmsi) the drift is keyed by run_id, and each run has a row of its own from its own simulation: two
+    simulations of one scene are two rows. Positions of the drift without a time are not used.
     Both series of a pair form one sequence. An instant lies in the common time span
     exactly when both series have a known position on either side of it, and the
     missing position is interpolated between those.
     """
-    d = drift.groupBy("scene_id", "ts_s").agg(F.max("lat").alias("d_lat"), F.max_by("lon", "lat").alias("d_lon"))
+    of, keys = ("scene_id", PAIR) if runs is None else ("run_id", ["run_id", *PAIR])
+    if runs is not None:
+        points = points.drop("run_id").join(runs.select("run_id", *PAIR), PAIR)
+    timed = drift.where(F.col("ts_s").isNotNull())
+    d = timed.groupBy(of, "ts_s").agg(F.max("lat").alias("d_lat"), F.max_by("lon", "lat").alias("d_lon"))
     unknown = F.lit(None).cast("double")
     vessel_side = points.select(
-        *PAIR, "ts_s", F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"), unknown.alias("d_lat"), unknown.alias("d_lon"), "captured_s"
+        *keys, "ts_s", F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"), unknown.alias("d_lat"), unknown.alias("d_lon"), "captured_s"
     )
-    pairs = points.groupBy(*PAIR).agg(F.min("captured_s").alias("captured_s"))
-    drift_side = pairs.join(d, "scene_id").select(
-        *PAIR, "ts_s", unknown.alias("v_lat"), unknown.alias("v_lon"), "d_lat", "d_lon", "captured_s"
+    pairs = points.groupBy(*keys).agg(F.min("captured_s").alias("captured_s"))
+    drift_side = pairs.join(d, of).select(
+        *keys, "ts_s", unknown.alias("v_lat"), unknown.alias("v_lon"), "d_lat", "d_lon", "captured_s"
     )
     values = ["v_lat", "v_lon", "d_lat", "d_lon", "captured_s"]
     instants = (
-        vessel_side.unionByName(drift_side).groupBy(*PAIR, "ts_s").agg(*[F.max(c).alias(c) for c in values])
+        vessel_side.unionByName(drift_side).groupBy(*keys, "ts_s").agg(*[F.max(c).alias(c) for c in values])
         .withColumn("v_t", F.when(F.col("v_lat").isNotNull(), F.col("ts_s")))
         .withColumn("d_t", F.when(F.col("d_lat").isNotNull(), F.col("ts_s")))
     )
-    known = fill_known(instants, PAIR, "ts_s", {"v": ["v_t", "v_lat", "v_lon"], "d": ["d_t", "d_lat", "d_lon"]}, history=True)
+    known = fill_known(instants, keys, "ts_s", {"v": ["v_t", "v_lat", "v_lon"], "d": ["d_t", "d_lat", "d_lon"]}, history=True)
     shared = F.col("v_before").isNotNull() & F.col("v_after").isNotNull() & F.col("d_before").isNotNull() & F.col("d_after").isNotNull()
 
     def at(side: str, c: str) -> Column:
@@ -386,12 +392,12 @@ def closest_approach(points: DataFrame, drift: DataFrame) -> DataFrame:
     # a step counts when the instant before is in the common span too
     begun = F.greatest("v_since", "d_since") <= F.col("prev_ts")
     grid = known.select(
-        *PAIR, "ts_s", "v_lat", "v_lon", "captured_s", at("v", "lat"), at("v", "lon"), at("d", "lat"), at("d", "lon"),
+        *keys, "ts_s", "v_lat", "v_lon", "captured_s", at("v", "lat"), at("v", "lon"), at("d", "lat"), at("d", "lon"),
         F.when(shared & begun, F.col("ts_s") - F.col("prev_ts")).alias("_step"),
     )
     dist = with_geodesic(grid, "vlat", "vlon", "dlat", "dlon", "dist_m")
     place = F.struct("dist_m", "ts_s", "vlat", "vlon", "dlat", "dlon")
-    out = dist.groupBy(*PAIR).agg(
+    out = dist.groupBy(*keys).agg(
         F.min(F.when(F.col("dist_m").isNotNull(), place)).alias("b"), F.max("_step").alias("_step"),
         F.count("v_lat").alias("n_points"), F.min("captured_s").alias("captured_s"),
         ((F.min("v_lat") == F.max("v_lat")) & (F.min("v_lon") == F.max("v_lon"))).alias("_still"),
@@ -401,7 +407,7 @@ def closest_approach(points: DataFrame, drift: DataFrame) -> DataFrame:
     low = F.coalesce(F.col("_step") > CPA_GAP_S, F.lit(False)) | m.isNull()
     raw = F.when(m.isNull() | F.col("_still") | (m >= CPA_ZERO_M), 0.0).when(m <= CPA_FULL_M, 1.0).otherwise(1 - (m - CPA_FULL_M) / (CPA_ZERO_M - CPA_FULL_M))
     return out.select(
-        *PAIR, "n_points", F.round(m, 3).alias("min_distance_m"), F.col("b.ts_s").alias("cpa_s"),
+        *keys, "n_points", F.round(m, 3).alias("min_distance_m"), F.col("b.ts_s").alias("cpa_s"),
         (F.col("b.ts_s") - F.col("captured_s")).alias("tcpa_seconds"),
         F.round(F.when(low, raw * 0.5).otherwise(raw), 4).alias("cpa_score"), low.alias("low_confidence"),
         F.col("b.vlat").alias("vessel_lat"), F.col("b.vlon").alias("vessel_lon"),
