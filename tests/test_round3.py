@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wakeline.operators import alerts, contacts, tracks
+from wakeline.operators import alerts, contacts, raster, sequences, tracks
 from wakeline.sources import drift
 
 
@@ -91,3 +92,51 @@ def test_two_simulations_of_one_scene_are_two_rows(spark):
     got = {r.run_id: r for r in tracks.closest_approach(points, stored, runs).collect()}
     assert set(got) == {5, 6, 7}
     assert got[5].min_distance_m == 0 and 5500 < got[6].min_distance_m < 5600 and got[7].min_distance_m is None
+
+
+def test_quantiles_equal_plain_ones_under_outliers(spark):
+    rng = random.Random(2)
+    values = {
+        "outlier": [rng.uniform(0.05, 0.1) for _ in range(3000)] + [1e12], "ties": [0.5] * 2000 + [0.25] * 10 + [-3.0], "one": [7.0],
+        "signs": [rng.gauss(0, 1) for _ in range(500)] + [0.0, -0.0, 1e-300, -1e300], "near": [1 + k * 2.0**-52 for k in range(900)],
+    }
+    d = spark.createDataFrame([(k, float(x)) for k, xs in values.items() for x in xs] + [("one", None)], "k string, value double")
+    probs = {"_a": 0.0, "_b": 0.01, "_c": 0.5, "_d": 0.99, "_e": 1.0}
+    got = {r.k: r for r in sequences.exact_quantiles(d, ["k"], "value", probs, bins=8, most=50).collect()}
+    for k, xs in values.items():
+        for name, p in probs.items():
+            assert got[k][name] == pytest.approx(float(np.quantile(xs, p)), rel=1e-12, abs=1e-12), (k, name)
+
+
+def test_bins_of_an_outlier_scene_stay_small(spark):
+    rows = [(1, 0.05 + k / 10**6) for k in range(20000)] + [(1, 1e12)]
+    d = spark.createDataFrame(rows, "scene_id int, _v double")
+    found = spark.createDataFrame([(1, "q", "lo", 10000, 20001, 0.0, 1e12, 0)], "scene_id int, q string, side string, rank long, _c long, _lo double, _hi double, _from long")
+    counted = sequences._counted(d.withColumn("_bin", F.floor(F.log2("_v"))), ["scene_id"]).collect()
+    assert sorted(r._c for r in counted)[0] == 1 and len(counted) == 3
+    assert sequences._narrowed(d, found, ["scene_id"], 1024).first()._c == 20000
+
+
+def plain_closing(on, h, w):
+    cross = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))
+    inside = lambda r, c: 0 <= r < h and 0 <= c < w
+    wide = {(r + a, c + b) for r, c in on for a, b in cross if inside(r + a, c + b)}
+    return {(r, c) for r, c in wide if all((r + a, c + b) in wide for a, b in cross if inside(r + a, c + b))}
+
+
+def test_closing_equals_plain_version(spark):
+    rng = random.Random(4)
+    rows = [(s, r, c, rng.choice([0.9, 0.5, 0.2, 0.1] if s else [0.1])) for s in range(3) for r in range(13) for c in range(9)]
+    got = {}
+    for r in raster.closed_mask(spark.createDataFrame(rows, "scene_id long, row long, col long, prob double")).collect():
+        got.setdefault(r.scene_id, {})[(r.row, r.col)] = r.prob
+    given = {(s, r, c): p for s, r, c, p in rows}
+    for s in range(3):
+        on = {(r, c) for (x, r, c), p in given.items() if x == s and p >= 0.5}
+        assert got.get(s, {}) == {(r, c): given[s, r, c] for r, c in plain_closing(on, 13, 9)}
+
+
+def test_detector_takes_missing_numbers_as_zero(spark):
+    rows = [(1, r, c, float("nan") if (r, c) in ((3, 3), (8, 9)) else None if (r, c) == (5, 9) else 5.0 if (r, c) == (6, 6) else 0.1) for r in range(16) for c in range(16)]
+    d = spark.createDataFrame(rows, "scene_id long, row long, col long, value double")
+    assert [(r.row, r.col) for r in raster.ca_cfar(d).collect()] == [(6, 6)]

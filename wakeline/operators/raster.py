@@ -21,9 +21,14 @@ CROP_PAD, MIN_OIL = 32, 0.05
 _ROW_ID = 2**24  # run id = row * _ROW_ID + first column
 
 
+def _known(value: str) -> Column:
+    """A pixel without a number counts as 0."""
+    return F.when(F.isnan(value) | F.col(value).isNull(), 0.0).otherwise(F.col(value))
+
+
 def normalise(pixels: DataFrame, mode: str = "percentile") -> DataFrame:
     """Values to [0, 1]: between the 1st and 99th percentile of the scene, or /255 for 8-bit data."""
-    v = pixels.withColumn("value", F.when(F.isnan("value") | F.col("value").isNull(), 0.0).otherwise(F.col("value")))
+    v = pixels.withColumn("value", _known("value"))
     if mode == "bytes":
         top = v.groupBy("scene_id").agg(F.max("value").alias("_max"))
         return v.join(top, "scene_id").withColumn("value", F.when(F.col("_max") > 1, F.col("value") / 255.0).otherwise(F.col("value"))).drop("_max")
@@ -45,8 +50,9 @@ def ca_cfar(pixels: DataFrame, guard: int = GUARD, train: int = TRAIN, k: float
     """Pixels brighter than k times the mean of their training ring.
 
     Box sums are separable: one window along the row, one along the column, each over
-    a single line of the image. Cells outside the scene count as the scene median.
+    a single line of the image. Cells outside the scene count as the scene median, pixels without a number as 0.
     """
+    pixels = pixels.withColumn("value", _known("value"))
     outer = guard + train
     n_out, n_in = (2 * outer + 1) ** 2, (2 * guard + 1) ** 2
     med = exact_quantiles(pixels, ["scene_id"], "value", {"_median": 0.5})
@@ -155,12 +161,35 @@ def blend(preds: DataFrame, size: int) -> DataFrame:
     return g.select("scene_id", "row", "col", F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)).alias("prob"))
 
 
+def _crossed(cells: DataFrame, *own: str) -> DataFrame:
+    """Every cell and its four neighbours; the columns ``own`` stay with the cell itself, its neighbours get null."""
+    steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))])
+    each = cells.withColumn("_s", F.explode(steps))
+    here = (F.col("_s.r") == 0) & (F.col("_s.c") == 0)
+    kept = [F.when(here, F.col(c)).alias(c) for c in own]
+    return each.select("scene_id", (F.col("row") + F.col("_s.r")).alias("row"), (F.col("col") + F.col("_s.c")).alias("col"), *kept)
+
+
 def closed_mask(probs: DataFrame, thr: float = MASK_THRESHOLD) -> DataFrame:
-    """Threshold and close with the 3x3 cross: neighbour maximum, then neighbour minimum."""
-    m = probs.withColumn("_on", F.when(F.col("prob") >= thr, 1).otherwise(0))
-    m = m.withColumn("_d", F.greatest(F.max("_on").over(_along_row(1)), F.max("_on").over(_along_col(1))))
-    m = m.withColumn("_e", F.least(F.min("_d").over(_along_col(1)), F.min("_d").over(_along_row(1))))
-    return m.filter(F.col("_e") == 1).select(*probs.columns)
+    """scene_id, row, col, prob of the mask after closing with the 3x3 cross: dilation, then erosion.
+
+    Only pixels at or above the threshold are shuffled: each emits its cross, the distinct cells are the dilation; each
+    of those emits its cross again, and a cell is kept when all its neighbours inside the image did. ``probs`` is a
+    full raster (one row per pixel); of its other pixels only those that fill a gap are looked up.
+    """
+    frame = probs.groupBy("scene_id").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    on = F.col("prob") >= thr
+    lit = _crossed(probs.where(on).select("scene_id", "row", "col", "prob"), "prob")
+    inside = F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
+    wide = lit.groupBy("scene_id", "row", "col").agg(F.max("prob").alias("prob")).join(frame, "scene_id").where(inside)
+    sides = [(F.col("row") > F.col("r0")), (F.col("row") < F.col("r1")), (F.col("col") > F.col("c0")), (F.col("col") < F.col("c1"))]
+    around = sum((s.cast("int") for s in sides), F.lit(1))
+    told = _crossed(wide.withColumn("around", around), "around", "prob")
+    kept = told.groupBy("scene_id", "row", "col").agg(F.count(F.lit(1)).alias("_n"), F.max("around").alias("around"), F.max("prob").alias("prob"))
+    kept = cut_lineage(kept.where(F.col("_n") == F.col("around")).select("scene_id", "row", "col", "prob"))
+    gaps = kept.where(F.col("prob").isNull()).select("scene_id", "row", "col")
+    filled = probs.where(~F.coalesce(on, F.lit(False))).select("scene_id", "row", "col", "prob").join(gaps, ["scene_id", "row", "col"])
+    return kept.where(F.col("prob").isNotNull()).unionByName(filled)
 
 
 def clean_mask(probs: DataFrame, thr: float = MASK_THRESHOLD, min_pixels: int = MIN_PIXELS) -> DataFrame:

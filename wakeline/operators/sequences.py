@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wakeline.session import cut_lineage
+
 BUCKET_S = 6 * 3600
 
 
@@ -156,23 +158,23 @@ def rank_in_group(df: DataFrame, keys: list[str], order: list[Column], bucket: C
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bins: int = 1024
+    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bins: int = 1024, most: int = 65536
 ) -> DataFrame:
     """Linear-interpolation quantiles per key without collecting the values of a key.
 
-    A histogram locates the bins that hold the wanted ranks; only their rows are
-    ordered. Equal values are counted before they are ordered.
+    Radix selection: values are counted by sign and power of two first, so an outlier of any size is a bin of its own
+    and leaves the others as they are; the bins that hold wanted ranks are then cut into ``bins`` equal steps, again
+    and again, until each holds at most ``most`` rows or one value. A level reads the values once and narrows a bin by
+    ``bins``, so a double is settled after seven levels at the latest, and in practice after two. Only the rows of the
+    last bins are ordered; equal values are counted before that. Numbers come before NaN; null values do not count.
     """
-    rows = df.filter(F.col(value).isNotNull())
-    span = rows.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n")
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    v = F.col("_v")
+    magnitude = F.when(F.isnan(v), 9999).when(v == float("inf"), 5000).when(v == float("-inf"), -5000).when(v == 0, 0).otherwise(
+        (F.signum(v) * (F.floor(F.log2(F.abs(v))) + 1100)).cast("int")
     )
-
-    def binned(d: DataFrame) -> DataFrame:
-        width = F.col("_hi") - F.col("_lo")
-        b = F.floor(F.try_divide(F.col(value) - F.col("_lo"), width) * bins)
-        return d.withColumn("_bin", F.least(F.coalesce(b, F.lit(0)).cast("int"), F.lit(bins - 1)))
-
+    first = cut_lineage(_counted(rows.withColumn("_bin", magnitude), keys))
+    sizes = first.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     wanted = F.array(
         *[
             F.struct(F.lit(k).alias("q"), F.lit(side).alias("side"), (fn(F.lit(p) * (F.col("_n") - 1))).cast("long").alias("rank"))
@@ -180,37 +182,47 @@ def exact_quantiles(
             for side, fn in (("lo", F.floor), ("hi", F.ceil))
         ]
     )
-    values = binned(rows.join(span, keys)).groupBy(*keys, "_bin", value).agg(F.count(F.lit(1)).alias("_c"))
-    hist = values.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"))
-    w = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.select(*keys, "_bin", (F.sum("_c").over(w) - F.col("_c")).alias("_from"), F.sum("_c").over(w).alias("_to"))
-    targets = span.select(*keys, F.explode(wanted).alias("t")).select(*keys, "t.*")
-    hits = targets.join(hist, keys).filter((F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_to")))
-    needed = hits.select(*keys, "_bin", "_from").distinct()
-    inside = values.join(needed, [*keys, "_bin"])
-    wi = (
-        Window.partitionBy(*keys, "_bin").orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    placed = inside.select(
-        *keys, "_bin", value,
-        (F.col("_from") + F.sum("_c").over(wi) - F.col("_c")).alias("_a"),
-        (F.col("_from") + F.sum("_c").over(wi)).alias("_z"),
-    )
-    found = hits.drop("_from", "_to").join(placed, [*keys, "_bin"]).filter(
-        (F.col("rank") >= F.col("_a")) & (F.col("rank") < F.col("_z"))
+    targets = sizes.select(*keys, F.explode(wanted).alias("t")).select(*keys, "t.*")
+    below = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = first.withColumn("_from", F.sum("_c").over(below) - F.col("_c"))
+    found = cut_lineage(_holding(targets.join(start, keys)).drop("_bin"))
+    while not found.filter((F.col("_lo") < F.col("_hi")) & (F.col("_c") > most)).isEmpty():
+        found = cut_lineage(_narrowed(rows, found, keys, bins))
+    inside = rows.join(found.select(*keys, "_lo", "_hi", "_from").distinct(), keys).filter(v.between(F.col("_lo"), F.col("_hi")))
+    counts = inside.groupBy(*keys, "_lo", "_from", "_v").agg(F.count(F.lit(1)).alias("_k"))
+    up = Window.partitionBy(*keys, "_lo").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.select(*keys, "_lo", "_v", (F.col("_from") + F.sum("_k").over(up)).alias("_z"), "_k")
+    hit = (F.col("rank") >= F.col("_z") - F.col("_k")) & (F.col("rank") < F.col("_z"))
+    settled = found.select(*keys, "q", "side", "rank", "_lo").join(placed, [*keys, "_lo"]).filter(hit)
+    picked = settled.groupBy(*keys).agg(
+        *[F.max(F.when((F.col("q") == k) & (F.col("side") == s), v)).alias(f"_{k}_{s}") for k in probs for s in ("lo", "hi")]
     )
-    picked = found.groupBy(*keys).agg(
-        *[
-            F.max(F.when((F.col("q") == k) & (F.col("side") == s), F.col(value))).alias(f"_{k}_{s}")
-            for k in probs
-            for s in ("lo", "hi")
-        ]
-    )
-    out = picked.join(span.select(*keys, "_n"), keys)
+    out = picked.join(sizes, keys)
     cols = []
     for k, p in probs.items():
         pos = F.lit(p) * (F.col("_n") - 1)
-        frac = pos - F.floor(pos)
-        cols.append((F.col(f"_{k}_lo") + (F.col(f"_{k}_hi") - F.col(f"_{k}_lo")) * frac).alias(k))
+        low, high, frac = F.col(f"_{k}_lo"), F.col(f"_{k}_hi"), pos - F.floor(pos)
+        cols.append(F.when(low == high, low).otherwise(low + (high - low) * frac).alias(k))
     return out.select(*keys, *cols)
+
+
+def _counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+
+
+def _holding(bins: DataFrame) -> DataFrame:
+    """The bins (_from, _c) that hold the ranks beside them."""
+    return bins.filter((F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_from") + F.col("_c")))
+
+
+def _narrowed(rows: DataFrame, found: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """``found`` with each bin replaced by the step of it that holds the rank."""
+    wide = found.select(*keys, F.col("_lo").alias("_l"), F.col("_hi").alias("_h"), F.col("_from").alias("_f")).distinct()
+    inside = rows.join(wide, keys).filter(F.col("_v").between(F.col("_l"), F.col("_h")))
+    part = (F.col("_v") - F.col("_l")) / F.nullif(F.col("_h") - F.col("_l"), F.lit(0.0))
+    inside = inside.withColumn("_bin", F.coalesce(F.least(F.floor(part * bins).cast("int"), F.lit(bins - 1)), F.lit(0)))
+    steps = _counted(inside, [*keys, "_l", "_f"])
+    up = Window.partitionBy(*keys, "_l").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = steps.withColumn("_from", F.col("_f") + F.sum("_c").over(up) - F.col("_c"))
+    asked = found.select(*keys, "q", "side", "rank", F.col("_lo").alias("_l"))
+    return _holding(asked.join(steps, [*keys, "_l"])).select(*keys, "q", "side", "rank", "_c", "_lo", "_hi", "_from")
