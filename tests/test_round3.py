@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wakeline.operators import alerts, contacts, raster, sequences, tracks
-from wakeline.sources import drift
+from wakeline.operators import alerts, cleaning, contacts, raster, sequences, tracks
+from wakeline.sources import drift, tables
 
 
 def plain_nearest(p, cells):
@@ -140,3 +140,33 @@ def test_detector_takes_missing_numbers_as_zero(spark):
     rows = [(1, r, c, float("nan") if (r, c) in ((3, 3), (8, 9)) else None if (r, c) == (5, 9) else 5.0 if (r, c) == (6, 6) else 0.1) for r in range(16) for c in range(16)]
     d = spark.createDataFrame(rows, "scene_id long, row long, col long, value double")
     assert [(r.row, r.col) for r in raster.ca_cfar(d).collect()] == [(6, 6)]
+
+
+def test_every_run_has_a_row_of_evidence(spark):
+    runs = spark.createDataFrame([(k, 1, m) for k, m in enumerate("abcd")], "run_id long, scene_id long, mmsi string")
+    scenes = spark.createDataFrame([(1, 10_000)], "scene_id long, captured_s long")
+    drafts = spark.createDataFrame([("a", 9_000, 1, 9.0), ("a", 11_000, 2, 7.0), ("b", 9_000, 1, 9.0), ("c", 9_000, 1, None)], "mmsi string, ts_s long, seq long, draft_m double")
+    vessels = spark.createDataFrame([("d", "Fishing")], "mmsi string, vessel_type string")
+    got = {r.mmsi: (r.draft_score, r.draft_reason) for r in tracks.draft_change(runs, scenes, drafts, vessels).collect()}
+    few = (0.0, "insufficient_draft_data")
+    assert got == {"a": (0.7, "significant_draft_decrease_detected"), "b": few, "c": few, "d": (0.0, "fishing_vessel_excluded")}
+    points = spark.createDataFrame([("a", 0), ("a", 60), ("b", 0)], "mmsi string, ts_s long").withColumn("scene_id", F.lit(1).cast("long"))
+    windows = spark.createDataFrame([], "scene_id long, mmsi string, flag string, coastal boolean, raw_score double")
+    dark = {r.mmsi: (r.dark_score, r.n_gaps, r.dark_reason) for r in tracks.dark_evidence(runs, points, windows).collect()}
+    assert dark == {m: (0.0, 0, "no_suspicious_gaps_detected" if m == "a" else "INSUFFICIENT_EVIDENCE") for m in "abcd"}
+
+
+def test_small_rules_of_ingest(spark, tmp_path):
+    cargo = spark.createDataFrame([("Crude_Oil",), ("gasoline",), ("tea",), (None,)], "c string").select(cleaning.oil_type_of_cargo(F.col("c")))
+    assert [r[0] for r in cargo.collect()] == ["GENERIC HEAVY CRUDE", "GASOLINE", "GENERIC MEDIUM CRUDE", "GENERIC MEDIUM CRUDE"]
+    bad = spark.createDataFrame([("x", 1)], "reject_reason string, utc_s long")
+    with pytest.raises(ValueError):
+        cleaning.kept(bad, required=True)
+    assert cleaning.kept(bad).count() == 0
+    path = str(tmp_path / "registry")
+    spark.createDataFrame([("1", "cargo")], "mmsi string, vessel_type string").write.parquet(path)
+    for _ in range(2):
+        tables.upsert_vessels(spark, path, spark.createDataFrame([("1",), ("2",), ("2",)], "mmsi string"))
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("1", "cargo"), ("2", "unknown")]
+    once = tracks.assemble_tracks(spark.createDataFrame([("v", 5, 1, 1.0, 2.0), ("v", 5, 2, 3.0, 4.0)], "mmsi string, ts_s long, seq long, lat double, lon double").withColumns({"speed_knots": F.lit(1.0), "course": F.lit(0.0)}))
+    assert [(r.n_points, r.track[0].lat) for r in once.collect()] == [(1, 3.0)]

@@ -314,6 +314,6 @@ def _(spark, sf):
     return e.select("run_id", "rank", F.size("bullets").cast("long").alias("n_bullets"), F.col("bullets")[0].alias("first_bullet"), "scene_note")
 
 
-@R.query("dark_scenarios", "SELECT scene_id, spill_lat, spill_lon, 'DARK_VESSEL_SCENARIO' AS scene_note FROM fx_scenes WHERE scene_id NOT IN (SELECT scene_id FROM fx_runs WHERE mmsi LIKE '%97')")
+@R.query("dark_scenarios", "SELECT scene_id, spill_lat, spill_lon, 'DARK_VESSEL_SCENARIO' AS scene_note FROM fx_scenes WHERE scene_id NOT IN (SELECT scene_id FROM fx_runs)")
 def _(spark, sf):
-    return sc.dark_scenarios(view(spark, sf, "fx_scenes"), view(spark, sf, "fx_runs").filter("mmsi like '%97'"))
+    return sc.dark_scenarios(view(spark, sf, "fx_scenes"), view(spark, sf, "fx_runs"))

@@ -138,11 +138,14 @@ def _(spark, sf):
 
 @R.query(
     "upsert_vessels",
-    "SELECT DISTINCT mmsi, 'unknown' AS vessel_type FROM fx_tracks WHERE mmsi NOT IN (SELECT mmsi FROM fx_vessels WHERE vessel_type <> 'unknown')",
+    "SELECT mmsi, vessel_type, vessel_name FROM fx_vessels UNION ALL SELECT DISTINCT mmsi, 'unknown', NULL FROM fx_tracks WHERE mmsi NOT IN (SELECT mmsi FROM fx_vessels)",
 )
 def _(spark, sf):
-    known = view(spark, sf, "fx_vessels").filter("vessel_type <> 'unknown'")
-    return tables.unknown_vessels(view(spark, sf, "fx_tracks"), known)
+    path = work_path(spark, "registry")
+    view(spark, sf, "fx_vessels").select("mmsi", "vessel_type", "vessel_name").write.parquet(path)
+    for _again in range(2):
+        tables.upsert_vessels(spark, path, view(spark, sf, "fx_tracks"))
+    return spark.read.parquet(path)
 
 
 def _outlines(spark, sf):
@@ -273,6 +276,22 @@ def _(spark, sf):
     return view(spark, sf, "fx_vessels").select("mmsi", op.oil_type_of_vessel(F.col("vessel_type")).alias("oil_type"))
 
 
+@R.query(
+    "map_cargo_oil",
+    """SELECT o_orderkey AS run_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'GENERIC HEAVY CRUDE' WHEN '2-HIGH' THEN 'DIESEL' WHEN '3-MEDIUM' THEN 'FUEL OIL NO. 6' WHEN '5-LOW' THEN 'GASOLINE' ELSE 'GENERIC MEDIUM CRUDE' END AS oil_type FROM orders""",
+)
+def _(spark, sf):
+    cargo = F.create_map(*[F.lit(x) for x in ("1-URGENT", "Crude_Oil", "2-HIGH", "diesel", "3-MEDIUM", "fuel_oil", "4-NOT SPECIFIED", "unknown", "5-LOW", "gasoline")])
+    return view(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), op.oil_type_of_cargo(cargo[F.col("o_orderpriority")]).alias("oil_type"))
+
+
+@R.query("list_spills_of_scene", "SELECT scene_id, captured_s, status, area_sq_km FROM fx_scenes WHERE scene_id = 9 AND status = 'confirmed'")
+def _(spark, sf):
+    s = view(spark, sf, "fx_scenes")
+    d = op.list_spills(s.select("scene_id", "status", "area_sq_km"), s.select("scene_id", "captured_s"), "confirmed", 20, 0, scene_id=9)
+    return d.select("scene_id", "captured_s", "status", "area_sq_km")
+
+
 @R.query(
     "list_spills",
     "SELECT scene_id, captured_s, status, area_sq_km FROM fx_scenes WHERE status = 'confirmed' ORDER BY captured_s DESC, scene_id LIMIT 20 OFFSET 5",

@@ -77,10 +77,10 @@ def _(spark, sf):
 @R.query(
     "link_correlations",
     f"""WITH {CONTACTS_SQL} SELECT c.target_id, c.scene_id, v.mmsi AS vessel_id, CASE WHEN status = 'MATCHED' AND v.mmsi IS NOT NULL THEN 'matched' WHEN status = 'MATCHED' THEN 'borderline' ELSE 'dark_vessel' END AS match_status,
-    round(distance_km * 1000, 2) AS haversine_distance_m, least(1e0, greatest(0e0, coalesce(confidence, 0.85e0))) AS confidence FROM contacts c LEFT JOIN (SELECT mmsi FROM fx_vessels WHERE flag_key <> 3) v ON v.mmsi = c.mmsi""",
+    round(distance_km * 1000, 2) AS haversine_distance_m, least(1e0, greatest(0e0, coalesce(confidence, 0.85e0))) AS confidence FROM contacts c LEFT JOIN fx_vessels v ON v.mmsi = c.mmsi""",
 )
 def _(spark, sf):
-    return op.link_correlations(contacts(spark, sf), view(spark, sf, "fx_vessels").filter("flag_key <> 3"))
+    return op.link_correlations(contacts(spark, sf), view(spark, sf, "fx_vessels"))
 
 
 @R.query(

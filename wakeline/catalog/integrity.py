@@ -37,9 +37,9 @@ def _(spark, sf):
     return op.duplicate_keys(view(spark, sf, "fx_tracks"), ["mmsi", "ts_s"])
 
 
-@R.query("check_fk", "SELECT run_id, mmsi FROM fx_runs WHERE mmsi NOT IN (SELECT mmsi FROM fx_vessels WHERE vessel_type <> 'unknown')")
+@R.query("check_fk", "SELECT run_id, mmsi FROM fx_runs WHERE mmsi NOT IN (SELECT mmsi FROM fx_vessels)")
 def _(spark, sf):
-    return op.orphans(view(spark, sf, "fx_runs").select("run_id", "mmsi"), "mmsi", view(spark, sf, "fx_vessels").filter("vessel_type <> 'unknown'"), "mmsi")
+    return op.orphans(view(spark, sf, "fx_runs").select("run_id", "mmsi"), "mmsi", view(spark, sf, "fx_vessels"), "mmsi")
 
 
 CHAIN_SQL = """ev AS (SELECT id, entity_type, entity_id, occurred_s, '{"action":"' || action || '","actor_type":"' || actor_type || '","entity_id":"' || entity_id || '","entity_type":"' || entity_type || '","payload":"' || replace(payload, '"', '\\"') || '"}' AS js,

@@ -128,9 +128,9 @@ def _(spark, sf):
     return live.run_to_table(live.dispatched_alerts(spark.readStream.schema(q.schema).parquet(path)), "dispatched")
 
 
-@R.query("live_enrich", f"WITH {_POS} SELECT vessel_type, count(*) AS n FROM lp LEFT JOIN (SELECT * FROM fx_vessels WHERE flag_key <> 3) USING (mmsi) GROUP BY 1")
+@R.query("live_enrich", f"WITH {_POS} SELECT vessel_type, count(*) AS n FROM lp LEFT JOIN fx_vessels USING (mmsi) GROUP BY 1")
 def _(spark, sf):
-    v = view(spark, sf, "fx_vessels").filter("flag_key <> 3")
+    v = view(spark, sf, "fx_vessels")
     d = live.run_to_table(live.enriched(live.positions(messages(spark, sf)), v), "enriched")
     return d.groupBy("vessel_type").agg(F.count(F.lit(1)).alias("n"))
 

@@ -89,6 +89,21 @@ def _(spark, sf):
     return d.select("scene_id", "mmsi", "gap_start_s", "gap_end_s", "gap_duration_min", "distance_to_spill_nm", "speed_knots", "flag", "score")
 
 
+@R.query(
+    "dark_evidence",
+    f"""WITH {PAIRS_SQL}, {DARK_SQL}, ds AS (SELECT scene_id, mmsi, round(max(raw), 4) AS s, count(*) AS n_gaps, concat_ws('; ', CASE WHEN count(*) FILTER (flag = 'AIS_SPOOFING_SUSPECTED') > 0 THEN 'AIS_SPOOFING_SUSPECTED_speed_jump' END,
+      CASE WHEN count(*) FILTER (flag = 'PERMANENT_BLACKOUT') > 0 THEN 'PERMANENT_BLACKOUT_gap_exceeds_24h' END) AS notes FROM dark GROUP BY 1, 2),
+    np AS (SELECT scene_id, mmsi, count(*) AS n FROM pts GROUP BY 1, 2)
+    SELECT r.scene_id, r.mmsi, coalesce(s, 0e0) AS dark_score, coalesce(n_gaps, 0) AS n_gaps, CASE WHEN coalesce(n, 0) < 2 THEN 'INSUFFICIENT_EVIDENCE'
+      WHEN s > 0 THEN 'dark_vessel_anomaly_detected (max_gap_score=' || printf('%.4f', s) || ')' || CASE WHEN notes = '' THEN '' ELSE ' [' || notes || ']' END
+      WHEN coalesce(notes, '') = '' THEN 'no_suspicious_gaps_detected' ELSE notes END AS dark_reason
+    FROM (SELECT DISTINCT scene_id, mmsi FROM fx_runs) r LEFT JOIN np USING (scene_id, mmsi) LEFT JOIN ds USING (scene_id, mmsi)""",
+)
+def _(spark, sf):
+    p = paired_with_neighbours(spark, sf)
+    return op.dark_evidence(view(spark, sf, "fx_runs"), p, op.dark_windows(p))
+
+
 @R.query(
     "dark_scores",
     f"""WITH {PAIRS_SQL}, {DARK_SQL} SELECT scene_id, mmsi, round(max(raw), 4) AS dark_score, count(*) AS n_gaps,
@@ -187,8 +202,8 @@ def _(spark, sf):
 
 @R.query(
     "assemble_tracks",
-    """SELECT mmsi, CAST(floor(ts_s / 86400e0) AS BIGINT) AS chunk, count(*) AS n_points,
-    string_agg(CAST(ts_s AS VARCHAR) || '@' || CAST(CAST(round(lat * 10000) AS BIGINT) AS VARCHAR), ' ' ORDER BY ts_s, lat, lon) AS track FROM fx_tracks GROUP BY 1, 2""",
+    f"""WITH {DED_SQL} SELECT mmsi, CAST(floor(ts_s / 86400e0) AS BIGINT) AS chunk, count(*) AS n_points,
+    string_agg(CAST(ts_s AS VARCHAR) || '@' || CAST(CAST(round(lat * 10000) AS BIGINT) AS VARCHAR), ' ' ORDER BY ts_s, lat, lon) AS track FROM ded GROUP BY 1, 2""",
 )
 def _(spark, sf):
     d = op.assemble_tracks(view(spark, sf, "fx_tracks"))
@@ -231,11 +246,11 @@ dn AS (SELECT *, row_number() OVER (PARTITION BY scene_id, mmsi ORDER BY ts_s, s
   min(draft_m) OVER w AS lo, max(draft_m) OVER w AS hi FROM dr WINDOW w AS (PARTITION BY scene_id, mmsi)),
 dk AS (SELECT *, CASE WHEN nb > 0 AND nb < n THEN nb ELSE floor(n / 2) END AS k FROM dn),
 dm AS (SELECT scene_id, mmsi, any_value(n) AS n, any_value(lo) AS lo, any_value(hi) AS hi, round(median(draft_m) FILTER (rn <= k AND rn > k - 3), 3) AS b, round(median(draft_m) FILTER (rn > k AND rn <= k + 3), 3) AS a FROM dk GROUP BY 1, 2),
-draft AS (SELECT scene_id, mmsi, CASE WHEN vessel_type = 'fishing' OR n < 2 OR lo = hi OR b - a < 0.5 THEN 0e0 WHEN b - a > 5 THEN 0.8e0 ELSE round(least(0.8e0, 0.4e0 + (b - a - 0.5e0) / 2 * 0.4e0), 3) END AS draft_score,
-  CASE WHEN vessel_type = 'fishing' OR n < 2 THEN NULL WHEN lo = hi THEN round(lo, 2) ELSE b END AS draft_before, CASE WHEN vessel_type = 'fishing' OR n < 2 THEN NULL WHEN lo = hi THEN round(lo, 2) ELSE a END AS draft_after,
-  CASE WHEN vessel_type = 'fishing' THEN 'fishing_vessel_excluded' WHEN n < 2 THEN 'insufficient_draft_data' WHEN lo = hi THEN 'all_drafts_identical' WHEN b - a < 0 THEN 'ballast_taken'
+draft AS (SELECT scene_id, mmsi, CASE WHEN vessel_type = 'fishing' OR coalesce(n, 0) < 2 OR lo = hi OR b - a < 0.5 THEN 0e0 WHEN b - a > 5 THEN 0.8e0 ELSE round(least(0.8e0, 0.4e0 + (b - a - 0.5e0) / 2 * 0.4e0), 3) END AS draft_score,
+  CASE WHEN vessel_type = 'fishing' OR coalesce(n, 0) < 2 THEN NULL WHEN lo = hi THEN round(lo, 2) ELSE b END AS draft_before, CASE WHEN vessel_type = 'fishing' OR coalesce(n, 0) < 2 THEN NULL WHEN lo = hi THEN round(lo, 2) ELSE a END AS draft_after,
+  CASE WHEN vessel_type = 'fishing' THEN 'fishing_vessel_excluded' WHEN coalesce(n, 0) < 2 THEN 'insufficient_draft_data' WHEN lo = hi THEN 'all_drafts_identical' WHEN b - a < 0 THEN 'ballast_taken'
    WHEN b - a < 0.5 THEN 'draft_change_below_threshold' WHEN b - a > 5 THEN 'DATA_ERROR_LARGE_CHANGE' ELSE 'significant_draft_decrease_detected' END AS draft_reason
-  FROM dm LEFT JOIN fx_vessels USING (mmsi))"""
+  FROM (SELECT DISTINCT scene_id, mmsi FROM fx_runs) LEFT JOIN (SELECT * FROM dm) USING (scene_id, mmsi) LEFT JOIN fx_vessels USING (mmsi))"""
 
 
 @R.query("draft_change", f"WITH {DRAFT_SQL} SELECT * FROM draft")

@@ -43,6 +43,7 @@ VIEWS: dict[str, str] = {
     "fx_tracks_raw": f"""
         SELECT t.mmsi, t.seq, [[epoch]] AS ts_s, t.lat, t.lon, t.speed_knots, t.course
         FROM {{fx_tracks}} t JOIN {{events}} e ON e.event_id = t.seq""",
+    # the registry lacks some vessels
     "fx_vessels": """
         SELECT CAST(419000000 + CAST(floor(c_custkey / 10e0) AS BIGINT) AS STRING) AS mmsi,
                max_by(c_name, c_custkey) AS vessel_name,
@@ -50,7 +51,7 @@ VIEWS: dict[str, str] = {
                     WHEN 'FURNITURE' THEN 'fishing' WHEN 'MACHINERY' THEN 'chemical_tanker' ELSE 'unknown' END AS vessel_type,
                round(max_by(c_acctbal, c_custkey) * 20, 2) AS dwt,
                max_by(c_nationkey, c_custkey) AS flag_key
-        FROM {customer} GROUP BY CAST(floor(c_custkey / 10e0) AS BIGINT)""",
+        FROM {customer} WHERE CAST(floor(c_custkey / 10e0) AS BIGINT) % 17 <> 3 GROUP BY CAST(floor(c_custkey / 10e0) AS BIGINT)""",
     "fx_scenes": f"""
         SELECT s_suppkey AS scene_id, {T0} + ((s_suppkey * 613) % 1800) * 60 AS captured_s,
                18e0 + ((s_suppkey * 37) % 400) / 200e0 + {_sector_lat(_SUPP_SECTOR)} AS spill_lat,
@@ -79,13 +80,13 @@ VIEWS: dict[str, str] = {
         FROM {events} e JOIN {fx_tracks} t ON t.seq = e.event_id
         JOIN {supplier} s ON s.s_suppkey = CAST(floor(e.user_id / 150e0) AS BIGINT) * 100 + e.event_id % 100
         WHERE e.event_type = 'error'""",
-    # one drift run per order; pairs of (scene, vessel) are unique
+    # one drift run per order; pairs of (scene, vessel) are unique; some scenes have none
     "fx_runs": """
         SELECT s.s_suppkey AS scene_id, o.mmsi, min(o.o_orderkey) AS run_id
         FROM (SELECT o_orderkey, CAST(floor(o_custkey / 10e0) AS BIGINT) AS u,
                      CAST(419000000 + CAST(floor(o_custkey / 10e0) AS BIGINT) AS STRING) AS mmsi FROM {orders}) o
         JOIN {supplier} s ON s.s_suppkey = CAST(floor(o.u / 150e0) AS BIGINT) * 100 + o.o_orderkey % 100
-        GROUP BY s.s_suppkey, o.mmsi""",
+        WHERE s.s_suppkey % 13 <> 5 GROUP BY s.s_suppkey, o.mmsi""",
     # one or two simulations of each pair, some without a spill
     "fx_sims": """
         SELECT scene_id, mmsi, CASE WHEN k = 0 THEN lo ELSE hi END AS run_id,
@@ -94,7 +95,7 @@ VIEWS: dict[str, str] = {
               FROM (SELECT o_orderkey, CAST(floor(o_custkey / 10e0) AS BIGINT) AS u,
                            CAST(419000000 + CAST(floor(o_custkey / 10e0) AS BIGINT) AS STRING) AS mmsi FROM {orders}) o
               JOIN {supplier} s ON s.s_suppkey = CAST(floor(o.u / 150e0) AS BIGINT) * 100 + o.o_orderkey % 100
-              GROUP BY s.s_suppkey, o.mmsi) p [[each k 0 1]] WHERE k = 0 OR hi > lo""",
+              WHERE s.s_suppkey % 13 <> 5 GROUP BY s.s_suppkey, o.mmsi) p [[each k 0 1]] WHERE k = 0 OR hi > lo""",
     # every run's own trajectory, every second hour; some runs have none
     "fx_run_drift": """
         SELECT r.run_id, k AS step, s.captured_s + (k - 6) * 7200 AS ts_s,

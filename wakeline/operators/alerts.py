@@ -27,6 +27,11 @@ def with_confidence(requests: DataFrame) -> DataFrame:
     )
 
 
+def _places(requests: DataFrame) -> DataFrame:
+    """Every distinct location once, named by itself: stations and assets are searched per place, not per request."""
+    return requests.select("lat", "lon").distinct().withColumn("incident_id", F.struct("lat", "lon"))
+
+
 def gate_incidents(requests: DataFrame, stations: DataFrame) -> DataFrame:
     """Add the primary station and the reason for which a request is stopped (null = passes).
 
@@ -39,9 +44,9 @@ def gate_incidents(requests: DataFrame, stations: DataFrame) -> DataFrame:
         .when(F.col("confidence") < MIN_CONFIDENCE, "below_confidence_threshold")
     )
     r = r.withColumn("_early", early)
-    open_ = r.filter(F.col("_early").isNull()).select(F.col("request_id").alias("incident_id"), "lat", "lon")
-    primary = nearest_stations(open_, stations, k=1).select(F.col("incident_id").alias("request_id"), "station_id", "station_name", "distance_km")
-    d = r.join(primary, "request_id", "left")
+    places = _places(r.filter(F.col("_early").isNull()))
+    primary = nearest_stations(places, stations, k=1).select(F.col("incident_id").alias("_place"), "station_id", "station_name", "distance_km")
+    d = r.withColumn("_place", F.when(F.col("_early").isNull(), F.struct("lat", "lon"))).join(primary, "_place", "left").drop("_place")
     return d.withColumn(
         "reason", F.coalesce("_early", F.when(F.col("station_id").isNull(), "no_station_in_range"))
     ).drop("_early")
@@ -119,7 +124,7 @@ def cooldown(gated: DataFrame, cooldown_s: int = COOLDOWN_S) -> DataFrame:
 def build_alerts(decided: DataFrame, stations: DataFrame, assets: DataFrame) -> DataFrame:
     """One alert per dispatched request: stations, severity, ETA and nearby response assets."""
     sent = decided.filter(F.col("reason").isNull())
-    at = sent.select(F.col("request_id").alias("incident_id"), "lat", "lon")
+    at = _places(sent)
     names = nearest_stations(at, stations, k=1 + BACKUPS).filter("rank > 1").groupBy("incident_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "station_name"))), lambda s: s["station_name"]).alias("backup_stations")
     )
@@ -130,7 +135,10 @@ def build_alerts(decided: DataFrame, stations: DataFrame, assets: DataFrame) ->
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "asset_name"))), lambda s: s["asset_name"]).alias("nearest_vessels")
     )
     empty = F.array().cast("array<string>")
-    d = sent.withColumnRenamed("request_id", "incident_id").join(names, "incident_id", "left").join(counts, "incident_id", "left").join(five, "incident_id", "left")
+    found = [x.withColumnRenamed("incident_id", "_place") for x in (names, counts, five)]
+    d = sent.withColumnRenamed("request_id", "incident_id").withColumn("_place", F.struct("lat", "lon"))
+    for x in found:
+        d = d.join(x, "_place", "left")
     return d.select(
         "incident_id", "station_id", "station_name", F.col("distance_km").alias("station_distance_km"),
         F.coalesce("backup_stations", empty).alias("backup_stations"),

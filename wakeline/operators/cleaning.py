@@ -29,6 +29,14 @@ OIL_BY_VESSEL = [
     ("fishing", "DIESEL"),
 ]
 OIL_DEFAULT = "GENERIC MEDIUM CRUDE"
+# Fixed oil types of cargo names.
+OIL_BY_CARGO = {
+    "crude_oil": "GENERIC HEAVY CRUDE",
+    "diesel": "DIESEL",
+    "fuel_oil": "FUEL OIL NO. 6",
+    "gasoline": "GASOLINE",
+    "unknown": "GENERIC MEDIUM CRUDE",
+}
 TANKER_DWT, OTHER_DWT = 85000.0, 45000.0
 
 
@@ -81,9 +89,11 @@ def reject_counts(validated: DataFrame) -> DataFrame:
     )
 
 
-def kept(validated: DataFrame, limit: int | None = None) -> DataFrame:
-    """Good rows; ``limit`` is the ingest ceiling the caller asks for, in time order."""
+def kept(validated: DataFrame, limit: int | None = None, required: bool = False) -> DataFrame:
+    """Good rows; ``limit`` is the ingest ceiling the caller asks for, in time order. ``required``: raise if there are none."""
     good = validated.filter(F.col("reject_reason").isNull())
+    if required and good.isEmpty():
+        raise ValueError("no AIS row is left after validation")
     return good if limit is None else good.orderBy("utc_s", "MMSI").limit(limit)
 
 
@@ -173,6 +183,12 @@ def oil_type_of_vessel(vessel_type: Column) -> Column:
     return out.otherwise(OIL_DEFAULT)
 
 
+def oil_type_of_cargo(cargo: Column) -> Column:
+    """Oil type of a cargo's name; an unknown one, also null, is medium crude."""
+    known = F.create_map(*[F.lit(x) for pair in OIL_BY_CARGO.items() for x in pair])
+    return F.coalesce(known[F.lower(cargo)], F.lit(OIL_DEFAULT))
+
+
 def with_capacity_defaults(vessels: DataFrame) -> DataFrame:
     """Missing tonnage by type, missing name from the last four digits of the MMSI."""
     tanker = contains_any(F.lower("vessel_type"), ["tanker"])
@@ -183,7 +199,8 @@ def with_capacity_defaults(vessels: DataFrame) -> DataFrame:
     )
 
 
-def list_spills(spills: DataFrame, scenes: DataFrame, status: str | None, limit: int, offset: int) -> DataFrame:
-    """One page of spills with their scene, newest first."""
+def list_spills(spills: DataFrame, scenes: DataFrame, status: str | None, limit: int, offset: int, scene_id=None) -> DataFrame:
+    """One page of spills with their scene, newest first; ``status`` and ``scene_id`` narrow it."""
     s = spills if status is None else spills.filter(F.col("status") == status)
+    s = s if scene_id is None else s.filter(F.col("scene_id") == scene_id)
     return s.join(scenes, "scene_id").orderBy(F.desc("captured_s"), "scene_id").offset(offset).limit(limit)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from wakeline.functions.angles import narrowest_arc
 from wakeline.functions.geo import NM_M, haversine_km, knots, with_geodesic
 from wakeline.operators.sequences import fill_known, neighbours, rank_in_group
-from wakeline.operators.windows import facts_of_runs
+from wakeline.operators.windows import facts_near_runs, facts_of_runs
+from wakeline.session import cut_lineage
 
 PAIR = ["scene_id", "mmsi"]
 
@@ -106,6 +107,24 @@ def dark_scores(windows: DataFrame) -> DataFrame:
     )
 
 
+def dark_evidence(runs: DataFrame, points: DataFrame, windows: DataFrame) -> DataFrame:
+    """Dark pillar of every run's pair, with a reason, also where there is nothing to score.
+
+    Fewer than two positions (``points``) are no evidence; a track without scored silences is unsuspicious.
+    """
+    seen = points.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_points"))
+    d = runs.select(*PAIR).distinct().join(seen, PAIR, "left").join(dark_scores(windows), PAIR, "left")
+    score, notes = F.coalesce("dark_score", F.lit(0.0)), F.coalesce("dark_notes", F.lit(""))
+    quiet = F.when(notes == "", "no_suspicious_gaps_detected").otherwise(notes)
+    found = F.concat(
+        F.format_string("dark_vessel_anomaly_detected (max_gap_score=%.4f)", score), F.when(notes == "", "").otherwise(F.concat(F.lit(" ["), notes, F.lit("]")))
+    )
+    return d.select(
+        *PAIR, score.alias("dark_score"), F.coalesce("n_gaps", F.lit(0)).alias("n_gaps"),
+        F.when(F.coalesce("n_points", F.lit(0)) < 2, "INSUFFICIENT_EVIDENCE").when(score > 0, found).otherwise(quiet).alias("dark_reason"),
+    )
+
+
 def derive_sog_cog(track: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Fill missing speed from the way to the next point, missing course from its bearing.
 
@@ -250,10 +269,12 @@ def assemble_tracks(points: DataFrame, chunk_s: int = 86400) -> DataFrame:
     """Ordered waypoint arrays, one per vessel and day.
 
     A whole-life array of a busy vessel would have to fit one task, so the array is
-    cut by time; ``chunk`` orders the pieces.
+    cut by time; ``chunk`` orders the pieces. Points are deduplicated first, so an array
+    is never longer than its seconds.
     """
+    numbered = points if "seq" in points.columns else points.withColumn("seq", F.struct("lat", "lon"))
     return (
-        points.groupBy("mmsi", F.floor(F.col("ts_s") / chunk_s).cast("long").alias("chunk"))
+        dedupe_track(numbered).groupBy("mmsi", F.floor(F.col("ts_s") / chunk_s).cast("long").alias("chunk"))
         .agg(F.array_sort(F.collect_list(F.struct("ts_s", "lat", "lon", "speed_knots", "course"))).alias("track"))
         .withColumn("n_points", F.size("track"))
     )
@@ -281,13 +302,14 @@ def merge_static(messages: DataFrame) -> DataFrame:
 def draft_change(runs: DataFrame, scenes: DataFrame, drafts: DataFrame, vessels: DataFrame, hours: int = 48) -> DataFrame:
     """Draft pillar of each run (scene_id, mmsi) from its vessel's readings around the scene time.
 
-    ``drafts``: mmsi, ts_s, seq, draft_m. Readings are numbered once per vessel. A run's
+    ``drafts``: mmsi, ts_s, seq, draft_m. Readings near a run's window are numbered once per vessel. A run's
     readings are then a range of numbers, found by one aggregation; only the three on
-    either side of the dividing reading are fetched.
+    either side of the dividing reading are fetched. A run without readings has a row too.
     """
     at, ts, pos, draft = F.col("captured_s"), F.col("ts_s"), F.col("pos"), F.col("draft_m")
     known = drafts.filter(draft.isNotNull()).select("mmsi", "ts_s", "seq", "draft_m")
-    numbered = rank_in_group(known, ["mmsi"], [ts, F.col("seq")], F.floor(ts / 21600), "pos")
+    known = facts_near_runs(runs, scenes, known, "ts_s", hours * 3600, hours * 3600, bucket_s=86400)
+    numbered = cut_lineage(rank_in_group(known, ["mmsi"], [ts, F.col("seq")], F.floor(ts / 21600), "pos"))
     readings = facts_of_runs(runs, scenes, numbered, "ts_s", hours * 3600, hours * 3600, bucket_s=86400)
     near = F.abs(ts - at) <= 48 * 3600
 
@@ -324,10 +346,10 @@ def draft_change(runs: DataFrame, scenes: DataFrame, drafts: DataFrame, vessels:
     medians = picked.groupBy(*PAIR).agg(
         median3(pos <= F.col("_last")).alias("_before"), median3(pos > F.col("_last")).alias("_after")
     )
-    d = facts.join(medians, PAIR, "left").join(vessels.select("mmsi", "vessel_type"), "mmsi", "left")
+    d = runs.select(*PAIR).distinct().join(facts, PAIR, "left").join(medians, PAIR, "left").join(vessels.select("mmsi", "vessel_type"), "mmsi", "left")
     delta = F.col("_before") - F.col("_after")
     fishing = F.lower(F.trim(F.coalesce("vessel_type", F.lit("")))) == "fishing"
-    few, same = F.col("_n") < 2, F.col("_lo") == F.col("_hi")
+    few, same = F.coalesce("_n", F.lit(0)) < 2, F.coalesce(F.col("_lo") == F.col("_hi"), F.lit(False))
     reason = (
         F.when(fishing, "fishing_vessel_excluded")
         .when(few, "insufficient_draft_data")

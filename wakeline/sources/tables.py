@@ -81,6 +81,13 @@ def track_record_id(df: DataFrame) -> DataFrame:
     return df.withColumn("source_record_id", F.concat_ws(":", "mmsi", utc))
 
 
+def upsert_vessels(spark: SparkSession, path: str, points: DataFrame) -> None:
+    """Appends a row to the stored registry for every MMSI seen on the air that it lacks; doing it again adds nothing."""
+    known = spark.read.parquet(path)
+    new = known.limit(0).unionByName(unknown_vessels(points, known), allowMissingColumns=True)
+    new.write.mode("append").parquet(path)
+
+
 def unknown_vessels(points: DataFrame, vessels: DataFrame) -> DataFrame:
     """MMSIs seen on the air but missing from the registry, as new registry rows."""
     return (
