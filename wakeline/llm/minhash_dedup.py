@@ -8,13 +8,16 @@ otherwise take ``ROWS * ROWS * 2 * WIDTH``. Two sets of similarity s meet in som
 Candidates are first screened by the sets' sizes (exact) and by how many minhashes agree (six standard deviations
 below the threshold), then confirmed on the full sets.
 
-No group emits all its pairs. First every member of a bucket is tried against the bucket's three pivots (its least
-members under three orders); the confirmed links give components. Only buckets that still hold several components are
-looked at again, and there only pairs across components with one side outside the bucket's largest component. Pairs
-within a component can add nothing, so every link between candidates has its effect. Bucket statistics are partial
-sums before the shuffle, so a bucket with a third of all rows costs its one row per map task.
+No group emits all its pairs. First every member is tried once, against the least id of all its buckets; the confirmed
+links are a forest, whose roots name the components. Only buckets that still hold several components are looked at
+again: their members are tried against the buckets' three pivots (the least members under three orders), one pivot of
+each other component. What is still open then is compared in full, but only across components and with one side outside
+the bucket's largest component. Pairs within a component can add nothing, so every link between candidates has its
+effect. Bucket statistics are partial sums before the shuffle, so a bucket with a third of all rows costs its one row
+per map task.
 
-Components: labels are lowered over the links and by pointer jumping, every round checkpointed in the shared folder.
+Components: the first labels come by pointer jumping along the forest. Later links are followed between components
+only, by lowering labels and jumping; every round is checkpointed in the shared folder.
 
 Defined cases: null or blank text has an empty set and is its own component; fewer words than a shingle make one
 shingle of the whole sequence; rows of null id are never linked and have a null component; rows repeated under one id
@@ -28,6 +31,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +50,8 @@ ASCII_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SMALL = 32
+#: Partners compared with one copy of a text in one run.
+MEMBERS = 256
 TILE = 256
 #: Buckets of ids that mark which texts a confirmation may need: the bound of what it broadcasts.
 ID_BUCKETS = 1 << 20
@@ -54,16 +61,33 @@ BATCH_BYTES = 1 << 20
 
 def grouped(texts: list[bytes], most: int = BATCH_BYTES) -> Iterator[list[int]]:
     """Row numbers in runs of about ``most`` bytes; a longer text is a run of its own."""
-    run: list[int] = []
-    size = 0
-    for i, t in enumerate(texts):
-        if run and size + len(t) > most:
-            yield run
-            run, size = [], 0
-        run.append(i)
-        size += len(t)
-    if run:
-        yield run
+    for at, stop in stretches(np.array([len(t) for t in texts], np.int64), most):
+        yield list(range(at, stop))
+
+
+def stretches(lengths: np.ndarray, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    at, size = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > at and size + n > most:
+            yield at, i
+            at, size = i, 0
+        size += n
+    if at < len(lengths):
+        yield at, len(lengths)
+
+
+def text_runs(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of an Arrow column as bytes, about a megabyte at a time, with the number of the first; null is empty."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for at, stop in stretches(lengths):
+        some = column.slice(at, stop - at)
+        some = some.cast(pa.large_binary() if pa.types.is_large_string(some.type) else pa.binary())
+        yield at, [t or b"" for t in some.to_pylist()]
+
+
+def sum_of(values: np.ndarray) -> int:
+    """A set's first hash."""
+    return int(values.sum(dtype=np.uint64).astype(np.int64)) if len(values) else 0
 
 
 def shingle_sets(texts: list[bytes], shingle: int, powers: rolling.Powers) -> list[np.ndarray]:
@@ -107,33 +131,55 @@ def signature(values: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame, shingle: int, rows: int, width: int) -> DataFrame:
     """doc_id, set size, 128-bit set hash, minhash bytes and the two hash collections of every document."""
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = rolling.Powers()
         count = 2 * rows * width
         multipliers = rolling.mixed(np.arange(1, count + 1, dtype=np.uint64) * rolling.BASE) | np.uint64(1)
         for batch in batches:
-            raw = [t.encode() for t in batch["text"].fillna("")]
-            for run in grouped(raw):
+            for at, raw in text_runs(batch.column("text")):
                 sizes, h1, h2, sigs, keys = [], [], [], [], []
-                for values in shingle_sets([raw[i] for i in run], shingle, powers):
+                for values in shingle_sets(raw, shingle, powers):
                     sizes.append(len(values))
-                    with np.errstate(over="ignore"):
-                        h1.append(int(values.sum(dtype=np.uint64).astype(np.int64)) if len(values) else 0)
-                        h2.append(int(rolling.mixed(values).sum(dtype=np.uint64).astype(np.int64)) if len(values) else 0)
+                    h1.append(sum_of(values))
+                    h2.append(sum_of(rolling.mixed(values)))
+                    entry = np.zeros(2 * rows if len(values) else 0, np.uint64)
+                    sig = signature(values, multipliers)
                     if len(values):
-                        sig = signature(values, multipliers)
-                        sigs.append(sig.astype(np.uint8).tobytes())
-                        entry = np.zeros(2 * rows, np.uint64)
                         for k in range(width):
                             entry = rolling.pairs(entry, sig[k::width].astype(np.uint64))
-                        keys.append(entry.astype(np.int64))
-                    else:
-                        sigs.append(b"")
-                        keys.append(np.empty(0, np.int64))
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[run].to_numpy(), "n_shingles": sizes, "h1": h1, "h2": h2, "sig": sigs, "entries": keys})
+                    sigs.append(sig.astype(np.uint8).tobytes() if len(values) else b"")
+                    keys.append(entry.astype(np.int64))
+                ids = batch.column("doc_id").slice(at, len(raw))
+                columns = [ids, pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "h1", "h2", "sig", "entries"])
 
     kind = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, entries array<long>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(sketch, kind)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, kind)
+
+
+def roots(links: DataFrame) -> DataFrame:
+    """(id, component) from links in which each b has one a, the smaller one: the way up is halved each round."""
+    up = cut_lineage(links.select(F.col("b").alias("id"), F.col("a").alias("component")))
+    while True:
+        above = up.select(F.col("id").alias("component"), F.col("component").alias("further"))
+        jumped = cut_lineage(up.join(above, "component", "left").select("id", F.coalesce("further", "component").alias("component"), F.col("further").isNotNull().alias("moved")))
+        up = jumped.select("id", "component")
+        if jumped.where("moved").isEmpty():
+            return up
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, component) after further links (a, b), which are followed between components only."""
+    def of(name: str) -> DataFrame:
+        return labels.toDF(name, f"c{name}")
+
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    joined = components(between).toDF("component", "lower")
+    known = labels.join(joined, "component", "left").select("id", F.coalesce("lower", "component").alias("component"))
+    # a component's own name is an id that may have had no label yet
+    alone = joined.toDF("id", "component").join(labels.select("id"), "id", "left_anti")
+    return cut_lineage(known.union(alone))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -177,34 +223,50 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, screen: float) -> DataFrame:
-    """The pairs (a, b) of class ids whose full sets reach the threshold."""
-    sketch = classes.select("id", "n_shingles", "sig")
-    left = sketch.toDF("a", "size_a", "sig_a")
-    right = sketch.toDF("b", "size_b", "sig_b")
+    """The pairs (a, b) of class ids whose full sets reach the threshold.
+
+    Texts are not paired row by row: the text of a stands before the texts of up to ``MEMBERS`` of its partners, and
+    one pass over the sorted rows keeps a's set and compares each partner's with it.
+    """
+    sketch = classes.select("id", "n_shingles", "h1", "sig")
+    left = sketch.toDF("a", "size_a", "h_a", "sig_a")
+    right = sketch.toDF("b", "size_b", "h_b", "sig_b")
     share = F.pandas_udf(agreeing, "double")
     near = F.least("size_a", "size_b") * DENOMINATOR >= F.greatest("size_a", "size_b") * NUMERATOR
     likely = cut_lineage(
-        pairs.join(left, "a").join(right, "b").where(near).where(share("sig_a", "sig_b") >= screen).select("a", "b", "size_a", "size_b")
+        pairs.join(left, "a").join(right, "b").where(near).where(share("sig_a", "sig_b") >= screen)
+        .select("a", "b", "size_a", "size_b", "h_a", "h_b")
     )
+    partners = likely.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("salts"))
+    salted = likely.join(partners, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
+    heads = salted.select("a", "salt", F.lit(0).alias("side"), F.col("a").alias("id"), F.col("size_a").alias("n"), F.col("h_a").alias("h")).distinct()
+    members = salted.select("a", "salt", F.lit(1).alias("side"), F.col("b").alias("id"), F.col("size_b").alias("n"), F.col("h_b").alias("h"))
     texts = texts_of(docs, likely.select(F.col("a").alias("id")).union(likely.select("b")))
-    read = likely.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
+    read = heads.union(members).join(texts, "id").repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers = rolling.Powers()
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, head, of = rolling.Powers(), None, None
         for batch in batches:
-            both = [t.encode() for pair in zip(batch["left"], batch["right"]) for t in pair]
-            sets: list[np.ndarray] = []
-            for run in grouped(both):
-                sets += shingle_sets([both[i] for i in run], shingle, powers)
-            keep = []
-            for k, (n, m) in enumerate(zip(batch["size_a"], batch["size_b"])):
-                x, y = sets[2 * k], sets[2 * k + 1]
-                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                # the sizes tell a class's own text from another one repeated under its id
-                keep.append(len(x) == n and len(y) == m and DENOMINATOR * common >= NUMERATOR * (n + m - common))
-            yield batch.loc[keep, ["a", "b"]]
-
-    return read.select("a", "b", "left", "right", "size_a", "size_b").mapInPandas(verify, "a long, b long").distinct()
+            facts = [batch.column(c).to_pylist() for c in ("a", "salt", "side", "id", "n", "h")]
+            for at, raw in text_runs(batch.column("text")):
+                kept = []
+                for k, values in enumerate(shingle_sets(raw, shingle, powers)):
+                    a, salt, side, b, n, h = (column[at + k] for column in facts)
+                    if of != (a, salt):
+                        of, head = (a, salt), None
+                    # size and hash tell a class's own text from another one repeated under its id
+                    if len(values) != n or sum_of(values) != h:
+                        continue
+                    if side == 0:
+                        head = values
+                    elif head is not None:
+                        common = len(np.intersect1d(head, values, assume_unique=True))
+                        if DENOMINATOR * common >= NUMERATOR * (len(head) + n - common):
+                            kept.append((a, b))
+                if kept:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*kept)], names=["a", "b"])
+
+    return read.select("a", "salt", "side", "id", "n", "h", "text").mapInArrow(verify, "a long, b long").distinct()
 
 
 def buckets(classes: DataFrame, rows: int) -> DataFrame:
@@ -216,14 +278,21 @@ def buckets(classes: DataFrame, rows: int) -> DataFrame:
     return keyed.join(shared, "key")
 
 
-def pivot_pairs(meeting: DataFrame) -> DataFrame:
-    """Every member of a bucket with each of its pivots: the least members under ``PIVOTS`` orders."""
+def hub_pairs(meeting: DataFrame) -> DataFrame:
+    """One pair (a, b) for every member b: with the least id of all its buckets."""
+    least = meeting.groupBy("key").agg(F.min("id").alias("p"))
+    hub = meeting.join(least, "key").groupBy("id").agg(F.min("p").alias("a"))
+    return hub.where("a <> id").select("a", F.col("id").alias("b"))
+
+
+def pivot_pairs(still: DataFrame) -> DataFrame:
+    """Members of open buckets with their buckets' pivots (the least members under ``PIVOTS`` orders), one of each other component."""
     orders = [F.col("id")] + [F.xxhash64(F.lit(k), "id") for k in range(1, PIVOTS)]
-    pivots = meeting.groupBy("key").agg(*[F.min_by("id", o).alias(f"p{k}") for k, o in enumerate(orders)])
-    paired = meeting.join(pivots, "key").select(
-        "id", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p")
-    )
-    return ordered(paired, "id", "p")
+    one = F.struct("id", "component")
+    pivots = still.groupBy("key").agg(*[F.min_by(one, o).alias(f"p{k}") for k, o in enumerate(orders)])
+    each = still.join(pivots, "key").select("id", "component", F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("p"))
+    other = each.where("p.component <> component").groupBy("id", "p.component").agg(F.min("p.id").alias("a"))
+    return ordered(other, "a", "id")
 
 
 def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
@@ -267,15 +336,16 @@ def tile_links(large: DataFrame, classes: DataFrame, docs: DataFrame, shingle: i
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         raw = [t.encode() for t in group["text"].fillna("")]
+        powers = rolling.Powers()
         sets: list[np.ndarray] = []
         for run in grouped(raw):
-            sets += shingle_sets([raw[i] for i in run], shingle, rolling.Powers())
+            sets += shingle_sets([raw[i] for i in run], shingle, powers)
         # the size tells a class's own text from another one repeated under its id
         own = [len(v) == n for v, n in zip(sets, group["n_shingles"])]
         ids, parts, side = group["id"].to_numpy(), group["component"].to_numpy(), group["side"].to_numpy()
         left = [i for i in range(len(group)) if own[i] and side[i] == 0]
         right = [i for i in range(len(group)) if own[i] and side[i] == 1]
-        links = []
+        links, joined = [], set()
         if left and right:
             values = np.concatenate([sets[i] for i in left])
             order = np.argsort(values, kind="stable")
@@ -288,7 +358,11 @@ def tile_links(large: DataFrame, classes: DataFrame, docs: DataFrame, shingle: i
                 at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 common = np.bincount(owner[at], minlength=len(left))
                 near = DENOMINATOR * common >= NUMERATOR * (sizes + len(sets[j]) - common)
-                links += [(min(ids[left[i]], ids[j]), max(ids[left[i]], ids[j])) for i in np.flatnonzero(near) if parts[left[i]] != parts[j]]
+                for i in np.flatnonzero(near):
+                    # one link to a component is as good as all
+                    if parts[left[i]] != parts[j] and (i, parts[j]) not in joined:
+                        joined.add((i, parts[j]))
+                        links.append((min(ids[left[i]], ids[j]), max(ids[left[i]], ids[j])))
         return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
     return rows.groupBy("main", "at", "to").applyInPandas(compare, "a long, b long").distinct()
@@ -306,13 +380,16 @@ def near_duplicates(
         .select(F.col("first.doc_id").alias("id"), "h1", "h2", "n_shingles", "first.sig", "first.entries")
     )
     meeting = cut_lineage(buckets(classes, rows))
-    tried = cut_lineage(pivot_pairs(meeting))
-    links = cut_lineage(confirmed(tried, classes, docs, shingle, screen))
-    still = cut_lineage(open_buckets(meeting, components(links)))
-    across = pairs_across(still.where(F.col("size") <= SMALL)).join(tried, ["a", "b"], "left_anti")
-    links = links.union(confirmed(across, classes, docs, shingle, screen))
-    links = links.union(tile_links(still.where(F.col("size") > SMALL), classes, docs, shingle))
-    named = classes.join(components(links), "id", "left").select(
+    hubs = cut_lineage(hub_pairs(meeting))
+    labels = roots(confirmed(hubs, classes, docs, shingle, screen))
+    still = cut_lineage(open_buckets(meeting, labels))
+    pivots = cut_lineage(pivot_pairs(still).join(hubs, ["a", "b"], "left_anti"))
+    labels = merged(labels, cut_lineage(confirmed(pivots, classes, docs, shingle, screen)))
+    still = cut_lineage(open_buckets(still.select("key", "id"), labels))
+    across = pairs_across(still.where(F.col("size") <= SMALL)).join(hubs.union(pivots), ["a", "b"], "left_anti")
+    links = confirmed(across, classes, docs, shingle, screen).union(tile_links(still.where(F.col("size") > SMALL), classes, docs, shingle))
+    labels = merged(labels, cut_lineage(links))
+    named = classes.join(labels, "id", "left").select(
         "h1", "h2", F.col("n_shingles").alias("n"), F.coalesce("component", "id").alias("component_id")
     )
     same = (every["h1"] == named["h1"]) & (every["h2"] == named["h2"]) & (every["n_shingles"] == named["n"])
