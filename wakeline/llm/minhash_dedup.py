@@ -27,6 +27,7 @@ that id; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,8 @@ LOWER[65:91] += 32
 SMALL = 32
 #: Partners compared with one copy of a text in one run.
 MEMBERS = 256
+#: Rows of ids read by one task at least.
+PART_ROWS = 20_000
 TILE = 256
 #: Buckets of ids that mark which texts a confirmation may need: the bound of what it broadcasts.
 ID_BUCKETS = 1 << 20
@@ -157,12 +160,18 @@ def sketches(docs: DataFrame, shingle: int, rows: int, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, kind)
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """A checkpoint read in partitions of at least ``PART_ROWS`` rows: a later shuffle of few rows writes few files."""
+    kept = cut_lineage(rows)
+    return kept.coalesce(max(1, math.ceil(kept.count() / PART_ROWS)))
+
+
 def roots(links: DataFrame) -> DataFrame:
     """(id, component) from links in which each b has one a, the smaller one: the way up is halved each round."""
-    up = cut_lineage(links.select(F.col("b").alias("id"), F.col("a").alias("component")))
+    up = links.select(F.col("b").alias("id"), F.col("a").alias("component"))
     while True:
         above = up.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        jumped = cut_lineage(up.join(above, "component", "left").select("id", F.coalesce("further", "component").alias("component"), F.col("further").isNotNull().alias("moved")))
+        jumped = settled(up.join(above, "component", "left").select("id", F.coalesce("further", "component").alias("component"), F.col("further").isNotNull().alias("moved")))
         up = jumped.select("id", "component")
         if jumped.where("moved").isEmpty():
             return up
@@ -174,23 +183,25 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
         return labels.toDF(name, f"c{name}")
 
     named = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    between = named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    between = settled(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct())
+    if between.isEmpty():
+        return labels
     joined = components(between).toDF("component", "lower")
     known = labels.join(joined, "component", "left").select("id", F.coalesce("lower", "component").alias("component"))
     # a component's own name is an id that may have had no label yet
     alone = joined.toDF("id", "component").join(labels.select("id"), "id", "left_anti")
-    return cut_lineage(known.union(alone))
+    return settled(known.union(alone))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the least id reachable over ``links`` (a, b), for every id on a link."""
-    edges = cut_lineage(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = cut_lineage(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
+    edges = settled(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    labels = settled(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
     while True:
         near = edges.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("low"))
         root = labels.select(F.col("id").alias("low"), F.col("component").alias("root"))
-        jumped = cut_lineage(
+        jumped = settled(
             lower.join(root, "low", "left").select("id", F.col("component").alias("old"), F.least("low", "root").alias("component"))
         )
         labels = jumped.select("id", "component")
@@ -228,12 +239,14 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
     Texts are not paired row by row: the text of a stands before the texts of up to ``MEMBERS`` of its partners, and
     one pass over the sorted rows keeps a's set and compares each partner's with it.
     """
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     sketch = classes.select("id", "n_shingles", "h1", "sig")
     left = sketch.toDF("a", "size_a", "h_a", "sig_a")
     right = sketch.toDF("b", "size_b", "h_b", "sig_b")
     share = F.pandas_udf(agreeing, "double")
     near = F.least("size_a", "size_b") * DENOMINATOR >= F.greatest("size_a", "size_b") * NUMERATOR
-    likely = cut_lineage(
+    likely = settled(
         pairs.join(left, "a").join(right, "b").where(near).where(share("sig_a", "sig_b") >= screen)
         .select("a", "b", "size_a", "size_b", "h_a", "h_b")
     )
@@ -266,7 +279,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
                 if kept:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*kept)], names=["a", "b"])
 
-    return read.select("a", "salt", "side", "id", "n", "h", "text").mapInArrow(verify, "a long, b long").distinct()
+    return settled(read.select("a", "salt", "side", "id", "n", "h", "text").mapInArrow(verify, "a long, b long").distinct())
 
 
 def buckets(classes: DataFrame, rows: int) -> DataFrame:
@@ -317,7 +330,7 @@ def pairs_across(small: DataFrame) -> DataFrame:
 
 def tile_links(large: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """The links between each component of large buckets and the outsiders that met it, tile by tile."""
-    met = cut_lineage(large.select("main", "id", "component").distinct().withColumn("outside", F.col("component") != F.col("main")))
+    met = settled(large.select("main", "id", "component").distinct().withColumn("outside", F.col("component") != F.col("main")))
     counts = met.groupBy("main").agg(
         F.ceil(F.count_if("outside") / TILE).cast("int").alias("across"), F.ceil(F.count("*") / TILE).cast("int").alias("down")
     )
@@ -365,7 +378,7 @@ def tile_links(large: DataFrame, classes: DataFrame, docs: DataFrame, shingle: i
                         links.append((min(ids[left[i]], ids[j]), max(ids[left[i]], ids[j])))
         return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
-    return rows.groupBy("main", "at", "to").applyInPandas(compare, "a long, b long").distinct()
+    return settled(rows.groupBy("main", "at", "to").applyInPandas(compare, "a long, b long").distinct())
 
 
 def near_duplicates(
@@ -375,20 +388,23 @@ def near_duplicates(
     every = cut_lineage(sketches(docs, shingle, rows, width))
     known = every.where("doc_id is not null and n_shingles > 0")
     first = F.min_by(F.struct("doc_id", "sig", "entries"), "doc_id")
-    classes = cut_lineage(
+    classes = settled(
         known.groupBy("h1", "h2", "n_shingles").agg(first.alias("first"))
         .select(F.col("first.doc_id").alias("id"), "h1", "h2", "n_shingles", "first.sig", "first.entries")
     )
-    meeting = cut_lineage(buckets(classes, rows))
-    hubs = cut_lineage(hub_pairs(meeting))
+    meeting = settled(buckets(classes, rows))
+    hubs = settled(hub_pairs(meeting))
     labels = roots(confirmed(hubs, classes, docs, shingle, screen))
-    still = cut_lineage(open_buckets(meeting, labels))
-    pivots = cut_lineage(pivot_pairs(still).join(hubs, ["a", "b"], "left_anti"))
-    labels = merged(labels, cut_lineage(confirmed(pivots, classes, docs, shingle, screen)))
-    still = cut_lineage(open_buckets(still.select("key", "id"), labels))
-    across = pairs_across(still.where(F.col("size") <= SMALL)).join(hubs.union(pivots), ["a", "b"], "left_anti")
-    links = confirmed(across, classes, docs, shingle, screen).union(tile_links(still.where(F.col("size") > SMALL), classes, docs, shingle))
-    labels = merged(labels, cut_lineage(links))
+    still = settled(open_buckets(meeting, labels))
+    pivots = settled(pivot_pairs(still).join(hubs, ["a", "b"], "left_anti"))
+    labels = merged(labels, confirmed(pivots, classes, docs, shingle, screen))
+    still = settled(open_buckets(still.select("key", "id"), labels))
+    across = settled(pairs_across(still.where(F.col("size") <= SMALL)).join(hubs.union(pivots), ["a", "b"], "left_anti"))
+    links = confirmed(across, classes, docs, shingle, screen)
+    large = still.where(F.col("size") > SMALL)
+    if not large.isEmpty():
+        links = links.union(tile_links(large, classes, docs, shingle))
+    labels = merged(labels, links)
     named = classes.join(labels, "id", "left").select(
         "h1", "h2", F.col("n_shingles").alias("n"), F.coalesce("component", "id").alias("component_id")
     )
