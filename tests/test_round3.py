@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wakeline.operators import alerts, cleaning, contacts, raster, sequences, tracks
+from wakeline.operators import alerts, cleaning, contacts, evaluation, raster, sequences, tracks
 from wakeline.sources import drift, tables
 
 
@@ -170,3 +170,21 @@ def test_small_rules_of_ingest(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("1", "cargo"), ("2", "unknown")]
     once = tracks.assemble_tracks(spark.createDataFrame([("v", 5, 1, 1.0, 2.0), ("v", 5, 2, 3.0, 4.0)], "mmsi string, ts_s long, seq long, lat double, lon double").withColumns({"speed_knots": F.lit(1.0), "course": F.lit(0.0)}))
     assert [(r.n_points, r.track[0].lat) for r in once.collect()] == [(1, 3.0)]
+
+
+@pytest.mark.parametrize("wanted", [0.1, 1.0, 12.0])
+def test_free_temperature_is_found(spark, wanted):
+    # each score stands with both truths in the shares that the wanted temperature predicts
+    rng = random.Random(6)
+    zs = [rng.gauss(0, 2 * wanted) for _ in range(200)]
+    share = [1 / (1 + np.exp(-z / wanted)) for z in zs]
+    d = spark.createDataFrame([(float(z), float(p)) for z, p in zip(zs, share)], "z double, truth double")
+    at, nll = evaluation.best_log_temperature(d)
+    assert np.exp(at) == pytest.approx(wanted, abs=1e-6)
+    assert nll == pytest.approx(float(np.mean([-(p * np.log(p) + (1 - p) * np.log(1 - p)) for p in share])), abs=1e-9)
+
+
+def test_free_temperature_without_an_optimum(spark):
+    d = spark.createDataFrame([(1.0, 1), (-1.0, 0)], "z double, truth int")
+    assert evaluation.best_log_temperature(d)[0] < -2.5
+    assert evaluation.best_log_temperature(d.limit(0)) == (0.0, 0.0)

@@ -67,6 +67,28 @@ def _(spark, sf):
     return _r(op.fit_temperature(view(spark, sf, "fx_preds"), F.col("doc_id") % 2 == 0), "nll", "ece")
 
 
+_LEANT = "SELECT doc_id, CASE WHEN (doc_id * 613) % 1000 / 1000e0 < 0.3e0 + prob * 0.4e0 THEN 1 ELSE 0 END AS truth, prob FROM fx_preds"
+
+
+@R.query(
+    "fit_free_temperature",
+    f"""WITH RECURSIVE z AS (SELECT doc_id, truth, ln(q / (1 - q)) AS z FROM (SELECT *, least(1 - 1e-6, greatest(1e-6, prob)) AS q FROM ({_LEANT}))),
+    cut(k, low, high) AS (SELECT 0, -20e0, 20e0 UNION ALL
+      SELECT k + 1, CASE WHEN slope > 0 THEN low ELSE mid END, CASE WHEN slope > 0 THEN mid ELSE high END FROM (
+        SELECT k, low, high, (low + high) / 2 AS mid, avg((truth - 1 / (1 + exp(-z * exp(-(low + high) / 2)))) * z * exp(-(low + high) / 2)) AS slope
+        FROM cut, z WHERE doc_id % 2 = 0 AND k < 60 GROUP BY k, low, high)),
+    best AS (SELECT exp(max((low + high) / 2) FILTER (k = 60)) AS t FROM cut),
+    fitted AS (SELECT avg(ln(1 + exp(-abs(z / t))) + greatest(z / t, 0) - z / t * truth) AS nll FROM z, best WHERE doc_id % 2 = 0),
+    p AS (SELECT truth, 1 / (1 + exp(-z / t)) AS prob FROM z, best WHERE doc_id % 2 = 1)
+    SELECT round(any_value(t), 5) AS temperature, round(any_value(nll), 6) AS nll, round(sum(n * abs(c - a)) / sum(n), 6) AS ece
+    FROM (SELECT least(floor(prob * 15), 14) AS b, count(*) AS n, avg(prob) AS c, avg(truth) AS a FROM p GROUP BY 1), best, fitted""",
+)
+def _(spark, sf):
+    preds = view(spark, sf, "fx_preds").withColumn("truth", F.when((F.col("doc_id") * 613) % 1000 / 1000.0 < 0.3 + F.col("prob") * 0.4, 1).otherwise(0))
+    d = op.fit_free_temperature(preds, F.col("doc_id") % 2 == 0)
+    return _r(d, "nll", "ece").withColumn("temperature", F.round("temperature", 5))
+
+
 @R.query(
     "stratified_split",
     f"""SELECT doc_id, truth, CASE WHEN row_number() OVER (PARTITION BY truth ORDER BY {uniform_sql(['doc_id'], 42)}, doc_id) <= floor(count(*) OVER (PARTITION BY truth) * 0.2e0) THEN 'validation' ELSE 'train' END AS split FROM fx_preds""",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.operators.drift import Uniform, hashed_uniform
 from wakeline.operators.sequences import rank_in_group, running_total
+from wakeline.session import cut_lineage
 
 
 def binary_metrics(preds: DataFrame, keys: list[str], thr: float = 0.5) -> DataFrame:
@@ -85,6 +88,43 @@ def fit_temperature(preds: DataFrame, fit_half: Column, grid: list[float] | None
     return calibration_error(scaled, ["temperature", "nll"], bins)
 
 
+def best_log_temperature(scores: DataFrame, tolerance: float = 1e-9) -> tuple[float, float]:
+    """log T and the cross-entropy at the temperature that minimises it, for rows (z, truth); T is not confined to a grid.
+
+    The loss is convex in 1/T, so its slope along log T changes sign once. Safeguarded Newton: each round takes slope
+    and curvature from one aggregation, narrows the bracket by the slope's sign, and halves the bracket where the
+    Newton step would leave it. Data without a finite optimum (separable, or worse than a coin) end at the bracket's
+    edge, log T = -20 or 20.
+    """
+    low, high, at = -20.0, 20.0, 0.0
+    y = F.col("truth")
+    for _ in range(100):
+        u = F.col("z") * math.exp(-at)
+        p = 1 / (1 + F.exp(-u))
+        loss = F.log1p(F.exp(-F.abs(u))) + F.greatest(u, F.lit(0.0)) - u * y
+        found = scores.agg(F.avg((y - p) * u).alias("slope"), F.avg(p * (1 - p) * u * u + (p - y) * u).alias("bend"), F.avg(loss).alias("nll")).first()
+        slope, bend, nll = found
+        if slope is None:
+            return 0.0, 0.0
+        low, high = (low, at) if slope > 0 else (at, high)
+        step = at - slope / bend if bend > 0 else math.inf
+        after = step if low < step < high else (low + high) / 2
+        if slope == 0 or abs(after - at) <= tolerance:
+            break
+        at = after
+    return at, nll
+
+
+def fit_free_temperature(preds: DataFrame, fit_half: Column, bins: int = 15) -> DataFrame:
+    """Like ``fit_temperature``, with the temperature found exactly (``best_log_temperature``) instead of on a grid."""
+    d = preds.select("truth", _logit(F.col("prob")).alias("z"), fit_half.alias("_fit"))
+    at, nll = best_log_temperature(cut_lineage(d.filter("_fit").select("z", "truth")))
+    scaled = d.filter(~F.col("_fit")).select(
+        "truth", (1 / (1 + F.exp(-F.col("z") * math.exp(-at)))).alias("prob"), F.lit(math.exp(at)).alias("temperature"), F.lit(nll).alias("nll")
+    )
+    return calibration_error(scaled, ["temperature", "nll"], bins)
+
+
 def stratified_split(rows: DataFrame, label: str, key: str, share: float = 0.2, seed: int = 42, uniform: Uniform = hashed_uniform) -> DataFrame:
     """Mark int(n * share) rows of each label as validation, in pseudo-random order of the key."""
     d = rows.withColumn("_u", uniform(F.col(key), seed=seed))
