@@ -103,12 +103,34 @@ def _(spark, sf):
     return run_summary(scenes, near, fleet, gaps)
 
 
+@R.query(
+    "contact_properties",
+    f"""WITH {CONTACTS_SQL}, lv AS (SELECT mmsi, max_by(speed_knots, (ts_s, seq)) AS speed, max_by(course, (ts_s, seq)) AS heading FROM fx_tracks GROUP BY 1)
+    SELECT c.scene_id, target_id, CAST(v.flag_key AS VARCHAR) AS flag, round(v.dwt, 2) AS dwt, round(l.speed, 2) AS speed_knots, l.heading, NULL AS imo
+    FROM contacts c LEFT JOIN fx_vessels v ON v.mmsi = c.mmsi LEFT JOIN lv l ON l.mmsi = c.mmsi""",
+)
+def _(spark, sf):
+    t = view(spark, sf, "fx_tracks")
+    newest = F.struct("ts_s", "seq")
+    latest = t.groupBy("mmsi").agg(F.max_by("speed_knots", newest).alias("speed_knots"), F.max_by("course", newest).alias("heading"))
+    vessels = view(spark, sf, "fx_vessels").select("mmsi", F.col("flag_key").cast("string").alias("flag"), "dwt")
+    d = geojson.contact_features(geojson.with_details(contacts(spark, sf), vessels, latest))
+
+    def prop(k: str):
+        return F.get_json_object("feature", f"$.properties.{k}")
+
+    return d.select(
+        "scene_id", "target_id", prop("flag").alias("flag"), F.round(prop("dwt").cast("double"), 2).alias("dwt"),
+        F.round(prop("speed_knots").cast("double"), 2).alias("speed_knots"), prop("heading").cast("double").alias("heading"), prop("imo").alias("imo"),
+    )
+
+
 @R.query(
     "geojson_features",
     f"""WITH {CONTACTS_SQL}, sc AS (SELECT r.scene_id, r.mmsi, count(*) AS n FROM (SELECT scene_id, mmsi FROM sp) r GROUP BY 1, 2)
     SELECT scene_id, 'spill_origin' AS entity_type, NULL AS target_id, '#FF3B30' AS color, 'Reported Oil Spill Origin' AS name, NULL AS waypoints FROM fx_scenes
     UNION ALL SELECT scene_id, 'vessel_contact', target_id, CASE WHEN status = 'MATCHED' THEN '#34C759' ELSE '#FF9500' END, coalesce(vessel_name, 'Dark Vessel (SAR #' || target_id || ')'), NULL FROM contacts
-    UNION ALL SELECT c.scene_id, 'vessel_track', NULL, '#34C759', c.vessel_name, n FROM contacts c JOIN sc ON sc.scene_id = c.scene_id AND sc.mmsi = c.mmsi AND n >= 2""",
+    UNION ALL SELECT c.scene_id, 'vessel_track', NULL, '#34C759', coalesce(c.vessel_name, 'Vessel #' || c.target_id), n FROM contacts c JOIN sc ON sc.scene_id = c.scene_id AND sc.mmsi = c.mmsi AND n >= 2""",
 )
 def _(spark, sf):
     scenes = view(spark, sf, "fx_scenes")
