@@ -42,8 +42,6 @@ LEAST_WORDS = 4
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Words whose symbol a worker remembers before it starts anew.
 REMEMBERED = 100_000
-#: Characters read at a time; the automaton's state is carried across.
-CHUNK = 1 << 20
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
