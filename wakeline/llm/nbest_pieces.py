@@ -11,9 +11,12 @@ behind another character, a text is one unit. ``Encoder`` without ``runs`` leave
 The vocabulary file holds merge ranks, not probabilities; a piece of rank r gets the score of Zipf's law,
 ``-log(r + 2) - log(H)``. Characters without a piece are spelt in byte pieces, so decoding gives back every text.
 
-The work is one pass over whole texts without a shuffle; a worker's memory is its remembered words (bounded) and one
-text. Defined cases: null or empty text has one segmentation without pieces, score 0; a literal U+2581 is spelt in
-bytes; equal scores are ordered by the ids; repeated rows are encoded each; extra columns are ignored.
+The work is one pass over whole texts without a shuffle; a worker's memory is its remembered words (bounded by number
+and by length) and one text. A word without blanks takes time in proportion to its length, whatever it repeats.
+Defined cases: null or empty text has one segmentation without pieces, score 0; a literal U+2581 is spelt in bytes;
+among equal scores within a unit the one with the smaller ids at the last difference seen from its end tends to come
+first (``Pieces.best``), among those that differ in different units the one that differs earlier in the text; either
+way the order depends on the text alone; repeated rows are encoded each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -33,6 +37,9 @@ from wakeline.llm.word_memory import WordMemory
 
 BLANK = "▁"
 N_BEST = 3
+#: Scores are multiples of this: sums are exact for words whose score is above -131,072 (over 10,000 pieces).
+GRAIN = 2.0**-36
+PIECE_IDS = itemgetter(2)
 #: A run of blanks and the word behind it.
 UNIT = re.compile(" +[^ ]*")
 
@@ -49,6 +56,7 @@ class Pieces:
     """The vocabulary: scores, ids and bytes of its pieces; without ``runs`` none with a blank behind its first character.
 
     A word begins with ``BLANK``; behind that its blanks are spaces, and ``BLANK`` is a character without a piece.
+    Scores are multiples of ``GRAIN``, so sums of scores are exact in any order and ties are true ties.
     """
 
     def __init__(self, path: str, runs: bool = False) -> None:
@@ -57,7 +65,11 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.vocab_size()
         spread = math.log(sum(1.0 / (r + 2) for r in range(size)))
-        self.lowest = -math.log(size + 2) - spread
+
+        def score(rank: float) -> float:
+            return round((-math.log(rank + 2) - spread) / GRAIN) * GRAIN
+
+        self.lowest = score(size)
         self.byte_id, self.bytes_of, self.found = [0] * 256, [b""] * size, {}
         for i in range(size):
             piece = model.id_to_piece(i)
@@ -66,87 +78,101 @@ class Pieces:
                 self.byte_id[value] = i
                 self.bytes_of[i] = bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i) or (BLANK in piece[1:] and not runs)):
-                self.found[piece.replace(BLANK, " ")] = (i, -math.log(-model.get_score(i) + 2) - spread if piece != BLANK else -math.log(2) - spread)
+                self.found[piece.replace(BLANK, " ")] = (i, score(-model.get_score(i) if piece != BLANK else 0))
                 self.bytes_of[i] = piece.replace(BLANK, " ").encode()
         self.longest = max(map(len, self.found))
         self.across = any(" " in p.lstrip(" ") for p in self.found)
-        # beginnings of pieces end a search for longer ones
-        self.openings = {p[:n] for p in self.found for n in range(1, len(p) + 1)}
+        # the score of every piece, 0 for what only begins one: a search for longer pieces ends where there is neither
+        self.scores = {p[:n]: 0.0 for p in self.found for n in range(1, len(p) + 1)}
+        self.scores.update((p, s) for p, (_, s) in self.found.items())
+
+    def spelt(self, character: str) -> tuple[int, ...]:
+        return tuple(self.byte_id[b] for b in character.encode("utf-8", "replace"))
+
+    def ending(self, word: str, at: int) -> list[tuple[int, float, tuple[int, ...]]]:
+        """The pieces of a word (with a space in front) that end at a position: start, score, ids."""
+        out = []
+        for i in range(max(0, at - self.longest), at):
+            hit = self.found.get(word[i:at])
+            if hit is not None:
+                out.append((i, hit[1], (hit[0],)))
+        if not out or out[-1][0] != at - 1:
+            ids = self.spelt(word[at - 1])
+            out.append((at - 1, self.lowest * len(ids), ids))
+        return out
 
     def edges(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For every end position the pieces that end there: start, score, ids. The word begins with its blank."""
-        word, n = " " + word[1:], len(word)
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        found, openings = self.found, self.openings
+        word = " " + word[1:]
+        return [[], *(self.ending(word, at) for at in range(1, len(word) + 1))]
+
+    def forward(self, word: str) -> tuple[list[float], list[float], list[int]]:
+        """For every position of a word (with a space in front) the best and the second best score of reaching it, and
+        where the best one's last piece starts."""
+        n, get, longest = len(word), self.scores.get, self.longest
+        first, second, start = [-math.inf] * (n + 1), [-math.inf] * (n + 1), [0] * (n + 1)
+        first[0] = 0.0
         for i in range(n):
-            single = False
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                part = word[i:j]
-                if part not in openings:
+            one, two, j, single = first[i], second[i], i, False
+            end = i + longest if i + longest < n else n
+            while j < end:
+                j += 1
+                s = get(word[i:j])
+                if s is None:
                     break
-                hit = found.get(part)
-                if hit is not None:
-                    into[j].append((i, hit[1], (hit[0],)))
-                    single = single or j == i + 1
+                if s:
+                    total = one + s
+                    if total > first[j]:
+                        second[j] = first[j] if first[j] > two + s else two + s
+                        first[j], start[j] = total, i
+                    elif total > second[j]:
+                        second[j] = total
+                    if j == i + 1:
+                        single = True
             if not single:
-                spelt = tuple(self.byte_id[b] for b in word[i].encode("utf-8", "replace"))
-                into[i + 1].append((i, self.lowest * len(spelt), spelt))
-        return into
+                s, j = self.lowest * len(self.spelt(word[i])), i + 1
+                total = one + s
+                if total > first[j]:
+                    second[j] = first[j] if first[j] > two + s else two + s
+                    first[j], start[j] = total, i
+                elif total > second[j]:
+                    second[j] = total
+        return first, second, start
 
     def viterbi(self, word: str) -> tuple[float, float, tuple[int, ...]]:
         """Best score, second best score (minus infinity if there is none) and best ids of a word with its blank."""
         word = " " + word[1:]
-        n, found, openings, longest = len(word), self.found, self.openings, self.longest
-        first, second = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
-        back: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (n + 1)
-        first[0] = 0.0
-        for i in range(n):
-            one, two, single = first[i], second[i], False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                part = word[i:j]
-                if part not in openings:
-                    break
-                if part in found:
-                    piece, s = found[part]
-                    if one + s > first[j]:
-                        second[j] = max(first[j], two + s)
-                        first[j] = one + s
-                        back[j] = (i, (piece,))
-                    elif one + s > second[j]:
-                        second[j] = one + s
-                    single = single or j == i + 1
-            if not single:
-                spelt = tuple(self.byte_id[b] for b in word[i].encode("utf-8", "replace"))
-                s, j = self.lowest * len(spelt), i + 1
-                if one + s > first[j]:
-                    second[j], first[j], back[j] = max(first[j], two + s), one + s, (i, spelt)
-                elif one + s > second[j]:
-                    second[j] = one + s
-        if second[n] > first[n] - 1e-9:
-            return first[n], second[n], self.best(word, 1)[0][1]  # equal scores are ordered by the ids
-        ids, at = (), n
+        first, second, start = self.forward(word)
+        at = len(word)
+        if second[at] == first[at]:
+            return first[at], second[at], self.best(word, 1)[0][1]  # the search settles ties
+        parts = []
         while at:
-            at, piece = back[at]
-            ids = piece + ids
-        return first[n], second[n], ids
+            hit = self.found.get(word[start[at] : at])
+            parts.append(self.spelt(word[at - 1]) if hit is None else (hit[0],))
+            at = start[at]
+        return first[-1], second[-1], tuple(i for part in reversed(parts) for i in part)
 
     def best(self, word: str, n: int) -> list[Segmentation]:
-        """The ``n`` best segmentations of a word with its blank, best first."""
-        into = self.edges(word)
-        length = len(word)
-        ahead = [0.0] * (length + 1)  # best score from the start to each position
-        for j in range(1, length + 1):
-            ahead[j] = max([ahead[i] + s for i, s, _ in into[j]])
-        # entries: minus the exact total, ids of the suffix, position, score of the suffix
-        frontier: list[tuple[float, tuple, int, float]] = [(-ahead[length], (), length, 0.0)]
+        """The ``n`` best segmentations of a word with its blank, best first.
+
+        Equal totals are taken depth first from the word's end, smaller ids first, so a word of many ties is walked
+        once per segmentation.
+        """
+        word = " " + word[1:]
+        ahead = self.forward(word)[0]  # best score from the start to each position
+        # entries: minus the exact total, when it was added (later first), position, score and ids of the suffix
+        frontier: list[tuple[float, int, int, float, tuple]] = [(-ahead[-1], 0, len(word), 0.0, ())]
         out: list[Segmentation] = []
+        added = 0
         while frontier and len(out) < n:
-            total, ids, at, behind = heapq.heappop(frontier)
+            _, _, at, behind, ids = heapq.heappop(frontier)
             if at == 0:
                 out.append((behind, flat(ids)))
                 continue
-            for i, s, piece in into[at]:
-                heapq.heappush(frontier, (-(ahead[i] + s + behind), (piece, ids), i, s + behind))
+            for i, s, piece in sorted(self.ending(word, at), key=PIECE_IDS, reverse=True):
+                added -= 1
+                heapq.heappush(frontier, (-(ahead[i] + s + behind), added, i, s + behind, (piece, ids)))
             if len(frontier) > 4 * n:
                 frontier = heapq.nsmallest(n - len(out), frontier)
         return out

@@ -6,8 +6,10 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: Words remembered; about 200 bytes each.
+#: Words remembered; about 200 bytes each, beside what ``HELD`` allows.
 CAPACITY = 300_000
+#: Ids remembered: words of any length share this room.
+HELD = 1 << 23
 
 
 def gathered(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -37,6 +39,7 @@ class WordMemory:
         """Keep up to half the words, those used more than once and most often."""
         uses, n = self.uses[: len(self.known)], len(self.known)
         often = np.argsort(-uses, kind="stable")[: self.capacity // 2]
+        often = often[np.cumsum(self.length[often]) <= HELD // 2]
         keep = np.sort(often[uses[often] > 1])
         begin, length, uses, facts = self.begin[keep], self.length[keep], self.uses[keep], self.facts[:, keep]
         words = list(self.known)
@@ -51,7 +54,7 @@ class WordMemory:
     def rest(self, words: int = 50_000) -> None:
         """Between tasks keep only the words used most: the worker may serve other stages meanwhile."""
         full, self.capacity = self.capacity, 2 * words
-        if len(self.known) > words:
+        if len(self.known) > words or self.used > HELD // 2:
             self._forget(0)
         self.capacity = full
 
@@ -59,20 +62,23 @@ class WordMemory:
         """The words by number, good until the next call."""
         known = self.known
         new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > len(self.begin):
+        if len(known) + len(new) > len(self.begin) or self.used > HELD:
             self._forget(len(set(words)))
             known = self.known
             new = [w for w in set(words) if w not in known]
         if new:
-            for word, (ids, *facts) in zip(new, self.learn(new)):
-                k, size = len(known), len(ids)
-                while self.used + size > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), 1 << 16), np.uint32)])
-                self.flat[self.used : self.used + size] = ids
-                self.begin[k], self.length[k], known[word] = self.used, size, k
-                if facts:
-                    self.facts[:, k] = facts
-                self.used += size
+            learnt = list(self.learn(new))
+            k = len(known)
+            size = np.fromiter((len(ids) for ids, *_ in learnt), np.int64, len(new))
+            end = self.used + np.cumsum(size)
+            while end[-1] > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), 1 << 16), np.uint32)])
+            self.flat[self.used : end[-1]] = np.fromiter((i for ids, *_ in learnt for i in ids), np.uint32, int(size.sum()))
+            self.begin[k : k + len(new)], self.length[k : k + len(new)] = end - size, size
+            if self.n_facts:
+                self.facts[:, k : k + len(new)] = np.array([facts for _, *facts in learnt]).T
+            known.update(zip(new, range(k, k + len(new))))
+            self.used = int(end[-1])
         number = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         np.add.at(self.uses, number, 1)
         return number
