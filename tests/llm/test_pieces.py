@@ -248,3 +248,38 @@ def test_pipeline_stages(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+# ---- segmentation of long and mixed words
+
+@given(st.lists(st.sampled_from(["at", "ing", "(", ");", "²", "².", "7", " ", "  ", "\n", "é", "日", "▁", "_", "://"]), max_size=6).map("".join))
+@settings(max_examples=80, deadline=None)
+def test_units_lose_no_segmentation(unit_encoder, text):
+    """Cutting between letters and other signs gives the scores of the uncut lattice, bytes for characters without a piece."""
+    _, _, ranked, right = unit_encoder.encode(text)
+    want = sorted((s for s, _ in every_segmentation(unit_encoder.pieces, "▁" + text)), reverse=True)[:4] if text else [0.0]
+    assert right and [s for s, _ in ranked] == want
+
+
+@pytest.fixture(scope="module")
+def unit_encoder():
+    return nbest_pieces.Encoder(nbest_pieces.default_vocabulary(), 4, runs=True)
+
+
+@pytest.mark.parametrize("text", ["a" * 100_000, "=" * 100_000, "ab" * 50_000, "日本語の文章" * 5_000, "a1" * 20_000])
+def test_long_words_without_blanks(unit_encoder, text):
+    ids, _, ranked, right = unit_encoder.encode(text)
+    assert right and unit_encoder.pieces.decode(ids.tolist()) == text
+    assert [s for s, _ in ranked] == sorted((s for s, _ in ranked), reverse=True) and unit_encoder.encode(text)[2] == ranked
+
+
+def test_memory_is_bounded_by_length(monkeypatch):
+    from wakeline.llm import word_memory
+
+    monkeypatch.setattr(word_memory, "HELD", 1000)
+    memory = WordMemory(lambda words: ((list(map(ord, w)),) for w in words), 0, capacity=100)
+    for k in range(60):
+        number = memory.numbers(["x" * (200 + k), "short", "short"])
+        ids, length = memory.ids(number)
+        assert length.tolist() == [200 + k, 5, 5] and len(ids) == 210 + k
+        assert memory.used <= 1000 + 300

@@ -3,10 +3,10 @@
 Method. A text's pieces form a lattice. A forward Viterbi pass gives every position the best score of reaching it; this
 is the exact cost still to go for a search from the end, so a backward A-star search finds the best segmentations one
 after the other without a detour. As every entry's estimate is exact and entries stand for different segmentations,
-only the N best entries need be kept. Pieces of several blanks stand in runs of blanks only, so the lattice falls into units,
-each a run of blanks and the word behind it: each unit is searched once and remembered, and the N best segmentations of
-a text are the N best sums over its units, found by the same kind of search. If the vocabulary has a piece with a blank
-behind another character, a text is one unit. ``Encoder`` without ``runs`` leaves pieces with inner blanks out.
+only the N best entries need be kept. The lattice falls into units that no piece crosses, as the vocabulary tells: a run of blanks
+with letters or with other signs behind it (``Pieces.separable``). Each unit is searched once and remembered, and the N
+best segmentations of a text are the N best sums over its units, found by the same kind of search. ``Encoder`` without
+``runs`` leaves pieces with inner blanks out and takes words between single blanks as units.
 
 The vocabulary file holds merge ranks, not probabilities; a piece of rank r gets the score of Zipf's law,
 ``-log(r + 2) - log(H)``. Characters without a piece are spelt in byte pieces, so decoding gives back every text.
@@ -41,7 +41,7 @@ N_BEST = 3
 GRAIN = 2.0**-36
 PIECE_IDS = itemgetter(2)
 #: A run of blanks and the word behind it.
-UNIT = re.compile(" +[^ ]*")
+UNIT = " +[^ ]*"
 
 Segmentation = tuple[float, tuple[int, ...]]
 
@@ -81,11 +81,28 @@ class Pieces:
                 self.found[piece.replace(BLANK, " ")] = (i, score(-model.get_score(i) if piece != BLANK else 0))
                 self.bytes_of[i] = piece.replace(BLANK, " ").encode()
         self.longest = max(map(len, self.found))
-        self.across = any(" " in p.lstrip(" ") for p in self.found)
+        self.unit = self.separable()
         # the score of every piece, 0 for what only begins one: a search for longer pieces ends where there is neither
         self.scores = {p[:n]: 0.0 for p in self.found for n in range(1, len(p) + 1)}
         self.scores.update((p, s) for p, (_, s) in self.found.items())
 
+    def separable(self) -> str:
+        """Pattern of the parts of a text that no piece crosses.
+
+        A part is a run of blanks with letters or with other signs behind it. Characters of pieces that mix the two
+        count as other signs; if that is not enough to part them, a part is a run of blanks with the word behind it,
+        and if pieces hold blanks behind other characters, the whole text.
+        """
+        behind = [p.lstrip(" ") for p in self.found]
+        if any(" " in p for p in behind):
+            return "(?s:.+)"
+        mixed = re.compile(r"[^\W\d_][\W\d_]|[\W\d_][^\W\d_]")
+        moved = "".join(sorted({re.escape(c) for p in behind if mixed.search(p) for c in p}))
+        letter = re.compile(rf"[^\W\d_{moved}]")
+        if any(0 < len(letter.findall(p)) < len(p) for p in behind):
+            return UNIT
+        return rf" *{letter.pattern}+| *(?:(?! )[\W\d_{moved}])+| +"
+
     def spelt(self, character: str) -> tuple[int, ...]:
         return tuple(self.byte_id[b] for b in character.encode("utf-8", "replace"))
 
@@ -141,11 +158,14 @@ class Pieces:
 
     def viterbi(self, word: str) -> tuple[float, float, tuple[int, ...]]:
         """Best score, second best score (minus infinity if there is none) and best ids of a word with its blank."""
-        word = " " + word[1:]
+        return self.unit_viterbi(" " + word[1:])
+
+    def unit_viterbi(self, word: str) -> tuple[float, float, tuple[int, ...]]:
+        """``viterbi`` for a part of a text as it stands."""
         first, second, start = self.forward(word)
         at = len(word)
         if second[at] == first[at]:
-            return first[at], second[at], self.best(word, 1)[0][1]  # the search settles ties
+            return first[at], second[at], self.unit_best(word, 1)[0][1]  # the search settles ties
         parts = []
         while at:
             hit = self.found.get(word[start[at] : at])
@@ -154,12 +174,15 @@ class Pieces:
         return first[-1], second[-1], tuple(i for part in reversed(parts) for i in part)
 
     def best(self, word: str, n: int) -> list[Segmentation]:
-        """The ``n`` best segmentations of a word with its blank, best first.
+        """The ``n`` best segmentations of a word with its blank, best first."""
+        return self.unit_best(" " + word[1:], n)
+
+    def unit_best(self, word: str, n: int) -> list[Segmentation]:
+        """``best`` for a part of a text as it stands.
 
         Equal totals are taken depth first from the word's end, smaller ids first, so a word of many ties is walked
         once per segmentation.
         """
-        word = " " + word[1:]
         ahead = self.forward(word)[0]  # best score from the start to each position
         # entries: minus the exact total, when it was added (later first), position, score and ids of the suffix
         frontier: list[tuple[float, int, int, float, tuple]] = [(-ahead[-1], 0, len(word), 0.0, ())]
@@ -179,7 +202,10 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of a segmentation; its leading blank is not part of it."""
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        return self.spelling(ids)[1:]
+
+    def spelling(self, ids) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def flat(ids: tuple) -> tuple[int, ...]:
@@ -195,19 +221,18 @@ class Encoder:
     """Whole texts by remembered words: best ids, best score, cost of the second choice, does decoding give it back."""
 
     def __init__(self, path: str, n: int, runs: bool = False) -> None:
-        self.pieces, self.n, self.runs = Pieces(path, runs), n, runs
+        self.pieces, self.n = Pieces(path, runs), n
+        self.unit = re.compile(self.pieces.unit if runs else " [^ ]*")
         self.memory = WordMemory(self.learn, 3)
 
     def units(self, text: str) -> list[str]:
-        """The parts of a text that no piece crosses, each without the blank it begins with."""
-        if not self.runs:
-            return text.split(" ")
-        return [text] if self.pieces.across else [unit[1:] for unit in UNIT.findall(" " + text)]
+        """The parts of a text, with a blank in front, that no piece crosses."""
+        return self.unit.findall(" " + text)
 
     def learn(self, words: list[str]) -> Iterator[tuple]:
         for word in words:
-            score, second, ids = self.pieces.viterbi(BLANK + word)
-            yield ids, score, score - second, self.pieces.decode(ids) == word
+            score, second, ids = self.pieces.unit_viterbi(word)
+            yield ids, score, score - second, self.pieces.spelling(ids) == word
 
     def ranked(self, words: list[str], number: np.ndarray) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
         """The N best totals, each with the places whose word takes another than its best choice, and its ids."""
@@ -216,7 +241,7 @@ class Encoder:
         near = np.argpartition(step, self.n - 2)[: self.n - 1] if 1 < self.n <= len(step) else np.arange(len(step))
         # only the words whose second choice costs least can differ in the N best
         second = sorted((step[k], int(k)) for k in near if np.isfinite(step[k]))
-        choices = {k: self.pieces.best(BLANK + words[k], self.n) for _, k in second}
+        choices = {k: self.pieces.unit_best(words[k], self.n) for _, k in second}
         best = float(score[number].sum())
         open_: list[tuple[float, tuple, int]] = [(0.0, (), 0)]  # cost, (place, choice) pairs, first word still to change
         out: list[tuple[float, dict[int, tuple[int, ...]]]] = []
@@ -241,7 +266,7 @@ class Encoder:
         number = self.memory.numbers(words)
         ranked = self.ranked(words, number)
         right = bool(self.memory.facts[2, number].all()) and all(
-            self.pieces.decode(ids) == words[k] for _, changed in ranked for k, ids in changed.items()
+            self.pieces.spelling(ids) == words[k] for _, changed in ranked for k, ids in changed.items()
         )
         ids, length = self.memory.ids(number)
         return ids, length, ranked, right
