@@ -27,8 +27,9 @@ def brute_license(text):
     base = sorted(k for k, s in starts.items() if s)
     every = sorted(itertools.chain.from_iterable(starts.values()))
     found, best = set(base), 0.0
-    for line in low.split("\n"):
-        own = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
+    lines = low.split("\n")
+    for k in range(len(lines)):
+        own = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "\n".join(lines[k : k + license_scan.LINES])))
         for label, template in license_scan.template_words(license_scan.TEMPLATES).items():
             both = len(own & set(template))
             if both >= license_scan.needed(len(template), license_scan.THRESHOLD):
@@ -50,6 +51,15 @@ def test_license_scan(spark):
     assert sorted(map(tuple, got), key=repr) == want
 
 
+def test_wrapped_notice_and_many_lines(spark):
+    bsd = "// Redistribution and use in source and binary forms, with or without\n// modification, are permitted"
+    grant = "Permission is\nhereby granted, free of charge, to any person\nobtaining a copy of this software"
+    prose = "the word is a part of this and in the text to the public\n"
+    rows = [(1, "int x;\n" + bsd), (2, grant), (3, bsd.replace("\n", "\n\n\n")), (4, prose * 20_000 + bsd + "\n" + prose * 20_000)]
+    got = {r.doc_id: r.labels for r in license_scan.license_scan(frame(spark, rows)).collect()}
+    assert got == {1: "bsd", 2: "mit-grant", 3: "", 4: "bsd"}
+
+
 def test_license_scan_of_nothing(spark):
     assert license_scan.license_scan(frame(spark, [])).count() == 0
 
