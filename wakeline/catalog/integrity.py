@@ -65,6 +65,30 @@ def _(spark, sf):
     return op.verify_chain(c.withColumn("payload_json", changed))
 
 
+SEGMENT_SQL = f"""{CHAIN_SQL},
+sg AS (SELECT id, entity_id, js, occurred_s // 86400 AS segment, row_number() OVER (PARTITION BY entity_id, occurred_s // 86400 ORDER BY occurred_s, id) AS k FROM ev),
+sc AS (SELECT id, entity_id, segment, k, CAST(NULL AS VARCHAR) AS prev, sha256(js) AS h FROM sg WHERE k = 1
+  UNION ALL SELECT g.id, g.entity_id, g.segment, g.k, c.h, sha256(c.h || g.js) FROM sc c JOIN sg g ON g.entity_id = c.entity_id AND g.segment = c.segment AND g.k = c.k + 1)"""
+
+
+@R.query("segmented_chain", f"WITH RECURSIVE {SEGMENT_SQL} SELECT id, entity_id, segment, prev AS hash_chain_previous, h AS event_hash FROM sc")
+def _(spark, sf):
+    return op.segmented_chain(_events(spark, sf)).select("id", "entity_id", "segment", "hash_chain_previous", "event_hash")
+
+
+@R.query(
+    "segment_links",
+    f"""WITH RECURSIVE {SEGMENT_SQL},
+    rt AS (SELECT entity_id, segment, count(*) AS n_events, max_by(h, k) AS root FROM sc GROUP BY 1, 2),
+    nm AS (SELECT *, segment || ':' || n_events || ':' || root AS body, row_number() OVER (PARTITION BY entity_id ORDER BY segment) AS m FROM rt),
+    ln AS (SELECT entity_id, segment, n_events, root, m, CAST(NULL AS VARCHAR) AS previous_link, sha256(body) AS link FROM nm WHERE m = 1
+      UNION ALL SELECT n.entity_id, n.segment, n.n_events, n.root, n.m, l.link, sha256(l.link || n.body) FROM ln l JOIN nm n ON n.entity_id = l.entity_id AND n.m = l.m + 1)
+    SELECT entity_id, segment, n_events, root, previous_link, link FROM ln""",
+)
+def _(spark, sf):
+    return op.segment_links(op.segmented_chain(_events(spark, sf))).drop("entity_type")
+
+
 @R.query("audit_history", "SELECT id, occurred_s, action FROM fx_audit WHERE entity_id = '7' ORDER BY occurred_s DESC")
 def _(spark, sf):
     return op.audit_history(view(spark, sf, "fx_audit"), "vessel", "7").select("id", "occurred_s", "action")

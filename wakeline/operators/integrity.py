@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.operators.sequences import neighbours
@@ -130,6 +130,98 @@ def verify_chain(chained: DataFrame) -> DataFrame:
     )
 
 
+#: Seconds of a segment of a segmented chain.
+SEGMENT_S = 86400
+_ENTITY = ["entity_type", "entity_id"]
+_SEGMENT = [*_ENTITY, "segment"]
+
+
+def _hashed_along(rows: DataFrame, keys: list[str], order: list[str], text: str, previous: str, out: str) -> DataFrame:
+    """``out`` = sha256(``out`` of the row before, ``text``) along the rows of each key, streamed through sorted partitions."""
+    from pyspark.sql.types import StringType, StructType
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+
+        last, before = None, None
+        for pdf in batches:
+            befores, hashes = [], []
+            for key, value in zip(zip(*(pdf[k] for k in keys)), pdf[text]):
+                if key != last:
+                    last, before = key, None
+                befores.append(before)
+                before = hashlib.sha256(((before or "") + value).encode()).hexdigest()
+                hashes.append(before)
+            yield pdf.assign(**{previous: befores, out: hashes})
+
+    schema = StructType(rows.schema.fields.copy()).add(previous, StringType()).add(out, StringType())
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(chain, schema)
+
+
+def segmented_chain(events: DataFrame, segment_s: int = SEGMENT_S) -> DataFrame:
+    """Events chained within (entity, stretch of time), so that one busy entity spreads over its stretches.
+
+    Columns as in ``hash_chain`` and ``segment``, the number of the stretch. The first event of a segment has no
+    predecessor; ``segment_links`` ties the segments of an entity together. Entity and payload must not be null.
+    """
+    cols = ["id", *_ENTITY, "occurred_s", "payload_json"]
+    rows = events.select(*cols, F.floor(F.col("occurred_s") / segment_s).cast("long").alias("segment"))
+    return _hashed_along(rows, _SEGMENT, ["occurred_s", "id"], "payload_json", "hash_chain_previous", "event_hash")
+
+
+def _roots(chained: DataFrame) -> DataFrame:
+    """Number of events and last hash of every segment."""
+    last = F.max(F.struct("occurred_s", "id", "event_hash"))["event_hash"]
+    return chained.groupBy(*_SEGMENT).agg(F.count(F.lit(1)).alias("n_events"), last.alias("root"))
+
+
+def _link_text() -> Column:
+    return F.concat_ws(":", F.col("segment").cast("string"), F.col("n_events").cast("string"), "root")
+
+
+def segment_links(chained: DataFrame) -> DataFrame:
+    """One row per segment: events, last hash, and ``link`` = sha256(link before, segment:events:last hash).
+
+    The only sequential pass: an entity has one row per stretch of time in which it had events, however many those are.
+    """
+    rows = _roots(chained).withColumn("_text", _link_text())
+    return _hashed_along(rows, _ENTITY, ["segment"], "_text", "previous_link", "link").drop("_text")
+
+
+def verify_segments(chained: DataFrame, links: DataFrame) -> DataFrame:
+    """What is wrong with a segmented chain: (entity, segment, id, problem), id only for single events.
+
+    Events: ``broken_link`` (wrong predecessor) and ``bad_hash``. Segments: ``missing_segment`` (linked, but without
+    events), ``unlinked_segment`` (events without a link), ``bad_root`` (other events or last hash than linked),
+    ``broken_segment_link`` (the link before is another: a segment's link was removed or added), ``bad_link``. Every
+    event and every link is looked at on its own. Removing an entity's last segment together with its link is not seen
+    here: keep the newest link elsewhere.
+    """
+    keyed = chained.withColumn("_pos", F.struct("occurred_s", "id"))
+    day = F.floor(F.col("occurred_s") / 86400).cast("long")
+    t = neighbours(keyed, _SEGMENT, "_pos", ["event_hash"], bucket=day)
+    wrong = ~F.col("hash_chain_previous").eqNullSafe(F.col("prev.event_hash"))
+    forged = ~F.col("event_hash").eqNullSafe(F.sha2(F.concat(F.coalesce("hash_chain_previous", F.lit("")), "payload_json"), 256))
+    events = t.filter(wrong | forged).select(*_SEGMENT, "id", F.when(wrong, "broken_link").otherwise("bad_hash").alias("problem"))
+
+    before = F.lag("link").over(Window.partitionBy(*_ENTITY).orderBy("segment"))
+    expected = F.sha2(F.concat(F.coalesce("previous_link", F.lit("")), _link_text()), 256)
+    own = links.withColumn("_before", before).withColumn("_expected", expected).withColumn("_linked", F.lit(True))
+    found = _roots(chained).select(*_SEGMENT, F.col("n_events").alias("_n"), F.col("root").alias("_root"))
+    both = own.join(found, _SEGMENT, "full_outer")
+    problems = F.array_compact(
+        F.array(
+            F.when(F.col("_n").isNull(), "missing_segment"),
+            F.when(F.col("_linked").isNull(), "unlinked_segment"),
+            F.when((F.col("_n") != F.col("n_events")) | (F.col("_root") != F.col("root")), "bad_root"),
+            F.when(F.col("_linked") & ~F.col("previous_link").eqNullSafe(F.col("_before")), "broken_segment_link"),
+            F.when(F.col("_linked") & ~F.col("link").eqNullSafe(F.col("_expected")), "bad_link"),
+        )
+    )
+    segments = both.select(*_SEGMENT, F.lit(None).cast("long").alias("id"), F.explode(problems).alias("problem"))
+    return events.unionByName(segments)
+
+
 def audit_history(log: DataFrame, entity_type: str, entity_id: str) -> DataFrame:
     return log.filter((F.col("entity_type") == entity_type) & (F.col("entity_id") == entity_id)).orderBy(F.desc("occurred_s"), F.desc("id"))
 
