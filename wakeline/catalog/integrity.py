@@ -89,6 +89,22 @@ def _(spark, sf):
     return op.segment_links(op.segmented_chain(_events(spark, sf))).drop("entity_type")
 
 
+@R.query(
+    "verify_segments",
+    """WITH sg AS (SELECT DISTINCT entity_id, occurred_s // 86400 AS segment FROM fx_audit),
+    nb AS (SELECT *, lag(segment) OVER (PARTITION BY entity_id ORDER BY segment) AS p FROM sg)
+    SELECT entity_id, occurred_s // 86400 AS segment, id, 'bad_hash' AS problem FROM fx_audit WHERE id % 97 = 5
+    UNION ALL SELECT entity_id, segment, NULL, 'unlinked_segment' FROM nb WHERE segment % 7 = 3
+    UNION ALL SELECT entity_id, segment, NULL, 'broken_segment_link' FROM nb WHERE segment % 7 <> 3 AND p % 7 = 3""",
+)
+def _(spark, sf):
+    # every 97th payload is altered and every 7th day's links are lost after the chain was written
+    c = op.segmented_chain(_events(spark, sf))
+    changed = F.when(F.col("id") % 97 == 5, F.concat("payload_json", F.lit(" "))).otherwise(F.col("payload_json"))
+    links = op.segment_links(c).filter("segment % 7 <> 3")
+    return op.verify_segments(c.withColumn("payload_json", changed), links).select("entity_id", "segment", "id", "problem")
+
+
 @R.query("audit_history", "SELECT id, occurred_s, action FROM fx_audit WHERE entity_id = '7' ORDER BY occurred_s DESC")
 def _(spark, sf):
     return op.audit_history(view(spark, sf, "fx_audit"), "vessel", "7").select("id", "occurred_s", "action")
