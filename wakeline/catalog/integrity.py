@@ -66,14 +66,14 @@ def _(spark, sf):
 
 
 SEGMENT_SQL = f"""{CHAIN_SQL},
-sg AS (SELECT id, entity_id, js, occurred_s // 86400 AS segment, row_number() OVER (PARTITION BY entity_id, occurred_s // 86400 ORDER BY occurred_s, id) AS k FROM ev),
+sg AS (SELECT id, entity_id, js, occurred_s // 3600 AS segment, row_number() OVER (PARTITION BY entity_id, occurred_s // 3600 ORDER BY occurred_s, id) AS k FROM ev),
 sc AS (SELECT id, entity_id, segment, k, CAST(NULL AS VARCHAR) AS prev, sha256(js) AS h FROM sg WHERE k = 1
   UNION ALL SELECT g.id, g.entity_id, g.segment, g.k, c.h, sha256(c.h || g.js) FROM sc c JOIN sg g ON g.entity_id = c.entity_id AND g.segment = c.segment AND g.k = c.k + 1)"""
 
 
 @R.query("segmented_chain", f"WITH RECURSIVE {SEGMENT_SQL} SELECT id, entity_id, segment, prev AS hash_chain_previous, h AS event_hash FROM sc")
 def _(spark, sf):
-    return op.segmented_chain(_events(spark, sf)).select("id", "entity_id", "segment", "hash_chain_previous", "event_hash")
+    return op.segmented_chain(_events(spark, sf), 3600).select("id", "entity_id", "segment", "hash_chain_previous", "event_hash")
 
 
 @R.query(
@@ -86,20 +86,20 @@ def _(spark, sf):
     SELECT entity_id, segment, n_events, root, previous_link, link FROM ln""",
 )
 def _(spark, sf):
-    return op.segment_links(op.segmented_chain(_events(spark, sf))).drop("entity_type")
+    return op.segment_links(op.segmented_chain(_events(spark, sf), 3600)).drop("entity_type")
 
 
 @R.query(
     "verify_segments",
-    """WITH sg AS (SELECT DISTINCT entity_id, occurred_s // 86400 AS segment FROM fx_audit),
+    """WITH sg AS (SELECT DISTINCT entity_id, occurred_s // 3600 AS segment FROM fx_audit),
     nb AS (SELECT *, lag(segment) OVER (PARTITION BY entity_id ORDER BY segment) AS p FROM sg)
-    SELECT entity_id, occurred_s // 86400 AS segment, id, 'bad_hash' AS problem FROM fx_audit WHERE id % 97 = 5
+    SELECT entity_id, occurred_s // 3600 AS segment, id, 'bad_hash' AS problem FROM fx_audit WHERE id % 97 = 5
     UNION ALL SELECT entity_id, segment, NULL, 'unlinked_segment' FROM nb WHERE segment % 7 = 3
     UNION ALL SELECT entity_id, segment, NULL, 'broken_segment_link' FROM nb WHERE segment % 7 <> 3 AND p % 7 = 3""",
 )
 def _(spark, sf):
-    # every 97th payload is altered and every 7th day's links are lost after the chain was written
-    c = op.segmented_chain(_events(spark, sf))
+    # every 97th payload is altered and the links of every 7th hour are lost after the chain was written
+    c = op.segmented_chain(_events(spark, sf), 3600)
     changed = F.when(F.col("id") % 97 == 5, F.concat("payload_json", F.lit(" "))).otherwise(F.col("payload_json"))
     links = op.segment_links(c).filter("segment % 7 <> 3")
     return op.verify_segments(c.withColumn("payload_json", changed), links).select("entity_id", "segment", "id", "problem")
