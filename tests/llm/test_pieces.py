@@ -56,6 +56,14 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+@given(st.lists(st.text("aB'stremvld 09-_.\"<|>é×ÀßŸµ÷Ø\u0301İ中\t\x1c\n", max_size=40) | st.sampled_from(["<|endoftext|>x", "it's 12'll", "'re--'s"]), max_size=20))
+@settings(max_examples=150, deadline=None)
+def test_ids_of_words_equal_those_of_the_whole_text(texts):
+    tok = packing.worker_tokenizer(packing.default_vocabulary())
+    for text, ids in zip(texts, tok.encode(texts)):
+        assert ids.tolist() == [*tok.tokenizer.encode(text, add_special_tokens=False).ids, packing.END_MARK]
+
+
 def test_word_memory_forgets_without_changing_results():
     memory = WordMemory(lambda words: ((list(map(ord, w)), float(len(w))) for w in words), 1, capacity=20)
     rng = random.Random(1)

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -41,20 +42,64 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: How the vocabulary splits a lower-cased word of these characters before it looks for pieces.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: The opening of the vocabulary's marks, which stand above that splitting.
+MARK = "<|"
+#: Fixed value: pieces that end a part.
+PART_END = "</w>"
+
+
 class WordTokenizer:
-    """Ids of whole texts from remembered ids of their words; exact, as the vocabulary splits at white space first."""
+    """Ids of whole texts from remembered ids of their words; exact, as the vocabulary splits at white space first.
+
+    New words of plain characters are split into the vocabulary's own parts, and the parts of many words go through its
+    pieces as one text; the ids of a word end where its last part does. Other new words go through the whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.of_parts = Tokenizer(self.tokenizer.model)
+        bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.of_parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytes_of])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for piece, k in vocabulary.items() if piece.endswith(PART_END)]] = True
         self.memory = WordMemory(self.learn)
 
     def learn(self, words: list[str]) -> Iterator[tuple[list[int]]]:
         for i in range(0, len(words), 4096):
-            for found in self.tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False):
-                yield (found.ids,)
+            yield from self._learn(words[i : i + 4096])
+
+    def _learn(self, words: list[str]) -> list[tuple[list[int]]]:
+        out: list = [None] * len(words)
+        parts, upto, plain, other = [], [], [], []
+        for k, word in enumerate(words):
+            if word.isascii() and word.isalpha():
+                parts.append(word.lower())
+            elif PLAIN.fullmatch(word) and MARK not in word:
+                parts += PARTS.findall(word.lower())
+            else:
+                other.append(k)
+                continue
+            plain.append(k)
+            upto.append(len(parts))
+        if parts:
+            ids = self.of_parts.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids
+            end = np.flatnonzero(self.ends[ids])[np.array(upto) - 1] + 1
+            start = 0
+            for k, stop in zip(plain, end.tolist()):
+                out[k] = (ids[start:stop],)
+                start = stop
+        if other:
+            found = self.tokenizer.encode_batch_fast([words[k] for k in other], add_special_tokens=False)
+            for k, one in zip(other, found):
+                out[k] = (one.ids,)
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, end mark included."""
@@ -141,14 +186,14 @@ def pack(docs: DataFrame, vocabulary: str | None = None, context: int = CONTEXT,
     """One row per piece: its document, place there, and its sequence and offset in the packed corpus."""
     cut = cut_lineage(pieces(docs, vocabulary, context, with_ids))
     spark = docs.sparkSession
-    bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(4 * shuffle_partitions(spark))))
+    bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(4 * shuffle_partitions(spark))))
     counts = cut_lineage(bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     kind = "length long, first long, count long, sequence long, offset long"
     placed = spark.createDataFrame(slots(histogram, context), kind)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start")
+    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
     ranked = bucketed.withColumn("at", F.row_number().over(inside) - 1).join(starts, ["length", "bucket"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("at")).drop("before", "at", "bucket")
     here = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("count"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -58,28 +59,32 @@ class WordMemory:
             self._forget(0)
         self.capacity = full
 
+    def _found(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """The words by number, -1 where unknown; the places of these, and each of them once."""
+        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(number < 0)
+        return number, missing, list(dict.fromkeys([words[i] for i in missing.tolist()]))
+
     def numbers(self, words: list[str]) -> np.ndarray:
         """The words by number, good until the next call."""
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > len(self.begin) or self.used > HELD:
+        number, missing, new = self._found(words)
+        if new and (len(self.known) + len(new) > len(self.begin) or self.used > HELD):
             self._forget(len(set(words)))
-            known = self.known
-            new = [w for w in set(words) if w not in known]
+            number, missing, new = self._found(words)
         if new:
-            learnt = list(self.learn(new))
+            known, learnt = self.known, list(self.learn(new))
             k = len(known)
             size = np.fromiter((len(ids) for ids, *_ in learnt), np.int64, len(new))
             end = self.used + np.cumsum(size)
             while end[-1] > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), 1 << 16), np.uint32)])
-            self.flat[self.used : end[-1]] = np.fromiter((i for ids, *_ in learnt for i in ids), np.uint32, int(size.sum()))
+            self.flat[self.used : end[-1]] = np.fromiter(chain.from_iterable([ids for ids, *_ in learnt]), np.uint32, int(size.sum()))
             self.begin[k : k + len(new)], self.length[k : k + len(new)] = end - size, size
             if self.n_facts:
                 self.facts[:, k : k + len(new)] = np.array([facts for _, *facts in learnt]).T
             known.update(zip(new, range(k, k + len(new))))
             self.used = int(end[-1])
-        number = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            number[missing] = [known[words[i]] for i in missing.tolist()]
         np.add.at(self.uses, number, 1)
         return number
 
