@@ -4,8 +4,10 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from wakeline.llm import imatch, license_scan, minhash_dedup, suffix_dedup
 
@@ -232,6 +234,55 @@ def test_imatch_edits(spark):
     assert sum(got[i].near_edited > got[i].near_next for i in longer) > 0.9 * len(longer)
 
 
+@pytest.mark.parametrize("broadcast_rows", [imatch.BROADCAST_ROWS, 0])
+def test_imatch_likeness_against_brute_force(spark, monkeypatch, broadcast_rows):
+    """Subsets agree where the sets of lexicon terms in them are equal; texts without such terms compare as a whole."""
+    monkeypatch.setattr(imatch, "BROADCAST_ROWS", broadcast_rows)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([1, 8, 60, 200]))) for _ in range(80)]
+    texts += [texts[0], "only here", "only here", "!!", "", None]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    least, most = 0.03, 0.3
+    sets = {i: set(re.findall("[a-z0-9]+", t or "")) for i, t in rows}
+    seen = Counter(w for s in sets.values() for w in s)
+    band = {w for w, n in seen.items() if max(2, least * len(rows)) <= n <= most * len(rows)}
+    named = spark.createDataFrame([(w,) for w in sorted(seen)], "w string")
+    subsets = {r.w: r.s for r in named.select("w", imatch.subsets_of(F.xxhash64("w")).alias("s")).collect()}
+
+    def prints(words):
+        out = {}
+        for w in words & band:
+            for j in subsets[w]:
+                out.setdefault(j, set()).add(w)
+        return out or {"whole": words}
+
+    def like(a, b):
+        a, b = prints(a), prints(b)
+        return sum(a[j] == b.get(j) for j in a) / len(a.keys() | b.keys())
+
+    got = {r.doc_id: r for r in imatch.imatch(frame(spark, rows), least, most).collect()}
+    order = sorted(rows, reverse=True, key=lambda r: r[0])
+    for k, (i, text) in enumerate(order):
+        text, (j, after) = text or "", order[(k + 1) % len(order)]
+        half = len(text) // 2
+        edited = set(re.findall("[a-z0-9]+", text[: len(text) - half] + (after or "")[:half]))
+        # words cut by the edit are in no lexicon of the corpus unless they stand there too
+        assert got[i].near_edited == pytest.approx(like(sets[i], edited)), i
+        assert got[i].near_next == pytest.approx(like(sets[i], sets[j])), i
+    assert got[0].fingerprint == got[80].fingerprint and got[81].fingerprint == got[82].fingerprint
+
+
+@pytest.mark.parametrize("borders", [1, 2, 3, 50])
+def test_ranges_of_places(spark, borders):
+    places = [(False, k, h) for k in range(10) for h in (-5, 0, 2**62)] + [(True, 0, h) for h in range(30)]
+    firsts = places[:: max(1, len(places) // borders)]
+    rows = spark.createDataFrame([(p,) for p in places], "at struct<none:boolean,down:bigint,th:bigint>")
+    for r in imatch.range_of(rows, firsts).collect():
+        assert r.range == sum(f <= tuple(r["at"]) for f in firsts) - 1
+
+
 def test_imatch_small_tables(spark):
     assert imatch.imatch(frame(spark, [])).count() == 0
     one = imatch.imatch(frame(spark, [(None, "a b c d")])).collect()

@@ -7,12 +7,13 @@ meet subsets that hold one or two of their terms. A document's distinct terms in
 terms are combined by sum and exclusive or, which gives the value of the sorted list without sorting it. Likeness is
 the share of the subsets non-empty on either side whose values agree.
 
-Only DataFrame functions are used. The lexicon is broadcast; its size is bounded whatever the corpus: a term in at
-least ``LEAST_SHARE`` of the documents takes that share of them, so there are at most (distinct terms of a mean
-document) / ``LEAST_SHARE`` terms. Texts are moved once: into ranges of the id order, four ranges per shuffle partition,
-whose borders alone come to the driver. Inside a range the next document is the next row; the last row of a range
-meets the first of the following one in a join of one row per range. A text's own and edited words pass through the
-lexicon together and are gathered in the same stage, for the ranges already hold each document in one place.
+Only DataFrame functions are used. The lexicon is made once. A term in at least ``LEAST_SHARE`` of the documents takes
+that share of them, so there are at most (distinct terms of a mean document) / ``LEAST_SHARE`` terms; it is broadcast up
+to ``BROADCAST_ROWS`` rows and joined by a shuffle beyond. Texts are moved once: into ranges of the id order, four
+ranges per shuffle partition, whose borders alone come to the driver. Inside a range the next document is the next row;
+the last row of a range meets the first of the following one in a join of one row per range. A text's own and edited
+words pass through the lexicon together and are gathered in the same stage, for the ranges already hold each document in
+one place.
 
 Defined cases: null text is empty; a text without lexicon terms gets one value over all its words, so equal texts have
 equal fingerprints and two texts without words are alike (1.0); rows of equal id are ordered by text hash and length,
@@ -21,10 +22,14 @@ null ids come last; a single document is its own next one; extra columns are ign
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.llm.common import ascii_lower, shuffle_partitions, words_of
+from wakeline.session import cut_lineage
 
 LEAST_SHARE = 0.0005
 MOST_SHARE = 0.2
@@ -33,6 +38,8 @@ SUBSETS = 64
 VALUE_BITS = 25
 #: A term joins a subset with probability 2^-level; levels repeat over the subsets.
 LEVELS = (5, 6, 7, 8, 9, 10)
+#: A lexicon of more rows than this is joined by a shuffle instead of a broadcast.
+BROADCAST_ROWS = 2_000_000
 
 
 def terms_of(text: Column) -> Column:
@@ -75,8 +82,7 @@ def gathered(rows: DataFrame, keys: list[str], texts: list[str], facts: list[Col
     parts = [tagged(i, hashed(F.col(t))) for i, t in enumerate(texts)]
     parts += [tagged(n + i, F.array(f)) for i, f in enumerate(facts)]
     each = rows.select(*keys, F.explode(F.concat(*parts)).alias("e")).select(*keys, "e.kind", "e.term")
-    lex = F.broadcast(lexicon.withColumnRenamed("term", "known"))
-    hits = each.join(lex, (F.col("kind") < n) & (F.col("term") == F.col("known")), "left").where((F.col("kind") >= n) | F.col("subset").isNotNull())
+    hits = each.join(lexicon.withColumnRenamed("term", "known"), (F.col("kind") < n) & (F.col("term") == F.col("known")), "left").where((F.col("kind") >= n) | F.col("subset").isNotNull())
     slot = F.when(F.col("kind") < n, F.col("kind") * SUBSETS + F.col("subset")).otherwise(n * SUBSETS + F.col("kind"))
     sums = hits.groupBy(*keys, slot.alias("slot")).agg(F.bit_xor("term").alias("x"), F.sum(F.hash("term").cast("long")).alias("s"))
     value = F.pmod(F.xxhash64("x", "s"), F.lit(2**VALUE_BITS)) + (F.col("slot") % SUBSETS) * 2**VALUE_BITS
@@ -119,17 +125,24 @@ def borders(rows: DataFrame) -> list[tuple]:
 
 
 def range_of(rows: DataFrame, firsts: list[tuple]) -> DataFrame:
-    """Adds ``range``: how many borders stand at or before the row, less one; found by halving."""
-    kind = "struct<none:boolean,down:bigint,th:bigint>"
-    known = F.array(*[F.struct(*[F.lit(v) for v in f]).cast(kind) for f in firsts])
-    rows, step = rows.withColumn("range", F.lit(0)), 1
-    while step * 2 < len(firsts):
-        step *= 2
-    while step:
-        here = F.get(known, F.col("range") + step)
-        rows = rows.withColumn("range", F.when(here.isNotNull() & (here <= F.col("at")), F.col("range") + step).otherwise(F.col("range")))
-        step //= 2
-    return rows
+    """Adds ``range``: how many borders stand at or before the row, less one.
+
+    Found in two steps of about the square root of the borders each: every ``step``-th border, then those behind it.
+    The borders enter the plan as two folded values, so that the plan does not grow with their number.
+    """
+    step = math.isqrt(len(firsts)) + 1
+
+    def passed(known: Column) -> Column:
+        return F.size(F.filter(known, lambda border: border <= F.col("at")))
+
+    coarse = (passed(literal_borders(firsts[::step])) - 1) * step
+    rows = rows.withColumn("coarse", coarse)
+    return rows.withColumn("range", F.col("coarse") + passed(F.slice(literal_borders(firsts), F.col("coarse") + 1, step)) - 1).drop("coarse")
+
+
+def literal_borders(firsts: list[tuple]) -> Column:
+    named = [dict(zip(("none", "down", "th"), f)) for f in firsts]
+    return F.from_json(F.lit(json.dumps(named)), "array<struct<none:boolean,down:bigint,th:bigint>>")
 
 
 def imatch(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
@@ -139,7 +152,9 @@ def imatch(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("at", place(F.col("doc_id"), F.col("text")))
-    lex = lexicon(texts, least, most)
+    lex = cut_lineage(lexicon(texts, least, most))
+    if lex.count() <= BROADCAST_ROWS:
+        lex = F.broadcast(lex)
     firsts = borders(texts) or [(True, 0, 0)]
     # the first document of every range, for the last row of the range before
     following = [(k - 1 if k else len(firsts) - 1, *f) for k, f in enumerate(firsts)]
