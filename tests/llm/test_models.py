@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from wakeline.llm import language_id, toxicity
+from wakeline.llm.common import least_hashed
 
 SF = "/root/testdata/sf0.01"
 EXTRA = "doc_id long, text string, lang string, score string, lang_pred string"
@@ -93,3 +94,13 @@ def test_only_the_sample_goes_into_the_fitting_task(spark, monkeypatch):
     for plan, tasks in fitted:
         above_the_join = plan[: plan.index("BroadcastHashJoin")]
         assert tasks == 1 and "Exchange SinglePartition" in above_the_join and "Coalesce" not in above_the_join
+
+
+def test_least_hashed_takes_the_least_and_ranks_few(spark):
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, 1).otherwise(0).alias("y"), F.xxhash64("id").alias("h"))
+    rows = rows.unionByName(rows.where("doc_id < 500"))
+    got = {(r.y, r.doc_id, r.h) for r in least_hashed(rows, "y", F.when(F.col("y") == 1, 30).otherwise(50)).collect()}
+    every = sorted((r.y, r.h, r.doc_id) for r in rows.collect())
+    want = {(y, d, h) for y, h, d in [r for r in every if r[0] == 0][:50] + [r for r in every if r[0] == 1][:30]}
+    assert got == want
+    assert least_hashed(rows.where("y > 1"), "y", F.lit(3)).count() == 0

@@ -23,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import id_remainder
+from wakeline.llm.common import id_remainder, least_hashed
 
 FEATURES = 1 << 15
 ORDERS = 3
@@ -121,9 +121,8 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 def sample(rows: DataFrame, per_language: int) -> DataFrame:
     """Up to ``per_language`` rows of each language, by least id hash: a bounded number of texts."""
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(order))
-    ids = ids.where(F.col("r") <= per_language).select("doc_id", "h").distinct()
+    hashed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    ids = least_hashed(hashed, "lang", F.lit(per_language)).select("doc_id", "h").distinct()
     return rows.join(F.broadcast(ids), "doc_id")
 
 

@@ -27,10 +27,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import id_remainder
+from wakeline.llm.common import id_remainder, least_hashed
 
 SAMPLE_TOXIC = 2000
 SAMPLE_CLEAN = 4000
@@ -260,8 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     """The grammar learnt from the labelled training rows; the learning runs in one task over a bounded sample."""
     known = labels.where((id_remainder(F.col("doc_id"), 5) != 0) & F.col("toxic").isNotNull())
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y")).withColumn("h", F.xxhash64("doc_id"))
-    order = Window.partitionBy("y").orderBy("h", "doc_id")
-    ids = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.when(F.col("y") == 1, toxic).otherwise(clean))
+    ids = least_hashed(known, "y", F.when(F.col("y") == 1, toxic).otherwise(clean))
     texts = docs.select("doc_id", "text").where("text is not null")
     # a shuffle, not coalesce: all tasks read the texts, one takes the sample
     chosen = texts.join(F.broadcast(ids.select("doc_id", "y", "h")), "doc_id").repartition(1)
