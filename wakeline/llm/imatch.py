@@ -64,7 +64,8 @@ def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHAR
 
 
 def hashed(text: Column) -> Column:
-    return F.transform(terms_of(text), lambda w: F.xxhash64(w))
+    """The hashes of a text's distinct terms."""
+    return F.array_distinct(F.transform(words_of(ascii_lower(text)), lambda w: F.xxhash64(w)))
 
 
 def tagged(kind: int, values: Column) -> Column:
@@ -78,8 +79,11 @@ def gathered(rows: DataFrame, keys: list[str], texts: list[str], facts: list[Col
     explosion and one aggregation; a text without lexicon terms gets its ``whole_value``.
     """
     n = len(texts)
-    facts = [*facts, *[whole_value(F.col(t)) for t in texts]]
-    parts = [tagged(i, hashed(F.col(t))) for i, t in enumerate(texts)]
+    # taken in a select of their own: inside the explosion every mention would be computed again
+    names, known = [f"_fact_{i}" for i in range(len(facts))], [f"_terms_{i}" for i in range(n)]
+    rows = rows.select(*keys, *[f.alias(a) for f, a in zip(facts, names)], *[hashed(F.col(t)).alias(a) for t, a in zip(texts, known)])
+    facts = [*map(F.col, names), *[whole_value(F.col(a)) for a in known]]
+    parts = [tagged(i, F.col(a)) for i, a in enumerate(known)]
     parts += [tagged(n + i, F.array(f)) for i, f in enumerate(facts)]
     each = rows.select(*keys, F.explode(F.concat(*parts)).alias("e")).select(*keys, "e.kind", "e.term")
     hits = each.join(lexicon.withColumnRenamed("term", "known"), (F.col("kind") < n) & (F.col("term") == F.col("known")), "left").where((F.col("kind") >= n) | F.col("subset").isNotNull())
@@ -93,9 +97,9 @@ def gathered(rows: DataFrame, keys: list[str], texts: list[str], facts: list[Col
     return out.select(*keys, *own, *[f"fact_{i}" for i in range(len(facts) - n)])
 
 
-def whole_value(text: Column) -> Column:
-    """The one value of a text without lexicon terms: a negative int, so in no subset."""
-    return -1 - F.pmod(F.xxhash64(F.array_sort(terms_of(text))), F.lit(2**31 - 1))
+def whole_value(terms: Column) -> Column:
+    """The one value of a text without lexicon terms, from its terms' hashes: a negative int, so in no subset."""
+    return -1 - F.pmod(F.xxhash64(F.sort_array(terms)), F.lit(2**31 - 1))
 
 
 def likeness(a: Column, b: Column) -> Column:
