@@ -188,3 +188,18 @@ def test_free_temperature_without_an_optimum(spark):
     d = spark.createDataFrame([(1.0, 1), (-1.0, 0)], "z double, truth int")
     assert evaluation.best_log_temperature(d)[0] < -2.5
     assert evaluation.best_log_temperature(d.limit(0)) == (0.0, 0.0)
+
+
+def test_auc_of_saturated_scores_spreads(spark):
+    rng = random.Random(11)
+    rows = [(k, 1 - rng.random() * 1e-6 if rng.random() < 0.9 else rng.random(), rng.randint(0, 1)) for k in "ab" for _ in range(3000)]
+    rows += [("a", 0.5, t) for t in (0, 1, 1, 0)] + [("one", 0.3, 1)]
+    preds = spark.createDataFrame(rows, "k string, prob double, truth int")
+    got = {r.k: r.auc for r in evaluation.roc_auc(preds, ["k"]).collect()}
+    for k in "ab":
+        yes, no = [np.array([p for key, p, t in rows if key == k and t == y]) for y in (1, 0)]
+        want = ((yes[:, None] > no).sum() + 0.5 * (yes[:, None] == no).sum()) / (len(yes) * len(no))
+        assert got[k] == pytest.approx(want, abs=1e-12)
+    assert got["one"] == 0.5
+    stepped = sequences.value_steps(preds.select("k", "prob").distinct(), ["k"], "prob", "step")
+    assert stepped.groupBy("k", "step").count().agg(F.max("count")).first()[0] <= 3 * 3000 / 256

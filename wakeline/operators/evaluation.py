@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.operators.drift import Uniform, hashed_uniform
-from wakeline.operators.sequences import rank_in_group, running_total
+from wakeline.operators.sequences import rank_in_group, running_total, value_steps
 from wakeline.session import cut_lineage
 
 
@@ -30,14 +30,15 @@ def binary_metrics(preds: DataFrame, keys: list[str], thr: float = 0.5) -> DataF
     )
 
 
-def roc_auc(preds: DataFrame, keys: list[str], buckets: int = 1000) -> DataFrame:
+def roc_auc(preds: DataFrame, keys: list[str], steps: int = 256) -> DataFrame:
     """Rank AUC with half credit for ties; 0.5 when one class is missing.
 
     Equal probabilities are merged first and the running count is taken in two levels,
-    so no single task sorts all predictions.
+    so no single task sorts all predictions, saturated ones included.
     """
     g = preds.groupBy(*keys, "prob").agg(F.count_if(F.col("truth") == 1).alias("_p"), F.count_if(F.col("truth") != 1).alias("_q"))
-    c = running_total(g, keys, [F.col("prob")], F.floor(F.col("prob") * buckets), F.col("_q"), "_cum")
+    g = value_steps(g, keys, "prob", "_step", steps)
+    c = running_total(g, keys, [F.col("prob")], F.col("_step"), F.col("_q"), "_cum")
     area = F.sum(F.col("_p") * (F.col("_cum") - F.col("_q") + F.col("_q") / 2))
     both = F.sum("_p") * F.sum("_q")
     return c.groupBy(*keys).agg(F.coalesce(F.try_divide(area, both.cast("double")), F.lit(0.5)).alias("auc"))

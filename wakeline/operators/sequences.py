@@ -152,6 +152,19 @@ def running_total(
     )
 
 
+def value_steps(df: DataFrame, keys: list[str], value: str, name: str, steps: int = 256) -> DataFrame:
+    """Adds ``name``: a step of ``value`` within keys, non-decreasing along it, each with about equally many rows.
+
+    The borders are approximate quantiles, one bounded array per key, so values crowded into a narrow range spread as
+    well as others. They may differ between two evaluations; the result is therefore written once. Null stays null.
+    """
+    at = F.array(*[F.lit(i / steps) for i in range(1, steps)])
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, at, 10 * steps).alias("_cuts"))
+    passed = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    stepped = df.join(cuts, keys).withColumn(name, F.when(F.col(value).isNotNull(), passed)).drop("_cuts")
+    return cut_lineage(stepped)
+
+
 def rank_in_group(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str) -> DataFrame:
     """row_number() within keys for groups of any size (see ``running_total``)."""
     return running_total(df, keys, order, bucket, F.lit(1).cast("long"), name)
