@@ -98,6 +98,7 @@ def _(spark, sf):
     "forward_scores",
     f"""WITH fc AS (SELECT r.run_id, r.scene_id, r.mmsi, avg(f.lat) AS c_lat, avg(f.lon) AS c_lon FROM {of_runs('fx_tracks', 'ts_s', WINDOW_S, 0)} GROUP BY 1, 2, 3)
     SELECT run_id, scene_id, mmsi, round({_km('c_lat', 'c_lon', 'spill_lat', 'spill_lon')}, 4) AS distance_km, round(greatest(0e0, 1 - {_km('c_lat', 'c_lon', 'spill_lat', 'spill_lon')} / 30), 5) AS forward_score FROM fc JOIN fx_scenes USING (scene_id)""",
+    whole=True,
 )
 def _(spark, sf):
     scenes = view(spark, sf, "fx_scenes")
@@ -115,7 +116,7 @@ def _requested(spark, sf):
 _FP = "sha256(scene_id || ':' || scene_id || ':' || printf('%.5f', spill_lon) || ':' || printf('%.5f', spill_lat) || ':' || strftime(make_timestamp(captured_s * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00:12:100:wave')"
 
 
-@R.query("dedupe_runs", f"SELECT {_FP} AS run_fingerprint, min(run_id) AS run_id FROM fx_runs JOIN fx_scenes USING (scene_id) WHERE scene_id % 3 <> 0 GROUP BY 1")
+@R.query("dedupe_runs", f"SELECT {_FP} AS run_fingerprint, min(run_id) AS run_id FROM fx_runs JOIN fx_scenes USING (scene_id) WHERE scene_id % 3 <> 0 GROUP BY 1", whole=True)
 def _(spark, sf):
     r = _requested(spark, sf)
     return op.new_runs(r, r)

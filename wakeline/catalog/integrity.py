@@ -16,6 +16,7 @@ R = Registry()
     """WITH v AS (SELECT 'tracks' AS t, 'speed_range' AS rule FROM fx_tracks WHERE speed_knots * 6 > 100 UNION ALL SELECT 'tracks', 'course_range' FROM fx_tracks WHERE course + 20 > 360
     UNION ALL SELECT 'vessels', 'dwt_positive' FROM fx_vessels WHERE NOT dwt > 0 UNION ALL SELECT 'scenes', 'wind_direction_range' FROM fx_scenes WHERE wind_direction + 30 > 360
     UNION ALL SELECT 'spills', 'area_positive' FROM fx_scenes WHERE NOT area_sq_km - 5 > 0) SELECT t AS table_name, rule, count(*) AS n FROM v GROUP BY 1, 2""",
+    whole=True,
 )
 def _(spark, sf):
     scenes = view(spark, sf, "fx_scenes")
