@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.angles import uv_to_wind
 from wakeline.operators.sequences import exact_quantiles, rank_in_group
-from wakeline.session import cut_lineage
+from wakeline.session import cut_lineage, small_side
 
 # Fixed values of detector, tiler, mask cleaning and patch filter.
 GUARD, TRAIN, CFAR_FACTOR = 2, 4, 8.0
@@ -31,11 +31,11 @@ def normalise(pixels: DataFrame, mode: str = "percentile") -> DataFrame:
     v = pixels.withColumn("value", _known("value"))
     if mode == "bytes":
         top = v.groupBy("scene_id").agg(F.max("value").alias("_max"))
-        return v.join(top, "scene_id").withColumn("value", F.when(F.col("_max") > 1, F.col("value") / 255.0).otherwise(F.col("value"))).drop("_max")
+        return v.join(small_side(top), "scene_id").withColumn("value", F.when(F.col("_max") > 1, F.col("value") / 255.0).otherwise(F.col("value"))).drop("_max")
     q = exact_quantiles(v, ["scene_id"], "value", {"_p1": 0.01, "_p99": 0.99})
     width = F.col("_p99") - F.col("_p1")
     scaled = F.when(width > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("value") - F.col("_p1")) / F.nullif(width, F.lit(0.0))))).otherwise(0.0)
-    return v.join(q, "scene_id").withColumn("value", scaled).drop("_p1", "_p99")
+    return v.join(small_side(q), "scene_id").withColumn("value", scaled).drop("_p1", "_p99")
 
 
 def _along_row(n: int) -> Window:
@@ -65,7 +65,7 @@ def ca_cfar(pixels: DataFrame, guard: int = GUARD, train: int = TRAIN, k: float
         "scene_id", "row", "col", "value",
         F.sum("_so").over(_along_col(outer)).alias("_so"), F.sum("_co").over(_along_col(outer)).alias("_co"),
         F.sum("_si").over(_along_col(guard)).alias("_si"), F.sum("_ci").over(_along_col(guard)).alias("_ci"),
-    ).join(med, "scene_id")
+    ).join(small_side(med), "scene_id")
     outer_sum = F.col("_so") + (n_out - F.col("_co")) * F.col("_median")
     inner_sum = F.col("_si") + (n_in - F.col("_ci")) * F.col("_median")
     mean = (outer_sum - inner_sum) / (n_out - n_in)
@@ -101,22 +101,23 @@ def label_components(runs: DataFrame) -> DataFrame:
     the neighbours and jump along label pointers, so rounds grow with the logarithm
     of a component's extent. Every round is a reliable checkpoint.
     """
+    runs = cut_lineage(runs)
     a = runs.select("scene_id", F.col("row"), F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("id").alias("src"))
     b = runs.select("scene_id", (F.col("row") - 1).alias("row"), F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.col("id").alias("dst"))
-    touch = a.join(b, ["scene_id", "row"]).filter((F.col("a0") <= F.col("b1") + 1) & (F.col("b0") <= F.col("a1") + 1)).select("scene_id", "src", "dst")
+    touch = a.join(b.hint("merge"), ["scene_id", "row"]).filter((F.col("a0") <= F.col("b1") + 1) & (F.col("b0") <= F.col("a1") + 1)).select("scene_id", "src", "dst")
     edges = cut_lineage(touch.unionByName(touch.select("scene_id", F.col("dst").alias("src"), F.col("src").alias("dst"))))
     labels = cut_lineage(runs.select("scene_id", "id", F.col("id").alias("label")))
     while True:
-        near = edges.join(labels.select("scene_id", F.col("id").alias("dst"), "label"), ["scene_id", "dst"]).groupBy(
+        near = edges.join(labels.select("scene_id", F.col("id").alias("dst"), "label").hint("merge"), ["scene_id", "dst"]).groupBy(
             "scene_id", F.col("src").alias("id")
         ).agg(F.min("label").alias("_m"))
-        low = labels.join(near, ["scene_id", "id"], "left").select(
+        low = labels.join(near.hint("merge"), ["scene_id", "id"], "left").select(
             "scene_id", "id", F.col("label").alias("_old"), F.least("label", F.coalesce("_m", "label")).alias("label")
         )
         jump = labels.select("scene_id", F.col("id").alias("label"), F.col("label").alias("_j"))
-        low = cut_lineage(low.join(jump, ["scene_id", "label"]).select("scene_id", "id", "_old", F.least("label", "_j").alias("label")))
+        low = cut_lineage(low.join(jump.hint("merge"), ["scene_id", "label"]).select("scene_id", "id", "_old", F.least("label", "_j").alias("label")))
         if low.filter(F.col("label") != F.col("_old")).isEmpty():
-            return runs.join(low.select("scene_id", "id", "label"), ["scene_id", "id"])
+            return runs.join(low.select("scene_id", "id", "label").hint("merge"), ["scene_id", "id"])
         labels = low.select("scene_id", "id", "label")
 
 
@@ -181,14 +182,14 @@ def closed_mask(probs: DataFrame, thr: float = MASK_THRESHOLD) -> DataFrame:
     on = F.col("prob") >= thr
     lit = _crossed(probs.where(on).select("scene_id", "row", "col", "prob"), "prob")
     inside = F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
-    wide = lit.groupBy("scene_id", "row", "col").agg(F.max("prob").alias("prob")).join(frame, "scene_id").where(inside)
+    wide = lit.groupBy("scene_id", "row", "col").agg(F.max("prob").alias("prob")).join(small_side(frame), "scene_id").where(inside)
     sides = [(F.col("row") > F.col("r0")), (F.col("row") < F.col("r1")), (F.col("col") > F.col("c0")), (F.col("col") < F.col("c1"))]
     around = sum((s.cast("int") for s in sides), F.lit(1))
     told = _crossed(wide.withColumn("around", around), "around", "prob")
     kept = told.groupBy("scene_id", "row", "col").agg(F.count(F.lit(1)).alias("_n"), F.max("around").alias("around"), F.max("prob").alias("prob"))
     kept = cut_lineage(kept.where(F.col("_n") == F.col("around")).select("scene_id", "row", "col", "prob"))
     gaps = kept.where(F.col("prob").isNull()).select("scene_id", "row", "col")
-    filled = probs.where(~F.coalesce(on, F.lit(False))).select("scene_id", "row", "col", "prob").join(gaps, ["scene_id", "row", "col"])
+    filled = probs.where(~F.coalesce(on, F.lit(False))).select("scene_id", "row", "col", "prob").join(small_side(gaps), ["scene_id", "row", "col"])
     return kept.where(F.col("prob").isNotNull()).unionByName(filled)
 
 
@@ -196,7 +197,7 @@ def clean_mask(probs: DataFrame, thr: float = MASK_THRESHOLD, min_pixels: int =
     """Pixels of closed components with at least ``min_pixels``, with their label."""
     runs = label_components(pixel_runs(closed_mask(probs, thr), "prob"))
     big = clusters(runs, min_pixels).select("scene_id", "label")
-    kept = runs.join(big, ["scene_id", "label"])
+    kept = runs.join(big.hint("merge"), ["scene_id", "label"])
     return kept.withColumn("col", F.explode(F.sequence("c0", "c1"))).select("scene_id", "row", "col", "label")
 
 
@@ -260,11 +261,11 @@ def patch_features(pixels: DataFrame) -> DataFrame:
     one window partition; the final aggregation reuses that partitioning.
     """
     size = pixels.groupBy("scene_id").agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w"))
-    p = pixels.join(size, "scene_id")
+    p = pixels.join(small_side(size), "scene_id")
     sy, sx = F.greatest(F.lit(1), F.floor(F.col("_h") / 100)), F.greatest(F.lit(1), F.floor(F.col("_w") / 100))
     p = p.filter((F.col("row") % sy == 0) & (F.col("col") % sx == 0)).select(
         "scene_id", (F.col("row") / sy).cast("int").alias("r"), (F.col("col") / sx).cast("int").alias("c"), "value"
-    )
+    ).repartition("scene_id")
     patch = Window.partitionBy("scene_id")
     across = Window.partitionBy("scene_id", "r").orderBy("c")
     down = Window.partitionBy("scene_id", "c").orderBy("r")
