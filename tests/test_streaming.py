@@ -59,3 +59,18 @@ def test_latest_state_over_batches(spark, tmp_path):
 
 def test_work_path_is_below_the_shared_folder(spark):
     assert work_path(spark, "x").startswith(spark.sparkContext.getCheckpointDir())
+
+
+def test_first_of_two_positions_of_one_time_counts(spark, tmp_path):
+    import duckdb
+
+    from tests.compare import compare
+    from wakeline import catalog
+
+    source = "/root/testdata/sf0.001/events.parquet"
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"COPY (SELECT * FROM '{source}' UNION ALL SELECT * REPLACE (event_id + 1000003 AS event_id) FROM '{source}' ORDER BY event_id) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    diff, n = compare(spark, con, str(tmp_path), catalog.queries()["live_latest_state"], catalog.oracle_sql()["live_latest_state"])
+    assert diff is None and n > 0

@@ -32,7 +32,7 @@ def feed(spark, sf) -> str:
         F.when(static, "ShipStaticData").otherwise("PositionReport").alias("MessageType"),
         F.struct(F.when(F.col("seq") % 60 != 7, F.col("mmsi")).otherwise(" ").alias("MMSI"), F.concat(F.lit("SHIP "), "mmsi").alias("ShipName")).alias("MetaData"),
         F.struct(F.when(~static, report).alias("PositionReport"), F.when(static, facts).alias("ShipStaticData")).alias("Message"),
-        F.timestamp_seconds("ts_s").alias("received_at"),
+        F.timestamp_seconds("ts_s").alias("received_at"), F.col("seq").alias("number"),
     ).write.json(path)
     return path
 

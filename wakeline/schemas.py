@@ -89,5 +89,5 @@ AIS_MESSAGE = (
     "MessageType string, MetaData struct<MMSI:string,ShipName:string,IMO:string,ShipType:string>, "
     "Message struct<PositionReport:struct<Latitude:double,Longitude:double,Sog:double,TrueHeading:int>,"
     "ShipStaticData:struct<ImoNumber:string,Name:string,Type:string,Dimension:struct<A:int,B:int,C:int,D:int>>>, "
-    "received_at timestamp"
+    "received_at timestamp, number bigint"
 )

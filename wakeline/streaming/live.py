@@ -37,7 +37,7 @@ def positions(messages: DataFrame) -> DataFrame:
         .select(
             F.trim(m["MMSI"]).alias("mmsi"), F.trim(m["ShipName"]).alias("name"), F.col("received_at").alias("ts"),
             p["Latitude"].alias("lat"), p["Longitude"].alias("lon"), p["Sog"].alias("speed_knots"),
-            F.when(p["TrueHeading"] != NO_HEADING, p["TrueHeading"]).alias("heading"),
+            F.when(p["TrueHeading"] != NO_HEADING, p["TrueHeading"]).alias("heading"), "number",
         )
         .filter((F.coalesce("mmsi", F.lit("")) != "") & F.col("lat").isNotNull() & F.col("lon").isNotNull())
     )
@@ -78,9 +78,13 @@ def track_sessions(pos: DataFrame, silence: str = "30 minutes", delay: str = "10
 
 
 def latest_state(pos: DataFrame) -> DataFrame:
-    """Newest position of every vessel; run in update mode and upserted per batch."""
+    """Newest position of every vessel; run in update mode and upserted per batch.
+
+    Of positions of one time the first by the receiver's ``number`` counts.
+    """
+    newest = F.struct("ts", -F.col("number"))
     return pos.groupBy("mmsi").agg(
-        F.max("ts").alias("ts"), *[F.max_by(c, "ts").alias(c) for c in ("lat", "lon", "speed_knots", "name")]
+        F.max("ts").alias("ts"), *[F.max_by(c, newest).alias(c) for c in ("lat", "lon", "speed_knots", "name")]
     )
 
 
