@@ -31,3 +31,7 @@ def test_no_pixel_table_is_broadcast(spark, name):
     rows = broadcast_rows(spark, name)
     assert rows or name == "clusters"
     assert max(rows, default=0) < PIXELS / 20
+
+
+def test_exploded_keys_of_scenes_are_not_broadcast(spark):
+    assert max(broadcast_rows(spark, "position_at"), default=0) <= 100
