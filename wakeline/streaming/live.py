@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,22 +148,54 @@ def gap_alerts(pos: DataFrame, max_gap_s: int = GAP_S, delay: str = "10 minutes"
     )
 
 
+#: Requests taken in before those of one second are put together.
+TAKEN = 1 << 20
+
+
+def _first_of_seconds(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows (second, request) in order, of each second the one of the smallest request."""
+    rows = np.concatenate(parts)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    return rows[np.append(True, rows[1:, 0] != rows[:-1, 0])] if len(rows) else rows
+
+
+def _waiting(held: bytes, batches: Iterator[pd.DataFrame]) -> np.ndarray:
+    parts, taken = [np.frombuffer(held, np.int64).reshape(-1, 2)], 0
+    for pdf in batches:
+        parts.append(pdf[["ts_s", "request_id"]].to_numpy(np.int64))
+        taken += len(pdf)
+        if taken >= TAKEN:
+            parts, taken = [_first_of_seconds(parts)], 0
+    return _first_of_seconds(parts)
+
+
 def dispatched_alerts(requests: DataFrame, cooldown_s: int = COOLDOWN_S, delay: str = "10 minutes") -> DataFrame:
-    """Requests (station_id, request_id, ts) that pass the station's cooldown, in event-time order."""
+    """Requests (station_id, request_id, ts) that pass the station's cooldown, in event-time order.
 
-    def run(key, rows, state):
-        def act(memory, row):
-            ts, request = row
-            if memory[0] is not None and ts - memory[0] <= cooldown_s:
-                return memory, None
-            return (ts,), (key[0], int(request), int(ts))
+    Only the smallest request of a second can be dispatched. So a station's state is its last dispatch and, as one flat
+    array, one row for each second that the watermark has not passed, however many requests that second has.
+    """
 
-        found = _in_time_order(() if state.hasTimedOut else rows, state, ["ts_s", "request_id"], 1, act)
+    def run(key, rows, state):
+        mark = state.getCurrentWatermarkMs() / 1000.0
+        last, held = state.get if state.exists else (None, b"")
+        waiting = _waiting(held, () if state.hasTimedOut else rows)
+        n = int(np.searchsorted(waiting[:, 0], mark, side="right"))
+        seconds, found = waiting[:n, 0], []
+        k = 0 if last is None else int(np.searchsorted(seconds, last + cooldown_s, side="right"))
+        while k < n:
+            last = int(seconds[k])
+            found.append((key[0], int(waiting[k, 1]), last))
+            k = int(np.searchsorted(seconds, last + cooldown_s, side="right"))
+        later = waiting[n:]
+        state.update((last, later.tobytes()))
+        if len(later):
+            state.setTimeoutTimestamp(int(max(later[0, 0], mark) * 1000) + 1)
         yield pd.DataFrame(found, columns=["station_id", "request_id", "requested_s"])
 
     keyed = requests.withWatermark("ts", delay).withColumn("ts_s", F.unix_seconds("ts"))
     return keyed.groupBy("station_id").applyInPandasWithState(
-        run, "station_id bigint, request_id bigint, requested_s bigint", "last_s bigint, ts_s array<bigint>, request_id array<bigint>",
+        run, "station_id bigint, request_id bigint, requested_s bigint", "last_s bigint, waiting binary",
         "append", GroupStateTimeout.EventTimeTimeout,
     )
 
