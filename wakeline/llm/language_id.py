@@ -218,12 +218,14 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
 def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` columns with lang_pred and score; only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    # a text that is carried is not sent to the worker a second time
+    column = "text" if "text" in carry else "_text"
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters, m = letter_table(), shared.value
         for batch in batches:
             names, scores = [], []
-            for text in batch["_text"]:
+            for text in batch[column]:
                 grams = gram_counts(text, letters) if text and m.languages else None
                 if grams is None:
                     names.append(UNKNOWN)
@@ -236,7 +238,8 @@ def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",))
             yield batch[list(carry)].assign(lang_pred=names, score=scores)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    return docs.select(*carry, F.col("text").alias("_text")).mapInPandas(label, f"{fields}, lang_pred string, score double")
+    sent = docs.select(*carry) if column == "text" else docs.select(*carry, F.col("text").alias("_text"))
+    return sent.mapInPandas(label, f"{fields}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

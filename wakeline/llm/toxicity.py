@@ -285,18 +285,21 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
 def scored(docs: DataFrame, grammar: Grammar, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` columns with score, predicted and the counts of matched clauses by kind."""
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
+    # a text that is carried is not sent to the worker a second time
+    text = "text" if "text" in carry else "_text"
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = shared.value
         weights = np.array(g.weights)
         for batch in batches:
-            counts = np.array([g.clauses(t) if t else [0] * len(KINDS) for t in batch["_text"]], float).reshape(-1, len(KINDS))
+            counts = np.array([g.clauses(t) if t else [0] * len(KINDS) for t in batch[text]], float).reshape(-1, len(KINDS))
             score = 1.0 / (1.0 + np.exp(-np.clip(np.log1p(counts) @ weights[:-1] + weights[-1], -30, 30)))
             yield batch[list(carry)].assign(score=score, predicted=(score >= 0.5).astype(np.int32), clauses=counts.astype(np.int64).tolist())
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
     kind = f"{fields}, score double, predicted int, clauses array<long>"
-    return docs.select(*carry, F.col("text").alias("_text")).mapInPandas(rate, kind)
+    sent = docs.select(*carry) if text == "text" else docs.select(*carry, F.col("text").alias("_text"))
+    return sent.mapInPandas(rate, kind)
 
 
 def held_out(doc_id: Column) -> Column:
