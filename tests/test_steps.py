@@ -6,12 +6,12 @@ from tests.test_sides import broadcast_rows
 from wakeline.catalog.tracks import deduped
 from wakeline.fixtures import view
 from wakeline.operators.contacts import scene_points
-from wakeline.operators.windows import tracks_of_runs
+from wakeline.operators.windows import facts_of_runs
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["first_in_window", "tracks_in_scene_window"])
+@pytest.mark.parametrize("name", ["first_in_window"])
 def test_exploded_runs_are_not_broadcast(spark, name):
     assert max(broadcast_rows(spark, name), default=0) <= 200
 
@@ -20,4 +20,4 @@ def test_joins_use_all_shuffle_partitions(spark):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scenes, runs = view(spark, SF, "fx_scenes"), view(spark, SF, "fx_runs")
     assert scene_points(scenes, deduped(spark, SF)).rdd.getNumPartitions() == n
-    assert tracks_of_runs(runs, scenes, view(spark, SF, "fx_tracks")).rdd.getNumPartitions() == n
+    assert facts_of_runs(runs, scenes, view(spark, SF, "fx_tracks"), "ts_s", 43200, 0, dealt=True).rdd.getNumPartitions() == n
