@@ -84,6 +84,13 @@ def test_run_positions_keep_what_can_be_read(spark):
     assert got == [(0, 0, 1704067210, 1.5, 2.5), (0, 6, None, 3.0, 4.0), (7, 0, 1704067200, 5.0, 6.0)]
 
 
+def test_run_positions_parse_a_summary_and_each_element_once(spark):
+    d = spark.createDataFrame([(1, '{"particle_geometries": [{"lat": 1, "lon": 2}]}')], "run_id long, result_summary string").repartition(2)
+    found = drift.run_positions(d)
+    assert [tuple(r) for r in found.collect()] == [(1, 0, None, 1.0, 2.0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 2
+
+
 def test_two_simulations_of_one_scene_are_two_rows(spark):
     points = spark.createDataFrame([(9, 1, "v", t, 10.0, 20.0 + t / 1e6, 1000) for t in (0, 600, 1200)], "run_id long, scene_id long, mmsi string, ts_s long, lat double, lon double, captured_s long")
     runs = spark.createDataFrame([(5, 1, "v"), (6, 1, "v"), (7, 1, "v"), (8, 2, "v")], "run_id long, scene_id long, mmsi string")
