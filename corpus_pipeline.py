@@ -6,6 +6,9 @@ columns of ``documents``. Models are learnt from the tables in ``sf_dir``, never
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +21,24 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_LANGUAGE_SCORE = 0.5
 #: The pipeline's near duplicates: words in a shingle.
 SHINGLE = 5
+#: Rows handed to a Python worker at once. Whole texts travel, held by the JVM and by the worker, which the stages share.
+BATCH_ROWS = 1000
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """``stage``, with at most ``BATCH_ROWS`` rows in an Arrow batch of the session from then on."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@in_small_batches
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a known language and names it in ``lang``; texts without letters and unsure ones go."""
     model = language_id.train(table(spark, sf_dir, "documents"))
@@ -28,18 +47,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(sure).withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 
+@in_small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the grammar does not predict as toxic."""
     grammar = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.scored(docs.select(*COLUMNS), grammar, COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
+@in_small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, the one of least id."""
     found = minhash_dedup.near_duplicates(docs, shingle=SHINGLE).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.select(*COLUMNS).join(found, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
+@in_small_batches
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that also stand earlier; documents of which nothing is left go."""
     cut = suffix_dedup.remove_repeats(docs, carry=("lang", "source"))
@@ -47,6 +69,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.where(F.length(F.trim("text")) > 0).select(*COLUMNS)
 
 
+@in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in the packed sequences."""
     return packing.pack(docs)

@@ -58,8 +58,8 @@ PART_ROWS = 20_000
 TILE = 256
 #: Buckets of ids that mark which texts a confirmation may need: the bound of what it broadcasts.
 ID_BUCKETS = 1 << 20
-#: Bytes of text hashed at a time inside a task.
-BATCH_BYTES = 1 << 20
+#: Bytes of text hashed at a time inside a task; hashing takes some hundred bytes of memory for each.
+BATCH_BYTES = 1 << 18
 
 
 def grouped(texts: list[bytes], most: int = BATCH_BYTES) -> Iterator[list[int]]:
@@ -80,7 +80,7 @@ def stretches(lengths: np.ndarray, most: int = BATCH_BYTES) -> Iterator[tuple[in
 
 
 def text_runs(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    """The texts of an Arrow column as bytes, about a megabyte at a time, with the number of the first; null is empty."""
+    """The texts of an Arrow column as bytes, about ``BATCH_BYTES`` at a time, with the number of the first; null is empty."""
     lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     for at, stop in stretches(lengths):
         some = column.slice(at, stop - at)
