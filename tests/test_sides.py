@@ -35,3 +35,8 @@ def test_no_pixel_table_is_broadcast(spark, name):
 
 def test_exploded_keys_of_scenes_are_not_broadcast(spark):
     assert max(broadcast_rows(spark, "position_at"), default=0) <= 100
+
+
+def test_blended_lines_are_shuffled_once(spark):
+    plan = catalog.queries()["blend_tiles"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(scene_id") == 1

@@ -151,13 +151,18 @@ def tiles(images: DataFrame, size: int = TILE, stride: int = STRIDE) -> DataFram
 
 
 def blend(preds: DataFrame, size: int) -> DataFrame:
-    """Merge overlapping tile predictions (scene_id, tile_row, tile_col, row, col, prob) by cosine weight."""
+    """Merge overlapping tile predictions (scene_id, tile_row, tile_col, row, col, prob) by cosine weight.
+
+    One shuffle by image line: what is then aggregated by line stays in its task.
+    """
     x, y = -1 + 2 * F.col("col") / (size - 1), -1 + 2 * F.col("row") / (size - 1)
     r = F.least(F.lit(1.0), F.sqrt(x * x + y * y))
     wt = F.greatest(F.lit(MIN_BLEND), 0.5 * (1 + F.cos(r * math.pi)))
-    g = preds.groupBy("scene_id", (F.col("tile_row") + F.col("row")).alias("row"), (F.col("tile_col") + F.col("col")).alias("col")).agg(
-        F.sum(wt * F.col("prob")).alias("_s"), F.sum(wt).alias("_w")
-    )
+    placed = preds.select(
+        "scene_id", (F.col("tile_row") + F.col("row")).alias("row"), (F.col("tile_col") + F.col("col")).alias("col"),
+        (wt * F.col("prob")).alias("_p"), wt.alias("_wt"),
+    ).repartition("scene_id", "row")
+    g = placed.groupBy("scene_id", "row", "col").agg(F.sum("_p").alias("_s"), F.sum("_wt").alias("_w"))
     value = F.col("_s") / F.greatest(F.col("_w"), F.lit(1e-6))
     return g.select("scene_id", "row", "col", F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)).alias("prob"))
 
