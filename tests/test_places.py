@@ -11,3 +11,7 @@ def plan_of(df):
 
 def test_lines_of_an_image_are_not_shuffled(spark):
     assert "Exchange hashpartitioning(scene_id" not in plan_of(catalog.queries()["ca_cfar"](spark, SF))
+
+
+def test_detections_are_made_once(spark):
+    assert "explode" not in plan_of(catalog.queries()["sar_contacts"](spark, SF))

@@ -73,8 +73,8 @@ def ca_cfar(pixels: DataFrame, guard: int = GUARD, train: int = TRAIN, k: float
 
 
 def contacts(detections: DataFrame, scenes: DataFrame, grid: int, span_deg: float) -> DataFrame:
-    """Detected pixels as radar contacts, numbered in row-major order."""
-    d = rank_in_group(detections, ["scene_id"], [F.col("row"), F.col("col")], F.col("row"), "sar_id")
+    """Detected pixels as radar contacts, numbered in row-major order. They are counted and read, so they are written once."""
+    d = rank_in_group(cut_lineage(detections), ["scene_id"], [F.col("row"), F.col("col")], F.col("row"), "sar_id")
     i = F.col("value")
     return d.join(scenes.select("scene_id", "spill_lat", "spill_lon"), "scene_id").select(
         "scene_id", "sar_id", F.format_string("SAR-%03d", F.col("sar_id")).alias("target_id"), "row", "col",
