@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.angles import uv_to_wind
 from wakeline.operators.sequences import exact_quantiles, rank_in_group
-from wakeline.session import cut_lineage, small_side
+from wakeline.session import cut_lineage, places_kept, small_side
 
 # Fixed values of detector, tiler, mask cleaning and patch filter.
 GUARD, TRAIN, CFAR_FACTOR = 2, 4, 8.0
@@ -101,7 +101,8 @@ def label_components(runs: DataFrame) -> DataFrame:
     the neighbours and jump along label pointers, so rounds grow with the logarithm
     of a component's extent. Every round is a reliable checkpoint.
     """
-    runs = cut_lineage(runs)
+    with places_kept(runs.sparkSession):  # the pixels of a closed mask, where they lie by scene
+        runs = cut_lineage(runs)
     a = runs.select("scene_id", F.col("row"), F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.col("id").alias("src"))
     b = runs.select("scene_id", (F.col("row") - 1).alias("row"), F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.col("id").alias("dst"))
     touch = a.join(b.hint("merge"), ["scene_id", "row"]).filter((F.col("a0") <= F.col("b1") + 1) & (F.col("b0") <= F.col("a1") + 1)).select("scene_id", "src", "dst")
@@ -167,35 +168,73 @@ def blend(preds: DataFrame, size: int) -> DataFrame:
     return g.select("scene_id", "row", "col", F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)).alias("prob"))
 
 
-def _crossed(cells: DataFrame, *own: str) -> DataFrame:
-    """Every cell and its four neighbours; the columns ``own`` stay with the cell itself, its neighbours get null."""
-    steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))])
-    each = cells.withColumn("_s", F.explode(steps))
-    here = (F.col("_s.r") == 0) & (F.col("_s.c") == 0)
-    kept = [F.when(here, F.col(c)).alias(c) for c in own]
-    return each.select("scene_id", (F.col("row") + F.col("_s.r")).alias("row"), (F.col("col") + F.col("_s.c")).alias("col"), *kept)
+#: Pixels of an image line whose mask is one number.
+WORD = 32
+_ALL, _TOP = 2**WORD - 1, 2 ** (WORD - 1)
+
+
+def _told(words: DataFrame, *own: str) -> DataFrame:
+    """What each word of a mask (scene_id, row, word, bits) says: to itself its columns ``own``, to the words above and
+    below its bits (``across``), to those beside it, where it is on at that end, the bit it is to them (``along``)."""
+    bits, none = F.col("bits"), F.lit(None).cast("long")
+
+    def say(row: int, word: int, across: Column = none, along: Column = none) -> Column:
+        kept = [(F.col(c) if row == word == 0 else none).alias(c) for c in own]
+        return F.struct((F.col("row") + row).alias("row"), (F.col("word") + word).alias("word"), across.alias("across"), along.alias("along"), *kept)
+
+    beside = [
+        F.when(bits.bitwiseAND(F.lit(1)) != 0, say(0, -1, along=F.lit(_TOP))), F.when(bits.bitwiseAND(F.lit(_TOP)) != 0, say(0, 1, along=F.lit(1).cast("long"))),
+    ]
+    said = F.array_compact(F.array(say(0, 0), say(-1, 0, across=bits), say(1, 0, across=bits), *beside))
+    return words.select("scene_id", F.explode(said).alias("_m")).select("scene_id", "_m.*")
+
+
+def _shifted(bits: Column) -> tuple[Column, Column]:
+    """Each pixel's neighbour on the left, and on the right, within the word."""
+    return F.shiftleft(bits, 1).bitwiseAND(F.lit(_ALL)), F.shiftright(bits, 1)
 
 
 def closed_mask(probs: DataFrame, thr: float = MASK_THRESHOLD) -> DataFrame:
     """scene_id, row, col, prob of the mask after closing with the 3x3 cross: dilation, then erosion.
 
-    Only pixels at or above the threshold are shuffled: each emits its cross, the distinct cells are the dilation; each
-    of those emits its cross again, and a cell is kept when all its neighbours inside the image did. ``probs`` is a
-    full raster (one row per pixel); of its other pixels only those that fill a gap are looked up.
+    A line's mask is cut into words of ``WORD`` pixels, one number each, and only words with a pixel on are aggregated
+    and moved. They tell the words around them what those need to shift their own bits: once for the dilation, once for
+    the erosion, where pixels outside the image do not count. ``probs`` is a full raster (one row per pixel); its pixels
+    meet the closed words at the end.
     """
     frame = probs.groupBy("scene_id").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
-    on = F.col("prob") >= thr
-    lit = _crossed(probs.where(on).select("scene_id", "row", "col", "prob"), "prob")
-    inside = F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
-    wide = lit.groupBy("scene_id", "row", "col").agg(F.max("prob").alias("prob")).join(small_side(frame), "scene_id").where(inside)
-    sides = [(F.col("row") > F.col("r0")), (F.col("row") < F.col("r1")), (F.col("col") > F.col("c0")), (F.col("col") < F.col("c1"))]
-    around = sum((s.cast("int") for s in sides), F.lit(1))
-    told = _crossed(wide.withColumn("around", around), "around", "prob")
-    kept = told.groupBy("scene_id", "row", "col").agg(F.count(F.lit(1)).alias("_n"), F.max("around").alias("around"), F.max("prob").alias("prob"))
-    kept = cut_lineage(kept.where(F.col("_n") == F.col("around")).select("scene_id", "row", "col", "prob"))
-    gaps = kept.where(F.col("prob").isNull()).select("scene_id", "row", "col")
-    filled = probs.where(~F.coalesce(on, F.lit(False))).select("scene_id", "row", "col", "prob").join(small_side(gaps), ["scene_id", "row", "col"])
-    return kept.where(F.col("prob").isNotNull()).unionByName(filled)
+    word = F.floor(F.col("col") / WORD).cast("long")
+    bit = F.expr(f"shiftleft(1L, int(pmod(col, {WORD})))")
+    lit = probs.where(F.col("prob") >= thr).select("scene_id", "row", word.alias("word"), bit.alias("_bit"))
+    lit = lit.groupBy("scene_id", "row", "word").agg(F.bit_or("_bit").alias("bits"))
+    wide = _told(lit, "bits").groupBy("scene_id", "row", "word").agg(*[F.coalesce(F.bit_or(c), F.lit(0).cast("long")).alias(c) for c in ("bits", "across", "along")])
+    left, right = _shifted(F.col("bits"))
+    grown = F.col("bits").bitwiseOR(left).bitwiseOR(right).bitwiseOR(F.col("across")).bitwiseOR(F.col("along"))
+    # the part of the word that lies in the image
+    ends = [F.least(F.lit(WORD), F.greatest(F.lit(0), c - F.col("word") * WORD)).cast("int") for c in (F.col("c0"), F.col("c1") + 1)]
+    wide = wide.join(small_side(frame), "scene_id").where(F.col("row").between(F.col("r0"), F.col("r1")))
+    wide = wide.withColumns({"_grown": grown, "_from": ends[0], "_to": ends[1]})
+    wide = wide.withColumn("_image", F.expr("shiftleft(1L, _to) - shiftleft(1L, _from)"))
+    wide = wide.withColumn("bits", F.col("_grown").bitwiseAND(F.col("_image"))).where(F.col("bits") != 0)
+    left, right = _shifted(F.col("bits").bitwiseOR(F.lit(_ALL).bitwiseXOR(F.col("_image"))))
+    start, end = F.col("word") * WORD, F.col("word") * WORD + (WORD - 1)
+    wide = wide.select(
+        "scene_id", "row", "word", "bits",
+        left.bitwiseOR(F.when(start <= F.col("c0"), 1).otherwise(0).cast("long")).alias("left"),
+        right.bitwiseOR(F.when(end >= F.col("c1"), F.lit(_TOP)).otherwise(0).cast("long")).alias("right"),
+        ((F.col("row") > F.col("r0")).cast("long") + (F.col("row") < F.col("r1")).cast("long")).alias("lines"),
+    )
+    own = ["bits", "left", "right", "lines"]
+    told = _told(wide, *own).groupBy("scene_id", "row", "word").agg(
+        *[F.max(c).alias(c) for c in own], F.bit_and("across").alias("across"), F.count("across").alias("_n"), F.coalesce(F.bit_or("along"), F.lit(0).cast("long")).alias("along")
+    )
+    beside = F.col("left").bitwiseOR(F.col("along").bitwiseAND(F.lit(1))).bitwiseAND(F.col("right").bitwiseOR(F.col("along").bitwiseAND(F.lit(_TOP))))
+    kept = F.col("bits").bitwiseAND(beside).bitwiseAND(F.coalesce("across", F.lit(_ALL)))
+    words = told.where(F.col("_n") == F.col("lines")).select("scene_id", "row", "word", kept.alias("bits")).where(F.col("bits") != 0)
+    pixels = probs.select("scene_id", "row", "col", "prob", word.alias("word"), bit.alias("_bit"))
+    # unwritten, the words keep the place of their scene, and so do the pixels they meet
+    met = pixels.join(words.hint("shuffle_hash"), ["scene_id", "row", "word"]).where(F.col("bits").bitwiseAND(F.col("_bit")) != 0)
+    return met.select("scene_id", "row", "col", "prob")
 
 
 def clean_mask(probs: DataFrame, thr: float = MASK_THRESHOLD, min_pixels: int = MIN_PIXELS) -> DataFrame:
