@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from wakeline import catalog
 from wakeline.catalog.tracks import deduped, pair_points, run_drift
 from wakeline.fixtures import view
 from wakeline.operators import tracks
@@ -39,9 +40,6 @@ def test_episodes_equal_with_and_without_tracks(spark):
 
 
 def test_points_are_not_moved_by_run(spark):
-    track = neighbours(deduped(spark, SF), ["mmsi"], "ts_s", ["lat", "lon", "speed_knots"])
-    d = tracks.approaches_of_runs(view(spark, SF, "fx_sims"), view(spark, SF, "fx_scenes"), track, run_drift(spark, SF))
-    plan = d._jdf.queryExecution().executedPlan().toString()
-    # above the generator of instants a run is moved as one row of aggregates, if at all
-    top = plan[: plan.index("Generate explode(")]
-    assert "Exchange" not in top or "partial_" in top[top.rindex("Exchange"):]
+    plan = catalog.queries()["closest_approach_of_runs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # instants are made by the uppermost generator, above the join of runs and positions, and stay in its tasks
+    assert "Exchange" not in plan[: plan.index("SortMergeJoin")]
